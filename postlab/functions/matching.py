@@ -34,6 +34,19 @@ def normalise_terms(terms: list[str]) -> dict[int, list[str]]:
     return grouped
 
 
+def runs_of_pieces(text: Column, lengths: list[int]) -> Column:
+    """Array of ``(start, length, term)``: every run that starts with a word."""
+    def at(parts: Column, word: Column, i: Column) -> Column:
+        runs = F.array(*[
+            F.struct(i.alias("start"), F.lit(n).alias("length"),
+                     F.array_join(F.slice(parts, i + 1, n), "").alias("term"))
+            for n in lengths])
+        return F.when(word.rlike(r"^[\p{L}\p{N}_]"), runs)
+
+    return let(pieces(text), lambda parts: F.flatten(F.filter(
+        F.transform(parts, lambda word, i: at(parts, word, i)), lambda r: r.isNotNull())))
+
+
 def candidates(parts: Column, grouped: dict[int, list[str]]) -> Column:
     """Array of ``(start, length, term)``: the longest term at each start."""
     openers = sorted({re.match(r"\w+", t).group() for ts in grouped.values() for t in ts})

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, OneHotEncoder, StringIndexer, VectorAssembler)
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as RowVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from postlab.session import join_sized, settle
+from postlab.session import cached, join_sized, settle
 
 # Share of posts a term must occur in, as a percentage: the edge test then stays
 # in integers.
@@ -24,13 +24,13 @@ FIRST_TERM_ID = 4
 VOCABULARY_SIZE = 30_000
 
 
-def _by_post(df: DataFrame, tokens: str, key: str) -> DataFrame:
+def _by_post(df: DataFrame, tokens: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Token lists partitioned by post.
 
     Grouping exploded tokens by (key, term) then needs no further exchange, and
     both passes over the tokens read this one, so texts are tokenised once.
     """
-    return df.select(key, tokens).repartition(F.col(key))
+    return df.select(key, *keep, tokens).repartition(F.col(key))
 
 
 def kept_terms(df: DataFrame, tokens: str = "tokens",
@@ -43,30 +43,32 @@ def kept_terms(df: DataFrame, tokens: str = "tokens",
 
 
 def bag_of_words(df: DataFrame, tokens: str = "tokens", key: str = "id",
-                 min_df_percent: int = MIN_DF_PERCENT) -> DataFrame:
-    """``(key, term, tf, df)`` in long form.
+                 min_df_percent: int = MIN_DF_PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, term, tf, df)`` in long form, plus post columns to ``keep``.
 
     Kept terms number at most ``100 / min_df_percent`` times the mean number of
     distinct terms per post, however many posts there are, so with pruning the
     term table is broadcast. Without pruning its size is measured.
     """
-    posts = _by_post(df, tokens, key)
+    posts = _by_post(df, tokens, key, keep)
     frequency = kept_terms(posts, tokens, min_df_percent)
-    occurrences = posts.select(key, F.explode(tokens).alias("term"))
+    occurrences = posts.select(key, *keep, F.explode(tokens).alias("term"))
+    columns = [key, *keep, "term", "tf", "df"]
     if min_df_percent >= MIN_DF_PERCENT:
         known = occurrences.join(F.broadcast(frequency), "term")
-        return known.groupBy(key, "term", "df").agg(F.count(F.lit(1)).alias("tf")).select(
-            key, "term", "tf", "df")
-    counted = occurrences.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return join_sized(counted, settle(frequency), "term").select(key, "term", "tf", "df")
+        return (known.groupBy(key, *keep, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+                .select(*columns))
+    counted = occurrences.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return join_sized(counted, settle(frequency), "term").select(*columns)
 
 
 def tfidf(df: DataFrame, tokens: str = "tokens", key: str = "id",
-          min_df_percent: int = MIN_DF_PERCENT) -> DataFrame:
+          min_df_percent: int = MIN_DF_PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """``tf * (ln((1 + n) / (1 + df)) + 1)``, not normalised, in long form."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1
-    return bag_of_words(df, tokens, key, min_df_percent).withColumn("tfidf", F.col("tf") * idf)
+    counted = bag_of_words(df, tokens, key, min_df_percent, keep)
+    return counted.withColumn("tfidf", F.col("tf") * idf)
 
 
 def fit_tfidf(df: DataFrame, tokens: str = "tokens", output: str = "features",
@@ -75,31 +77,37 @@ def fit_tfidf(df: DataFrame, tokens: str = "tokens", output: str = "features",
 
     The library's IDF has no ``+ 1``, so counts are scaled by ``idf + 1``.
     """
-    counts = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=min_df).fit(df)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(df)).idf
+    with cached(df.select(tokens)) as posts:
+        counts = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=min_df).fit(posts)
+        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(posts)).idf
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_tf", outputCol=output)
     return PipelineModel([counts, scale])
 
 
-def svd_scores(df: DataFrame, k: int, column: str = "features", key: str = "id") -> DataFrame:
-    """Scores of a truncated SVD, ``U * S``, as ``(key, scores)``.
+def svd_scores(df: DataFrame, k: int = 10, tokens: str = "tokens", key: str = "id",
+               min_df: float = MIN_DF_PERCENT / 100) -> DataFrame:
+    """Scores of a truncated SVD of TF-IDF as ``(key, scores)``.
 
-    Only the k right vectors (columns x k) are held by one process; rows are
-    projected where they are.
+    The right vectors are terms x k and small. A post's score is the sum, over its
+    token occurrences, of the term's weighted right vector: a broadcast join and
+    one aggregate, with no dense post vector anywhere.
     """
-    rows = df.select(column).rdd.map(lambda r: RowVectors.fromML(r[0]))
+    model = fit_tfidf(df, tokens, min_df=min_df)
+    counts, scale = model.stages
+    rows = MLUtils.convertVectorColumnsFromML(
+        model.transform(df.select(tokens)).select("features"), "features")
     right = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(right)
-
-    @F.udf(T.ArrayType(T.DoubleType()))
-    def project(vector):
-        if hasattr(vector, "indices"):
-            return (vector.values @ shared.value[vector.indices]).tolist()
-        return (vector.toArray() @ shared.value).tolist()
-
-    return df.select(key, project(column).alias("scores"))
+    weighted = right * scale.getScalingVec().toArray()[:, None]
+    table = df.sparkSession.createDataFrame(
+        pd.DataFrame({"term": counts.vocabulary, "direction": weighted.tolist()}),
+        "term string, direction array<double>")
+    sums = F.array(*[F.sum(F.col("direction")[i]) for i in range(k)])
+    found = (df.select(key, F.explode(tokens).alias("term"))
+             .join(F.broadcast(table), "term").groupBy(key).agg(sums.alias("scores")))
+    nothing = F.array_repeat(F.lit(0.0), k)
+    return (df.select(key).join(found, key, "left")
+            .select(key, F.coalesce("scores", nothing).alias("scores")))
 
 
 def impute_constant(df: DataFrame) -> DataFrame:
@@ -134,12 +142,12 @@ def one_hot(train: DataFrame, df: DataFrame, columns: list[str], key: str = "id"
 
 
 def one_hot_stages(columns: list[str]) -> list:
-    """The vector form. The extra 'unseen' slot of the indexer becomes all zeros."""
+    """The vector form. The indexer numbers unseen values last; that slot is dropped."""
     index = StringIndexer(
         inputCols=columns, outputCols=[f"{c}_index" for c in columns], handleInvalid="keep")
     encode = OneHotEncoder(
         inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_hot" for c in columns],
-        handleInvalid="keep", dropLast=True)
+        dropLast=True)
     return [index, encode]
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postlab.functions.matching import pieces, term_hits, without_overlaps
+from postlab.functions.matching import (
+    pieces, runs_of_pieces, term_hits, without_overlaps)
 from postlab.functions.tokens import word_count
-from postlab.session import join_sized, settle
+from postlab.session import cached, join_sized, settle
 
 # The level and the category codes of the filtered lexicon.
 LEVEL = "conservative"
@@ -46,15 +47,9 @@ def match_lexicon(posts: DataFrame, lexicon: DataFrame, key: str = "id",
     terms = lexicon.select(F.lower("term").alias("term")).distinct()
     lengths = sorted(
         r[0] for r in terms.select(F.size(pieces(F.col("term")))).distinct().collect())
-    cut = posts.select(key, pieces(F.col(text)).alias("_pieces"))
-    places = cut.select(key, "_pieces", F.posexplode("_pieces").alias("start", "_word"))
-    runs = places.filter(F.col("_word").rlike(r"^[\p{L}\p{N}_]")).select(
-        key, "start",
-        F.explode(F.array(*[
-            F.struct(F.lit(n).alias("length"), F.array_join(
-                F.slice("_pieces", F.col("start") + 1, n), "").alias("term"))
-            for n in lengths])).alias("run"),
-    ).select(key, "start", "run.length", "run.term")
+    runs = (
+        posts.select(key, F.explode(runs_of_pieces(F.col(text), lengths)).alias("run"))
+        .select(key, "run.start", "run.length", "run.term"))
     return join_sized(runs, terms, "term").select(key, "start", "length", "term")
 
 
@@ -129,8 +124,9 @@ def reduce_vector(df: DataFrame, k: int, column: str = "lexicon",
     if k == 0:
         return df.withColumn(output, F.col(column))
     centre = StandardScaler(withMean=True, withStd=False, inputCol=column, outputCol="_centred")
-    centred = centre.fit(df).transform(df)
-    model = PCA(k=k, inputCol="_centred", outputCol=output).fit(centred)
+    with cached(df) as kept:
+        centred = centre.fit(kept).transform(kept)
+        model = PCA(k=k, inputCol="_centred", outputCol=output).fit(centred)
     return model.transform(centred).drop("_centred")
 
 

@@ -7,7 +7,6 @@ column; tokens come from the same Column functions for training and scoring.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
@@ -25,7 +24,7 @@ from postlab.operators.evaluate import macro_scores, mean_metrics
 from postlab.operators.features import fit_tfidf
 from postlab.operators.sampling import assign_folds, shuffle_splits
 from postlab.operators.tables import append_rows
-from postlab.session import settle
+from postlab.session import cached, join_sized, settle
 
 SEED = 123
 # The default settings of the classifiers.
@@ -97,9 +96,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
-    """Rows with their class weight; the class table is one row per class."""
+    """Rows with their class weight."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(output))
-    return df.join(F.broadcast(weights), label)
+    return join_sized(df, settle(weights), label)
 
 
 def fit_label_index(df: DataFrame, label: str, output: str = "label") -> StringIndexerModel:
@@ -109,20 +108,14 @@ def fit_label_index(df: DataFrame, label: str, output: str = "label") -> StringI
 def fit_text_model(train: DataFrame, label: str, classifier: str = "svm",
                    tokens: str = "tokens", min_df: float = 0.01, **params) -> PipelineModel:
     """tokens -> TF-IDF -> classifier -> label name, fitted on ``train``."""
-    rows = train.filter(F.col(label).isNotNull()).select(tokens, label).persist()
-    try:
+    with cached(train.filter(F.col(label).isNotNull()).select(tokens, label)) as rows:
         n = rows.count()
         weigh = fit_tfidf(rows, tokens, min_df=min_df)
         index = fit_label_index(rows, label)
-        ready = index.transform(weigh.transform(rows)).select("features", "label")
-        chosen = get_classifier(classifier, n, len(index.labels), **params)
-        fitted = chosen.fit(ready.persist())
-        ready.unpersist()
-        names = IndexToString(
-            inputCol="prediction", outputCol="category", labels=list(index.labels))
-        return PipelineModel([*weigh.stages, fitted, names])
-    finally:
-        rows.unpersist()
+        with cached(index.transform(weigh.transform(rows)).select("features", "label")) as ready:
+            fitted = get_classifier(classifier, n, len(index.labels), **params).fit(ready)
+    names = IndexToString(inputCol="prediction", outputCol="category", labels=list(index.labels))
+    return PipelineModel([*weigh.stages, fitted, names])
 
 
 def predict(model: PipelineModel, posts: DataFrame,
@@ -134,13 +127,10 @@ def predict(model: PipelineModel, posts: DataFrame,
 def fit_per_language(train: DataFrame, label: str, languages: Iterable[str],
                      classifier: str = "svm", **params) -> dict[str, PipelineModel]:
     """One model per language, all fitted from one scan of ``train``."""
-    cached = train.persist()
-    try:
+    with cached(train) as kept:
         return {
-            x: fit_text_model(cached.filter(F.col("language") == x), label, classifier, **params)
+            x: fit_text_model(kept.filter(F.col("language") == x), label, classifier, **params)
             for x in languages}
-    finally:
-        cached.unpersist()
 
 
 def predict_per_language(models: dict[str, PipelineModel], posts: DataFrame,
@@ -168,15 +158,12 @@ def grid_search(df: DataFrame, classifier: Estimator, settings: dict, folds: int
                 key: str = "id") -> CrossValidatorModel:
     """Exhaustive search over ``(key, features, label)`` with stratified, seeded folds."""
     weighted = with_class_weights(df, "label", "balanced").withColumn("uniform", F.lit(1.0))
-    ready = assign_folds(weighted, "label", folds, key).persist()
-    try:
+    with cached(assign_folds(weighted, "label", folds, key)) as ready:
         search = CrossValidator(
             estimator=classifier, numFolds=folds, foldCol="fold", parallelism=parallelism,
             estimatorParamMaps=grid_of(classifier, settings, ready.count()),
             evaluator=MulticlassClassificationEvaluator(metricName=metric))
         return search.fit(ready)
-    finally:
-        ready.unpersist()
 
 
 def grid_scores(model: CrossValidatorModel) -> list[tuple[str, float]]:
@@ -193,16 +180,14 @@ def cross_val_predict(df: DataFrame, fit: Callable[[DataFrame], object], k: int
 
     ``fit(train)`` returns anything with ``transform`` that adds ``prediction``.
     """
-    folded = assign_folds(df, label, k, key).persist()
     parts = []
-    for fold in range(k):
-        model = fit(folded.filter(F.col("fold") != fold))
-        scored = model.transform(folded.filter(F.col("fold") == fold))
-        parts.append(scored.select(
-            key, "fold", F.col(label).alias("gold"), F.col("prediction").alias("pred")))
-    predictions = settle(reduce(DataFrame.unionByName, parts))
-    folded.unpersist()
-    return predictions
+    with cached(assign_folds(df, label, k, key)) as folded:
+        for fold in range(k):
+            model = fit(folded.filter(F.col("fold") != fold))
+            scored = model.transform(folded.filter(F.col("fold") == fold))
+            parts.append(scored.select(
+                key, "fold", F.col(label).alias("gold"), F.col("prediction").alias("pred")))
+        return settle(append_rows(*parts))
 
 
 def cross_validate(predictions: DataFrame) -> DataFrame:
@@ -213,8 +198,7 @@ def cross_validate(predictions: DataFrame) -> DataFrame:
 def fit_two_heads(df: DataFrame, features: str = "features",
                   labels: tuple[str, str] = ("gold1", "gold2"), **params) -> list:
     """Two multinomial heads over one shared feature column; rows labelled -1 are skipped."""
-    rows = df.persist()
-    try:
+    with cached(df) as rows:
         return [
             LogisticRegression(
                 featuresCol=features, labelCol=label, family="multinomial",
@@ -222,8 +206,6 @@ def fit_two_heads(df: DataFrame, features: str = "features",
                 predictionCol=f"prediction{i}", **params,
             ).fit(rows.filter(F.col(label) >= 0))
             for i, label in enumerate(labels, 1)]
-    finally:
-        rows.unpersist()
 
 
 def score_two_heads(heads: list, df: DataFrame) -> DataFrame:
@@ -244,22 +226,21 @@ def repeated_split_scores(df: DataFrame, classifier: Callable[..., Estimator], s
     ``classifier(n, **params)`` makes an estimator for ``n`` training rows. Scores
     are averaged over folds, one row per repetition; `mean_metrics` averages those.
     """
-    split = shuffle_splits(df, repetitions, test_size, key).persist()
     results = []
-    for repetition in range(repetitions):
-        chosen = split.filter(F.col("repetition") == repetition)
-        tuned = grid_search(
-            chosen.filter(F.col("part") == "tune"), classifier(1), settings, folds, key=key)
-        held_out = chosen.filter(F.col("part") == "evaluate")
-        estimator = tuned.getEstimator()
-        ranked = zip(tuned.avgMetrics, tuned.getEstimatorParamMaps())
-        point = max(ranked, key=lambda r: r[0])[1]
-        scores = cross_validate(cross_val_predict(
-            with_class_weights(held_out, "label", "balanced").withColumn("uniform", F.lit(1.0)),
-            lambda train: estimator.copy(point).fit(train), folds, key=key))
-        metrics = [c for c in scores.columns if c != "fold"]
-        results.append(mean_metrics(scores, metrics).withColumn("repetition", F.lit(repetition)))
-    averaged = settle(reduce(DataFrame.unionByName, results))
-    split.unpersist()
-    return averaged
-
+    with cached(shuffle_splits(df, repetitions, test_size, key)) as split:
+        for repetition in range(repetitions):
+            chosen = split.filter(F.col("repetition") == repetition)
+            tuned = grid_search(
+                chosen.filter(F.col("part") == "tune"), classifier(1), settings, folds, key=key)
+            estimator = tuned.getEstimator()
+            ranked = zip(tuned.avgMetrics, tuned.getEstimatorParamMaps())
+            point = max(ranked, key=lambda r: r[0])[1]
+            held_out = with_class_weights(
+                chosen.filter(F.col("part") == "evaluate"), "label", "balanced")
+            scores = cross_validate(cross_val_predict(
+                held_out.withColumn("uniform", F.lit(1.0)),
+                lambda train: estimator.copy(point).fit(train), folds, key=key))
+            metrics = [c for c in scores.columns if c != "fold"]
+            results.append(
+                mean_metrics(scores, metrics).withColumn("repetition", F.lit(repetition)))
+        return settle(append_rows(*results))

@@ -37,13 +37,19 @@ def f1_tfidf(spark, sf):
     return X.tfidf(_tokens(spark, sf)).withColumn("tfidf", F.round("tfidf", 6))
 
 
-@query()
+def _sum(values):
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+@query(S.with_views(
+    "SELECT p.id, round(coalesce(sum(tf * (ln((1 + (SELECT count(*) FROM v_posts)) / (1 + df)) + 1)), 0), 4) "
+    "AS total_weight FROM v_posts p LEFT JOIN (SELECT * FROM tf JOIN df USING (term)) w ON p.id = w.id "
+    "GROUP BY p.id", S.POSTS, COUNTED))
 def f1_tfidf_vector(spark, sf):
     """The vector form; per post the sum of its weights, comparable with the long form."""
-    posts = _tokens(spark, sf).persist()
+    posts = _tokens(spark, sf)
     weighed = X.fit_tfidf(posts).transform(posts)
-    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
-    return weighed.select("id", F.round(total, 6).alias("total_weight"))
+    return weighed.select("id", F.round(_sum(vector_to_array("features")), 4).alias("total_weight"))
 
 
 @query(S.with_views("SELECT id, term, tf, df FROM tf JOIN df USING (term)", S.POSTS, COUNTED))
@@ -53,11 +59,9 @@ def f2_bag_of_words(spark, sf):
 
 @query()
 def f3_svd_scores(spark, sf):
-    posts = _tokens(spark, sf).persist()
     # Terms in at least a tenth of the posts: the decomposition works on columns
     # squared, so the vocabulary is narrowed first.
-    vectors = X.fit_tfidf(posts, min_df=0.1).transform(posts).select("id", "features").persist()
-    scores = X.svd_scores(vectors, 5)
+    scores = X.svd_scores(_tokens(spark, sf), 5, min_df=0.1)
     return scores.select("id", *[F.round(F.col("scores")[i], 4).alias(f"s{i}") for i in range(5)])
 
 
@@ -97,7 +101,26 @@ def f6_one_hot(spark, sf):
     return hot.withColumn("weight", F.col("weight").cast("bigint"))
 
 
-@query()
+WIDE_TOKENS = S.tokens("lower(text)")
+
+
+@query(S.with_views(f"""SELECT a.status_id, round(coalesce(t.w, 0) + coalesce(h.n, 0) + a.fav + a.fol + 2, 4) AS total,
+  (SELECT count(*) FROM df) + (SELECT count(*) FROM v_lexicon) + 2
+  + (SELECT count(DISTINCT coalesce(media_type, 'NA')) FROM v_aux_features)
+  + (SELECT count(DISTINCT reply_to_status_id IS NULL) FROM v_aux_features) AS width
+FROM scaled a LEFT JOIN hits h USING (status_id) LEFT JOIN weights t USING (status_id)""",
+                    S.AUX_FEATURES, S.LEXICON, f"""
+tf AS (SELECT status_id, term, count(*) AS tf FROM
+  (SELECT status_id, unnest({WIDE_TOKENS}) AS term FROM v_aux_features) t GROUP BY status_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+  HAVING 20 * count(*) >= (SELECT count(*) FROM v_aux_features)),
+weights AS (SELECT status_id, sum(tf * (ln((1 + (SELECT count(*) FROM v_aux_features)) / (1 + df)) + 1)) AS w
+  FROM tf JOIN df USING (term) GROUP BY status_id),
+hits AS (SELECT status_id, count(DISTINCT t.term) AS n FROM (SELECT status_id, unnest({S.words('lower(text)')}) AS term
+  FROM v_aux_features) t JOIN v_lexicon l ON t.term = l.term GROUP BY status_id),
+scaled AS (SELECT status_id,
+  (favorite_count - avg(favorite_count) OVER ()) / stddev_pop(favorite_count) OVER () AS fav,
+  (followers_count - avg(followers_count) OVER ()) / stddev_pop(followers_count) OVER () AS fol FROM v_aux_features)"""))
 def f7_feature_union(spark, sf):
     """Text, lexicon, number and category features in one vector."""
     posts = views.aux_features(spark, sf)
@@ -108,7 +131,7 @@ def f7_feature_union(spark, sf):
     lexicon = views.lexicon(spark, sf)
     matched = L.lexicon_hits(scaled, lexicon, key="status_id")
     ready = L.vectorise_hits(matched, L.inline_terms(lexicon)).withColumn(
-        "tokens", K.tokenize(F.lower("text"))).persist()
+        "tokens", K.tokenize(F.lower("text")))
     text = X.fit_tfidf(ready, output="tfidf", min_df=0.05).transform(ready)
     union = X.feature_union(
         numbers=["favorite_count", "followers_count"], categories=["media_type", "reply"],
@@ -116,8 +139,8 @@ def f7_feature_union(spark, sf):
     joined = union.fit(text).transform(text)
     parts = vector_to_array("features")
     return joined.select(
-        "status_id", F.size(parts).alias("width"),
-        F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+        "status_id", F.size(parts).cast("bigint").alias("width"),
+        F.round(_sum(parts), 4).alias("total"))
 
 
 LIST = "SELECT id, {0} AS tokens FROM v_posts".format(TOKENS)
@@ -153,8 +176,7 @@ def f1_top_terms_per_language(spark, sf):
     posts = views.posts(spark, sf).select(
         "id", "language",
         K.tokenize(F.lower(T.clean_text(F.col("text"), T.TRAIN))).alias("tokens"))
-    languages = views.posts(spark, sf).select("id", "language")
-    weights = (X.tfidf(posts).join(languages, "id").groupBy("language", "term")
+    weights = (X.tfidf(posts, keep=("language",)).groupBy("language", "term")
                .agg(F.round(F.sum("tfidf"), 4).alias("weight")))
     best = Window.partitionBy("language").orderBy(F.desc("weight"), "term")
     return (weights.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 20)

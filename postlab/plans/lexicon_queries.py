@@ -14,6 +14,7 @@ from postlab.operators import lexicon as L
 from postlab.plans import checksql as S
 from postlab.plans import views
 from postlab.plans.registry import query
+from postlab.session import cached
 
 CHOSEN = ("c0", "c1")
 CHOSEN_SQL = "l.level = 'conservative' AND l.category IN ('c0', 'c1')"
@@ -193,7 +194,7 @@ def l5_weighted_lexicon_vector(spark, sf):
 def l6_reduce_vector(spark, sf):
     matched = _matched(spark, sf)
     terms = L.inline_terms(views.lexicon(spark, sf))
-    vectors = L.vectorise_hits(matched, terms).select("id", "lexicon").persist()
+    vectors = L.vectorise_hits(matched, terms).select("id", "lexicon")
     reduced = L.reduce_vector(vectors, 5)
     parts = vector_to_array("reduced")
     return reduced.select("id", *[F.round(parts[i], 6).alias(f"pc{i + 1}") for i in range(5)])
@@ -237,10 +238,10 @@ def l8_topic_lexicon(spark, sf):
 def l8_topic_top_words(spark, sf):
     """Top words of a topic model fitted on the posts."""
     posts = views.posts(spark, sf).select(
-        K.tokenize(T.clean_text(F.col("text"), T.TRAIN)).alias("tokens")).persist()
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=0.01).fit(posts)
-    vectors = counts.transform(posts).persist()
-    model = LDA(k=4, maxIter=5, seed=123).fit(vectors)
+        K.tokenize(T.clean_text(F.col("text"), T.TRAIN)).alias("tokens"))
+    with cached(posts):
+        counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=0.01).fit(posts)
+        model = LDA(k=4, maxIter=5, seed=123).fit(counts.transform(posts))
     weights = L.topic_weights(model, counts.vocabulary, 50)
     return L.top_words(weights, 10).withColumn("weight", F.round("weight", 6))
 

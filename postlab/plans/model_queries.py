@@ -64,7 +64,7 @@ def m3_linear_svm(spark, sf):
 
 @query()
 def m3_svm_probability(spark, sf):
-    binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double")).persist()
+    binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
     scored = M.linear_svm(binary.count(), maxIter=20).fit(binary).transform(binary)
     return M.margin_probability(scored).select(
         "id", F.col("prediction").cast("int").alias("pred"),
@@ -91,11 +91,13 @@ def m5_predict(spark, sf):
     return _saved_and_loaded(spark, sf)[1]
 
 
-@query()
+@query(S.with_views("SELECT id, cast(1 AS bigint) AS same FROM v_posts WHERE split <> 'train'", S.POSTS))
 def s5_save_load_model(spark, sf):
-    """Before and after saving, side by side."""
+    """Whether each post gets the same category before and after saving."""
     before, after = _saved_and_loaded(spark, sf)
-    return before.join(after.select("id", F.col("category").alias("category_loaded")), "id")
+    loaded = after.select("id", F.col("category").alias("loaded"))
+    return before.join(loaded, "id").select(
+        "id", (F.col("category") == F.col("loaded")).cast("bigint").alias("same"))
 
 
 @query()
@@ -136,7 +138,7 @@ def m8_assign_folds(spark, sf):
 
 
 def _out_of_fold(spark, sf, k):
-    vectors = _vectors(spark, sf).persist()
+    vectors = _vectors(spark, sf)
     n = vectors.count()
     return M.cross_val_predict(
         vectors, lambda train: M.logistic_regression(n, maxIter=5).fit(train), k=k)
@@ -195,7 +197,7 @@ def m10_text_heads(spark, sf):
         "gold1": F.when(F.col("task1") == "toxic", 1).when(F.col("task1") == "non-toxic", 0)
         .otherwise(-1),
         "gold2": F.coalesce(F.array_position(F.array(*[F.lit(x) for x in views.TASK2]),
-                                             F.col("task2")).cast("int") - 1, F.lit(-1))}).persist()
+                                             F.col("task2")).cast("int") - 1, F.lit(-1))})
     vectors = fit_tfidf(posts).transform(posts).select("id", "features", "gold1", "gold2", "split")
     heads = M.fit_two_heads(vectors.filter(F.col("split") == "train"), maxIter=5)
     return M.score_two_heads(heads, vectors).select("id", "pred1", "pred2")
