@@ -35,16 +35,30 @@ def normalise_terms(terms: list[str]) -> dict[int, list[str]]:
 
 
 def runs_of_pieces(text: Column, lengths: list[int]) -> Column:
-    """Array of ``(start, length, term)``: every run that starts with a word."""
-    def at(parts: Column, word: Column, i: Column) -> Column:
+    """Array of ``(start, length, term)``: every run that starts with a word.
+
+    ``start`` counts words when all runs are single words, else pieces.
+    """
+    if lengths == [1]:
+        return F.transform(words(F.lower(text)), lambda word, i: F.struct(
+            i.alias("start"), F.lit(1).alias("length"), word.alias("term")))
+
+    def at(parts: Column, first: Column, word: Column, i: Column) -> Column:
         runs = F.array(*[
             F.struct(i.alias("start"), F.lit(n).alias("length"),
-                     F.array_join(F.slice(parts, i + 1, n), "").alias("term"))
+                     (word if n == 1 else F.array_join(F.slice(parts, i + 1, n), ""))
+                     .alias("term"))
             for n in lengths])
-        return F.when(word.rlike(r"^[\p{L}\p{N}_]"), runs)
+        return F.when(i % 2 == first, runs)
+
+    def all_runs(parts: Column, first: Column) -> Column:
+        return F.flatten(F.filter(
+            F.transform(parts, lambda word, i: at(parts, first, word, i)),
+            lambda r: r.isNotNull()))
 
-    return let(pieces(text), lambda parts: F.flatten(F.filter(
-        F.transform(parts, lambda word, i: at(parts, word, i)), lambda r: r.isNotNull())))
+    # Pieces alternate, so words sit at the even or at the odd places.
+    opens = F.when(F.lower(text).rlike(r"^[\p{L}\p{N}_]"), 0).otherwise(1)
+    return let(pieces(text), lambda parts: let(opens, lambda first: all_runs(parts, first)))
 
 
 def candidates(parts: Column, grouped: dict[int, list[str]]) -> Column:

@@ -13,16 +13,19 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlab.functions.binding import let
+
 # The marker words and patterns that define the cleaning rules.
 USER_WORD = "twuser"
 HASHTAG_WORD = "twhastag"
 EXCLAMATION_WORD = "twexclamation"
 QUESTION_WORD = "twinterrogation"
 URL_WORD = "twurl"
-USER_PATTERN = r"(?<![a-zA-Z0-9\-\\.])@[A-Za-z][A-Za-z0-9]+"
-HASHTAG_PATTERN = r"(?<![a-zA-Z0-9\-\\.])#[A-Za-z][A-Za-z0-9]+"
+# The mark is matched before its left neighbour is looked at, which is cheaper.
+USER_PATTERN = r"@(?<![a-zA-Z0-9\-\\.]@)[A-Za-z][A-Za-z0-9]+"
+HASHTAG_PATTERN = r"#(?<![a-zA-Z0-9\-\\.]#)[A-Za-z][A-Za-z0-9]+"
 URL_PATTERN = r"https?://[a-z!$-_]+"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION_PATTERN = r"\p{Punct}+"  # the 32 ASCII marks
 
 # Latin characters that transliterate to something other than
 # their unaccented base letter.
@@ -69,20 +72,28 @@ def emoji_names() -> dict[str, str]:
 
 
 def to_lower(text: Column) -> Column:
-    return F.translate(F.lower(text), "\n", " ")
+    return F.replace(F.lower(text), F.lit("\n"), F.lit(" "))
 
 
 def filter_punctuation(text: Column) -> Column:
     """Delete ASCII punctuation; inverted marks are not ASCII and stay."""
-    return F.translate(text, PUNCTUATION, "")
+    return F.regexp_replace(text, PUNCTUATION_PATTERN, "")
 
 
 def strip_accents(text: Column) -> Column:
-    """Transliterate Latin text to ASCII. Other scripts are left as they are."""
-    source, target = latin_fold()
-    for letter, spelled in MULTI_LETTER.items():
-        text = F.replace(text, F.lit(letter), F.lit(spelled))
-    return F.translate(text, source, target)
+    """Transliterate Latin text to ASCII. Other scripts are left as they are.
+
+    Texts that are ASCII already have as many bytes as characters and pass as is.
+    """
+    def fold(x: Column) -> Column:
+        source, target = latin_fold()
+        spelled = x
+        for letter, letters in MULTI_LETTER.items():
+            spelled = F.replace(spelled, F.lit(letter), F.lit(letters))
+        return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(
+            F.translate(spelled, source, target))
+
+    return let(text, fold)
 
 
 def replace_user(text: Column) -> Column:
@@ -98,7 +109,7 @@ def split_capitals(text: Column) -> Column:
 
 
 def replace_exclamation(text: Column) -> Column:
-    return F.regexp_replace(text, "!+|¡+", " " + EXCLAMATION_WORD)
+    return F.regexp_replace(text, r"([!¡])\1*", " " + EXCLAMATION_WORD)
 
 
 def replace_interrogation(text: Column) -> Column:
@@ -118,16 +129,20 @@ def replace_emoji(text: Column) -> Column:
     """
     names = F.from_json(F.lit(_emoji_json()), "map<string,string>")
     emoji = EMOJI_CLASS + VARIATION_SELECTOR + "?"
-    pieces = F.regexp_extract_all(
-        text, F.lit(f"{emoji}|(?:(?!{EMOJI_CLASS})[\\s\\S])+"), F.lit(0))
-    named = F.transform(
-        pieces,
-        lambda p: F.when(
-            p.rlike(f"^{EMOJI_CLASS}"),
-            F.coalesce(F.element_at(names, F.replace(p, F.lit(VARIATION_SELECTOR), F.lit(""))), p),
-        ).otherwise(p))
-    spelled = F.when(text.rlike(EMOJI_CLASS), F.array_join(named, "")).otherwise(text)
-    return F.replace(spelled, F.lit("::"), F.lit(" "))
+    other = EMOJI_CLASS.replace("[", "[^", 1)
+
+    def spell(x: Column) -> Column:
+        pieces = F.regexp_extract_all(x, F.lit(f"{emoji}|{other}+"), F.lit(0))
+        named = F.transform(
+            pieces,
+            lambda p: F.when(
+                p.rlike(f"^{EMOJI_CLASS}"),
+                F.coalesce(
+                    F.element_at(names, F.replace(p, F.lit(VARIATION_SELECTOR), F.lit(""))), p),
+            ).otherwise(p))
+        return F.when(x.rlike(EMOJI_CLASS), F.array_join(named, "")).otherwise(x)
+
+    return F.replace(let(text, spell), F.lit("::"), F.lit(" "))
 
 
 @lru_cache(maxsize=1)

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from postlab.functions.text import strip_accents
 
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
-HANDLE_PATTERN = r"(?<![A-Za-z0-9_!@#$%&*])@[A-Za-z0-9_]+"
+HANDLE_PATTERN = r"@(?<![A-Za-z0-9_!@#$%&*]@)[A-Za-z0-9_]+"
+# Possessive repeats never back up, so a token of any length needs no stack.
 TOKEN_PATTERN = "|".join([
     r"https?://[a-z!$-_]+",
     r"#[\p{L}\p{N}_]+",
-    r"[\p{L}_][\p{L}\p{N}_]*(?:['\-][\p{L}\p{N}_]+)*",
-    r"\p{N}+(?:[.,:/]\p{N}+)*",
+    r"[\p{L}_][\p{L}\p{N}_]*+(?:['\-][\p{L}\p{N}_]++)*+",
+    r"\p{N}++(?:[.,:/]\p{N}++)*+",
     r"[^\s]",
 ])
 
@@ -89,6 +90,15 @@ def tokenize_for_lexicon(text: Column, dictionary: dict[str, str],
     return drop_noise_tokens(replace_tokens(tokenize(trimmed, stops), dictionary))
 
 
+def each_token(tokens: str) -> Column:
+    """``explode`` for a column that was expensive to compute.
+
+    Exploding a bare column makes the optimizer add a "not empty" filter, push it
+    below the projection and compute the tokens twice; an expression is left alone.
+    """
+    return F.explode(F.coalesce(tokens, F.array().cast("array<string>")))
+
+
 def intersect_tokens(tokens: Column, terms: list[str]) -> Column:
     """Distinct tokens of a post that are in a term list."""
     return F.filter(F.array_distinct(tokens), lambda t: t.isin(terms))

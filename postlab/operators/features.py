@@ -9,10 +9,11 @@ from pyspark.ml.feature import (
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postlab.functions.tokens import each_token
 from postlab.session import cached, join_sized, settle
 
 # Share of posts a term must occur in, as a percentage: the edge test then stays
@@ -24,6 +25,11 @@ FIRST_TERM_ID = 4
 VOCABULARY_SIZE = 30_000
 
 
+def row_count(df: DataFrame) -> Column:
+    """The number of rows as a scalar subquery; equal ones are computed once."""
+    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def _by_post(df: DataFrame, tokens: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Token lists partitioned by post.
 
@@ -33,10 +39,9 @@ def _by_post(df: DataFrame, tokens: str, key: str, keep: tuple[str, ...] = ()) -
     return df.select(key, *keep, tokens).repartition(F.col(key))
 
 
-def kept_terms(df: DataFrame, tokens: str = "tokens",
+def kept_terms(df: DataFrame, total: Column, tokens: str = "tokens",
                min_df_percent: int = MIN_DF_PERCENT) -> DataFrame:
-    """``(term, df)`` of terms in at least that percentage of all posts."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """``(term, df)`` of terms in at least that percentage of ``total`` posts."""
     return (df.select(F.explode(F.array_distinct(tokens)).alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             .filter(F.col("df") * 100 >= total * min_df_percent))
@@ -51,8 +56,8 @@ def bag_of_words(df: DataFrame, tokens: str = "tokens", key: str = "id",
     term table is broadcast. Without pruning its size is measured.
     """
     posts = _by_post(df, tokens, key, keep)
-    frequency = kept_terms(posts, tokens, min_df_percent)
-    occurrences = posts.select(key, *keep, F.explode(tokens).alias("term"))
+    frequency = kept_terms(posts, row_count(df), tokens, min_df_percent)
+    occurrences = posts.select(key, *keep, each_token(tokens).alias("term"))
     columns = [key, *keep, "term", "tf", "df"]
     if min_df_percent >= MIN_DF_PERCENT:
         known = occurrences.join(F.broadcast(frequency), "term")
@@ -65,8 +70,7 @@ def bag_of_words(df: DataFrame, tokens: str = "tokens", key: str = "id",
 def tfidf(df: DataFrame, tokens: str = "tokens", key: str = "id",
           min_df_percent: int = MIN_DF_PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """``tf * (ln((1 + n) / (1 + df)) + 1)``, not normalised, in long form."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = F.log((1 + total) / (1 + F.col("df"))) + 1
+    idf = F.log((1 + row_count(df)) / (1 + F.col("df"))) + 1
     counted = bag_of_words(df, tokens, key, min_df_percent, keep)
     return counted.withColumn("tfidf", F.col("tf") * idf)
 
@@ -103,7 +107,7 @@ def svd_scores(df: DataFrame, k: int = 10, tokens: str = "tokens", key: str = "i
         pd.DataFrame({"term": counts.vocabulary, "direction": weighted.tolist()}),
         "term string, direction array<double>")
     sums = F.array(*[F.sum(F.col("direction")[i]) for i in range(k)])
-    found = (df.select(key, F.explode(tokens).alias("term"))
+    found = (df.select(key, each_token(tokens).alias("term"))
              .join(F.broadcast(table), "term").groupBy(key).agg(sums.alias("scores")))
     nothing = F.array_repeat(F.lit(0.0), k)
     return (df.select(key).join(found, key, "left")
@@ -169,7 +173,7 @@ def build_vocabulary(df: DataFrame, size: int = VOCABULARY_SIZE, tokens: str = "
 
     A vocabulary has a fixed size; at most ``size`` rows are numbered.
     """
-    top = (df.select(F.explode(tokens).alias("term"))
+    top = (df.select(each_token(tokens).alias("term"))
            .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), "term").limit(size))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "term"))

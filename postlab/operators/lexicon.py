@@ -44,7 +44,7 @@ def match_lexicon(posts: DataFrame, lexicon: DataFrame, key: str = "id",
     The route for lexicons of any size: runs of pieces, of the lengths that occur
     in the lexicon, are joined with the terms.
     """
-    terms = lexicon.select(F.lower("term").alias("term")).distinct()
+    terms = settle(lexicon.select(F.lower("term").alias("term")).distinct())
     lengths = sorted(
         r[0] for r in terms.select(F.size(pieces(F.col("term")))).distinct().collect())
     runs = (

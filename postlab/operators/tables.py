@@ -139,14 +139,14 @@ def replace_tokens_join(df: DataFrame, dictionary: DataFrame, key: str = "id",
     Tokens travel with their position and come back in order; posts without
     tokens keep an empty list. A post is the unit that is re-collected.
     """
-    exploded = df.select(key, F.posexplode(tokens).alias("_pos", "term"))
+    empty = F.array().cast("array<string>")
+    exploded = df.select(key, F.posexplode(F.coalesce(tokens, empty)).alias("_pos", "term"))
     replaced = join_sized(exploded, dictionary.select("term", "replacement"), "term", "left")
     rebuilt = replaced.groupBy(key).agg(
         F.transform(
             F.array_sort(F.collect_list(
                 F.struct("_pos", F.coalesce("replacement", "term").alias("t")))),
             lambda s: s["t"]).alias("_new"))
-    empty = F.array().cast("array<string>")
     return (df.join(rebuilt, key, "left")
               .withColumn(tokens, F.when(F.col(tokens).isNotNull(), F.coalesce("_new", empty)))
               .drop("_new"))
