@@ -7,13 +7,15 @@ column; tokens come from the same Column functions for training and scoring.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.base import Estimator
+from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
+    LinearSVC, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import (
+    IndexToString, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -58,7 +60,7 @@ def random_forest(trees: int = FOREST_TREES, depth: int = MAX_TREE_DEPTH,
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, **{**defaults, **params})
 
 
-def get_classifier(name: str, n: int, classes: int = 2, **params) -> Estimator:
+def get_classifier(name: str, n: int, **params) -> Estimator:
     """A classifier by name; ``n`` is the number of training rows."""
     if name == "random_forest":
         return random_forest(**params)
@@ -66,22 +68,51 @@ def get_classifier(name: str, n: int, classes: int = 2, **params) -> Estimator:
               "svm": linear_svm}
     if name not in makers:
         raise ValueError(f"unknown classifier: {name}")
-    binary = makers[name](n, **params)
-    if classes <= 2:
-        return binary
-    return OneVsRest(classifier=binary, parallelism=min(classes, 4))
+    return makers[name](n, **params)
 
 
-def margin_probability(scored: DataFrame, label: str = "label",
-                       raw: str = "rawPrediction") -> DataFrame:
+def fit_margins(rows: DataFrame, classifier: Estimator, classes: int,
+                label: str = "label") -> list[Transformer]:
+    """Fitted stages that end in one ``margins`` vector with a number per class.
+
+    Two classes, or a classifier for any number of them: one model. Otherwise one
+    model per class against the rest, fitted side by side; their margins are put
+    into one vector, so a single pass scores all classes.
+    """
+    if classes <= 2 or isinstance(classifier, RandomForestClassifier):
+        return [classifier.copy({classifier.rawPredictionCol: "margins"}).fit(rows)]
+
+    def fit_one(i: int) -> Transformer:
+        target = rows.withColumn("_is", (F.col(label) == i).cast("double"))
+        names = {classifier.labelCol: "_is", classifier.rawPredictionCol: f"_raw{i}",
+                 classifier.predictionCol: f"_pred{i}"}
+        if classifier.hasParam("probabilityCol"):
+            names[classifier.getParam("probabilityCol")] = f"_prob{i}"
+        return classifier.copy(names).fit(target)
+
+    with ThreadPoolExecutor(min(classes, 4)) as pool:
+        models = list(pool.map(fit_one, range(classes)))
+    # A binary margin vector is (-m, m): the odd places are the classes' own.
+    return [
+        *models,
+        VectorAssembler(inputCols=[f"_raw{i}" for i in range(classes)], outputCol="_raws"),
+        VectorSlicer(inputCol="_raws", outputCol="margins",
+                     indices=[2 * i + 1 for i in range(classes)]),
+    ]
+
+
+def margin_probability(scored: DataFrame, label: str = "label", raw: str = "rawPrediction",
+                       max_iter: int = 25) -> DataFrame:
     """Class probability from an SVM margin: a logistic fit on that one number."""
     margin = scored.withColumn("_margin", vector_to_array(raw)[1])
     chain = VectorAssembler(inputCols=["_margin"], outputCol="_m")
     calibrate = LogisticRegression(
         featuresCol="_m", labelCol=label, rawPredictionCol="_raw", predictionCol="_p",
-        probabilityCol="_prob")
+        probabilityCol="_prob", maxIter=max_iter)
     vectors = chain.transform(margin)
-    return (calibrate.fit(vectors).transform(vectors)
+    with cached(vectors.select("_m", label)) as rows:
+        fitted = calibrate.fit(rows)
+    return (fitted.transform(vectors)
             .withColumn("probability", vector_to_array("_prob")[1])
             .drop("_margin", "_m", "_raw", "_p", "_prob"))
 
@@ -107,21 +138,27 @@ def fit_label_index(df: DataFrame, label: str, output: str = "label") -> StringI
 
 def fit_text_model(train: DataFrame, label: str, classifier: str = "svm",
                    tokens: str = "tokens", min_df: float = 0.01, **params) -> PipelineModel:
-    """tokens -> TF-IDF -> classifier -> label name, fitted on ``train``."""
+    """tokens -> TF-IDF -> margins -> class name, fitted on ``train``.
+
+    The last stage only names the classes; `predict` puts the arg-max before it.
+    """
     with cached(train.filter(F.col(label).isNotNull()).select(tokens, label)) as rows:
         n = rows.count()
         weigh = fit_tfidf(rows, tokens, min_df=min_df)
         index = fit_label_index(rows, label)
         with cached(index.transform(weigh.transform(rows)).select("features", "label")) as ready:
-            fitted = get_classifier(classifier, n, len(index.labels), **params).fit(ready)
-    names = IndexToString(inputCol="prediction", outputCol="category", labels=list(index.labels))
-    return PipelineModel([*weigh.stages, fitted, names])
+            fitted = fit_margins(ready, get_classifier(classifier, n, **params), len(index.labels))
+    names = IndexToString(inputCol="predicted", outputCol="category", labels=list(index.labels))
+    return PipelineModel([*weigh.stages, *fitted, names])
 
 
 def predict(model: PipelineModel, posts: DataFrame,
             keep: tuple[str, ...] = ("test_case", "id")) -> DataFrame:
     """Scored posts: kept columns and ``category``. Nothing is matched by position."""
-    return model.transform(posts).select(*keep, "category")
+    *chain, names = model.stages
+    scored = PipelineModel(chain).transform(posts).withColumn(
+        "predicted", argmax(vector_to_array("margins")).cast("double"))
+    return names.transform(scored).select(*keep, "category")
 
 
 def fit_per_language(train: DataFrame, label: str, languages: Iterable[str],

@@ -11,6 +11,8 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+NULL_MARK = "\x01"
+
 # Ids are zero-padded strings; nothing is ever inferred.
 POSTS = _strings("test_case", "id", "source", "language", "text", "task1", "task2")
 AUX_LABELS = _strings("status_id", "categoria")
@@ -32,6 +34,9 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
         spark.read.schema(schema)
         .option("sep", sep).option("header", header)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+        # An empty field is NULL, a quoted empty field is an empty text. With the
+        # default mark, which is empty itself, both would be NULL.
+        .option("nullValue", NULL_MARK).option("emptyValue", "")
         .option("enforceSchema", not header)
         .csv(path))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from postlab.sources.posts import POSTS
+from postlab.sources.posts import NULL_MARK, POSTS
 
 
 def stream_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,7 @@ def stream_posts(spark: SparkSession, folder: str) -> DataFrame:
         spark.readStream.schema(POSTS)
         .option("sep", "\t").option("header", True)
         .option("quote", '"').option("escape", '"').option("multiLine", True)
+        .option("nullValue", NULL_MARK).option("emptyValue", "")
         .csv(folder))
 
 
