@@ -23,6 +23,7 @@ MIN_DF_PERCENT = 1
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
 FIRST_TERM_ID = 4
 VOCABULARY_SIZE = 30_000
+NO_LIMIT = 2**31 - 1
 
 
 def row_count(df: DataFrame) -> Column:
@@ -82,7 +83,8 @@ def fit_tfidf(df: DataFrame, tokens: str = "tokens", output: str = "features",
     The library's IDF has no ``+ 1``, so counts are scaled by ``idf + 1``.
     """
     with cached(df.select(tokens)) as posts:
-        counts = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=min_df).fit(posts)
+        counts = CountVectorizer(
+            inputCol=tokens, outputCol="_tf", minDF=min_df, vocabSize=NO_LIMIT).fit(posts)
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(posts)).idf
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_tf", outputCol=output)

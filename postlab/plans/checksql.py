@@ -23,7 +23,7 @@ SELECT 'CASE1' AS test_case, lpad(cast(d.doc_id AS varchar), greatest(6, length(
     cast(d.doc_id AS varchar), '?q=1#frag ¿', d.lang, '?? ¡Ya!!! sooooo{TAIL}') AS text,
   CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.toxic = 0 THEN 'non-toxic' END AS task1,
   CASE WHEN l.toxic = 1 THEN concat('kind', cast(d.n_chars % 5 + 1 AS varchar)) WHEN l.toxic = 0 THEN 'non-toxic' END AS task2,
-  CASE WHEN l.doc_id IS NULL THEN 'test' WHEN d.doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split
+  CASE WHEN l.doc_id IS NULL THEN 'test' ELSE 'train' END AS split
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 AUX_LABELS = """v_aux_labels AS (

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from postlab.functions import text as T
 from postlab.functions import tokens as K
 from postlab.operators import models as M
-from postlab.operators.evaluate import mean_metrics
+from postlab.operators.evaluate import classification_report, mean_metrics
 from postlab.operators.features import fit_tfidf
 from postlab.operators.sampling import assign_folds, shuffle_splits
+from postlab.operators.tables import attach_predictions
 from postlab.plans import checksql as S
 from postlab.plans import views
 from postlab.plans.registry import query
-from postlab.session import workspace
+from postlab.session import cached, settle, workspace
 from postlab.sources.models import load_model, save_model
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -107,6 +108,23 @@ def m6_fit_per_language(spark, sf):
     return M.predict_per_language(models, rest)
 
 
+@query()
+def m6_report_over_languages(spark, sf):
+    """A model per language, fitted on four folds of the labelled posts and scored on
+    the fifth; one report over all languages together."""
+    labelled = _posts(spark, sf).filter(F.col("split") == "train")
+    folded = assign_folds(labelled, "language", 5)
+    with cached(folded) as posts:
+        held_out = posts.filter(F.col("fold") == 0)
+        models = M.fit_per_language(
+            posts.filter(F.col("fold") > 0), "task1", LANGUAGES, "logistic_regression", maxIter=10)
+        scored = settle(attach_predictions(
+            held_out.select("id", F.col("task1").alias("gold")),
+            M.predict_per_language(models, held_out, ("id",)).withColumnRenamed("category", "pred")))
+    report = classification_report(scored)
+    return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
 WEIGHTS = ("SELECT task2, count(*) AS n_class, round((SELECT count(*) FROM v_posts WHERE task2 IS NOT NULL) / "
            "((SELECT count(DISTINCT task2) FROM v_posts) * count(*)), 6) AS weight "
            "FROM v_posts WHERE task2 IS NOT NULL GROUP BY task2")

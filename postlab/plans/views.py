@@ -46,8 +46,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(toxic == 1, "toxic").when(toxic == 0, "non-toxic").alias("task1"),
         F.when(toxic == 1, F.concat(F.lit("kind"), (F.col("d.n_chars") % 5 + 1).cast("string")))
         .when(toxic == 0, "non-toxic").alias("task2"),
-        F.when(F.col("l.doc_id").isNull(), "test")
-        .when(F.col("d.doc_id") % 5 == 0, "validation").otherwise("train").alias("split"))
+        F.when(F.col("l.doc_id").isNull(), "test").otherwise("train").alias("split"))
 
 
 def aux_labels(spark: SparkSession, sf: str) -> DataFrame:
