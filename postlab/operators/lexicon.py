@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, StandardScaler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -153,11 +154,15 @@ def topic_lexicon(weights: DataFrame, n: int, topics: list) -> DataFrame:
 
 def topic_weights(model, vocabulary: list[str], n: int) -> DataFrame:
     """``(topic, term, weight)`` of a fitted topic model's ``n`` heaviest terms."""
-    named = F.array(*[F.lit(t) for t in vocabulary])
-    return (model.describeTopics(n)
-            .select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("w"))
-            .select("topic", F.get(named, F.col("w.termIndices")).alias("term"),
-                    F.col("w.termWeights").alias("weight")))
+    topics = (model.describeTopics(n)
+              .select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("w"))
+              .select("topic", F.col("w.termIndices").alias("index"),
+                      F.col("w.termWeights").alias("weight")))
+    named = topics.sparkSession.createDataFrame(
+        pd.DataFrame({"index": range(len(vocabulary)), "term": vocabulary}),
+        "index int, term string")
+    # Topics times n rows, both given by the caller of the fit.
+    return named.join(F.broadcast(topics), "index").select("topic", "term", "weight")
 
 
 def class_lexicon(df: DataFrame, label: str, value: str, n: int, tokens: str = "tokens",

@@ -35,8 +35,10 @@ FOREST_TREES = 250
 SVM_C = 1.0
 MAX_TREE_DEPTH = 30  # the deepest tree the library grows; there is no "unlimited"
 
-# Searched settings per classifier.
+# Searched settings per classifier. Settings that cannot change the
+# result of a linear or one-vs-rest model are left out.
 GRIDS = {
+    "baseline": {"C": [1, 10], "balanced": [False, True]},
     "logistic_regression": {"C": [1, 10], "balanced": [False, True]},
     "random_forest": {"balanced": [False, True], "numTrees": [250, 450],
                       "bootstrap": [True, False], "maxDepth": [MAX_TREE_DEPTH]},

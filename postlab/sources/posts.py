@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlab.operators.tables import filter_language, select_columns
+
 
 def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -13,32 +15,27 @@ def _strings(*names: str) -> T.StructType:
 
 NULL_MARK = "\x01"
 
-# Ids are zero-padded strings; nothing is ever inferred.
+# Ids are zero-padded strings; no type is ever inferred.
 POSTS = _strings("test_case", "id", "source", "language", "text", "task1", "task2")
-AUX_LABELS = _strings("status_id", "categoria")
-# The attribute file's flags and counts, read as text and cast by `change_dtypes`.
-AUX_FEATURES = _strings(
-    "status_id", "text", "favorite_count", "followers_count", "media_type", "verified",
-    "reply_to_status_id")
+LABELS = ("task1", "task2")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str,
-                   header: bool = True, multiline: bool = True) -> DataFrame:
-    """Delimited text with doubled-quote escaping.
+def read_delimited(spark: SparkSession, path: str, sep: str,
+                   schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+    """Delimited text with doubled-quote escaping, every column a string.
 
-    ``multiline`` keeps quoted newlines but makes every file one split, so large
-    tables should come as many part files. Without quoted newlines, switch it off
-    and files split as usual.
+    Without a schema the header names the columns; a file without a header needs
+    one. ``multiline`` keeps quoted newlines but makes every file one split, so
+    large tables should come as many part files. Without quoted newlines, switch
+    it off and files split as usual.
     """
-    return (
-        spark.read.schema(schema)
-        .option("sep", sep).option("header", header)
+    reader = (
+        spark.read.option("sep", sep).option("header", schema is None)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline)
         # An empty field is NULL, a quoted empty field is an empty text. With the
         # default mark, which is empty itself, both would be NULL.
-        .option("nullValue", NULL_MARK).option("emptyValue", "")
-        .option("enforceSchema", not header)
-        .csv(path))
+        .option("nullValue", NULL_MARK).option("emptyValue", ""))
+    return (reader if schema is None else reader.schema(schema)).csv(path)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str, header: bool = True) -> str:
@@ -52,22 +49,21 @@ def write_delimited(df: DataFrame, path: str, sep: str, header: bool = True) ->
 
 
 def read_posts(spark: SparkSession, path: str, language: str | None = None,
-               schema: T.StructType = POSTS, multiline: bool = True) -> DataFrame:
+               multiline: bool = True) -> DataFrame:
     """Tab-separated posts, optionally of one language.
 
-    Any language other than ``es`` or ``en`` means all rows.
+    Files may hold further columns, in any order. Test files may lack the labels,
+    which are NULL then. Any language other than ``es`` or ``en`` means all rows.
     """
-    posts = read_delimited(spark, path, schema, "\t", multiline=multiline)
-    if language in ("es", "en"):
-        return posts.filter(F.col("language") == language)
-    return posts
+    raw = read_delimited(spark, path, "\t", multiline=multiline)
+    unlabelled = {c: F.lit(None).cast("string") for c in LABELS if c not in raw.columns}
+    return filter_language(select_columns(raw.withColumns(unlabelled), POSTS.names), language)
 
 
-def read_aux_labels(spark: SparkSession, path: str,
-                    schema: T.StructType = AUX_LABELS) -> DataFrame:
-    return read_delimited(spark, path, schema, ";").select("status_id", "categoria")
+def read_aux_labels(spark: SparkSession, path: str) -> DataFrame:
+    return select_columns(read_delimited(spark, path, ";"), ["status_id", "categoria"])
 
 
-def read_aux_features(spark: SparkSession, path: str, schema: T.StructType = AUX_FEATURES,
+def read_aux_features(spark: SparkSession, path: str,
                       columns: tuple[str, ...] = ("status_id", "text")) -> DataFrame:
-    return read_delimited(spark, path, schema, ",").select(*columns)
+    return select_columns(read_delimited(spark, path, ","), list(columns))

@@ -5,7 +5,8 @@ from postlab.operators import tables as P
 from postlab.session import workspace
 from postlab.sources.lexicons import read_lexicon
 from postlab.sources.models import load_model, save_model
-from postlab.sources.posts import POSTS, read_posts, write_delimited
+from postlab.sources.posts import (
+    POSTS, read_aux_features, read_aux_labels, read_posts, write_delimited)
 from postlab.sources.predictions import prediction_path, second_head_path, write_predictions
 
 ROWS = [
@@ -37,6 +38,22 @@ def test_reads_a_plain_file(spark, tmp_path):
     assert (row.id, row.text, row.task2) == ("007", 'two\nlines "quoted"', None)
 
 
+def test_columns_are_read_by_name(spark, tmp_path):
+    file = tmp_path / "test.tsv"
+    file.write_text("id\tlanguage\ttext\textra\ttest_case\tsource\n01\tes\thola\tz\tA\tx\n")
+    row = read_posts(spark, str(file)).first()
+    assert tuple(row) == ("A", "01", "x", "es", "hola", None, None)
+    (tmp_path / "broken.tsv").write_text("id\ttext\n1\tx\n")
+    with pytest.raises(KeyError, match="language"):
+        read_posts(spark, str(tmp_path / "broken.tsv"))
+    features = tmp_path / "features.csv"
+    features.write_text('urls,text,status_id\n,"a, b",0012\n')
+    assert tuple(read_aux_features(spark, str(features)).first()) == ("0012", "a, b")
+    labels = tmp_path / "labels.csv"
+    labels.write_text("n;categoria;status_id\n1;X;0012\n")
+    assert tuple(read_aux_labels(spark, str(labels)).first()) == ("0012", "X")
+
+
 def test_label_codes(posts):
     coded = P.encode_labels(posts).orderBy("id").collect()
     assert [(r.task1, r.task2) for r in coded] == [(1, 3), (0, 0), (None, None), (None, None)]
@@ -85,7 +102,7 @@ def test_term_union(spark):
 
 def test_lexicon_layouts(spark, tmp_path):
     files = {
-        "category": "category\tlevel\tlemma\npa\tconservative\tuno dos\n",
+        "category": "id\tlemma\tcategory\tlevel\n1\tuno dos\tpa\tconservative\n",
         "category_plain": "pa\tno\tuno dos\n",
         "polarity": "Words\nuno dos\n",
         "terms": 'term\n"uno dos"\n',
