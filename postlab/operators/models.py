@@ -164,11 +164,13 @@ def predict(model: PipelineModel, posts: DataFrame,
 
 
 def fit_per_language(train: DataFrame, label: str, languages: Iterable[str],
-                     classifier: str = "svm", **params) -> dict[str, PipelineModel]:
+                     classifier: str = "svm", tokens: str = "tokens",
+                     **params) -> dict[str, PipelineModel]:
     """One model per language, all fitted from one scan of ``train``."""
-    with cached(train) as kept:
+    with cached(train.select("language", label, tokens)) as kept:
         return {
-            x: fit_text_model(kept.filter(F.col("language") == x), label, classifier, **params)
+            x: fit_text_model(
+                kept.filter(F.col("language") == x), label, classifier, tokens, **params)
             for x in languages}
 
 
