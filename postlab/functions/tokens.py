@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlab.functions.stopwords import SPANISH
 from postlab.functions.text import strip_accents
 
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
@@ -41,13 +41,9 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def stop_words(language: str = "spanish") -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords(language)
-
-
 def filter_stopwords(tokens: Column, stops: list[str] | None = None) -> Column:
     """Drop stop words, case-sensitively and without touching repeats."""
-    stops = stop_words() if stops is None else stops
+    stops = SPANISH if stops is None else stops
     return F.filter(tokens, lambda t: ~t.isin(stops))
 
 

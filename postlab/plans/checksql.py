@@ -6,12 +6,7 @@ look-behind nor back-references, so several rules take another form here.
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
-import pyspark
-
+from postlab.functions.stopwords import SPANISH
 from postlab.plans.views import LEXICON_SIZE, PHRASES, SLANG, TAIL
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -133,17 +128,8 @@ def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-@lru_cache(maxsize=1)
-def spanish_stops() -> tuple[str, ...]:
-    """The list Spark ships, read from its library file: no session is needed here."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
-        text = jar.read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode()
-    return tuple(w for w in text.split("\n") if w)
-
-
 def no_stops(tokens: str) -> str:
-    return f"list_filter({tokens}, lambda t: t NOT IN ({quoted(spanish_stops())}))"
+    return f"list_filter({tokens}, lambda t: t NOT IN ({quoted(SPANISH)}))"
 
 
 def raw_tokens(x: str) -> str:

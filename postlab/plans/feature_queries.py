@@ -180,7 +180,7 @@ def f1_top_terms_per_language(spark, sf):
                .agg(F.round(F.sum("tfidf"), 4).alias("weight")))
     best = Window.partitionBy("language").orderBy(F.desc("weight"), "term")
     return (weights.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 20)
-            .select("language", "term", "weight", "rank"))
+            .select("language", "term", "weight", F.col("rank").cast("bigint").alias("rank")))
 
 
 top_terms_per_language = f1_top_terms_per_language

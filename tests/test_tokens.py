@@ -1,10 +1,10 @@
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from postlab.functions import tokens as K
-from postlab.functions.tokens import stop_words
+from postlab.functions.stopwords import SPANISH
 from postlab.operators.tables import replace_tokens_join
-from postlab.plans.checksql import spanish_stops
 
 
 @pytest.mark.parametrize("raw, expected", [
@@ -29,8 +29,8 @@ def test_stop_words_are_case_sensitive_and_keep_repeats(apply):
     assert apply(K.tokenize, ["también"]) == [["tambien"]]
 
 
-def test_stop_list_read_from_the_library_file_is_the_same(spark):
-    assert list(spanish_stops()) == stop_words()
+def test_stop_list_is_the_one_spark_ships(spark):
+    assert SPANISH == StopWordsRemover.loadDefaultStopWords("spanish")
 
 
 def test_noise(apply):
