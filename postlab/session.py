@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,21 +21,35 @@ BROADCAST_ROWS = 500_000
 def workspace(spark: SparkSession) -> str:
     """A fresh folder below the shared one that ``spark.checkpoint.dir`` names.
 
-    Only a local session may fall back to a temporary folder of its own.
+    Unset, a cluster uses the warehouse, which its executors share as well; a
+    session whose executor is the driver itself (tests) uses a temporary folder.
+    All folders of an application lie below one that goes when Python ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = _local_scratch()
-    return f"{shared.rstrip('/')}/postlab-{uuid.uuid4().hex}"
+        inside = spark.sparkContext._jsc.sc().isLocal()
+        shared = _own_scratch() if inside else spark.conf.get("spark.sql.warehouse.dir")
+    top = f"{shared.rstrip('/')}/postlab-{spark.sparkContext.applicationId}"
+    _remove_at_exit(top)
+    return f"{top}/{uuid.uuid4().hex}"
 
 
 @lru_cache(maxsize=1)
-def _local_scratch() -> str:
+def _own_scratch() -> str:
     return tempfile.mkdtemp(prefix="postlab-")
 
 
+@lru_cache(maxsize=None)
+def _remove_at_exit(folder: str) -> None:
+    def remove() -> None:
+        context = SparkContext._active_spark_context
+        if context is not None and context._jsc is not None:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(remove)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only when the input has fewer splits than the cluster has cores.
 
@@ -59,14 +75,29 @@ def cached(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+def _width(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(32) + F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        sizes = F.transform(column, lambda x: _width(x, kind.elementType).cast("bigint"))
+        whole = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        return F.lit(32) + F.coalesce(whole, F.lit(0))
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(column), T.ArrayType(kind.keyType)) + _width(
+            F.map_values(column), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, [_width(column[f.name], f.dataType) for f in kind.fields],
+                      F.lit(16))
+    if isinstance(kind, T.UserDefinedType):
+        return F.lit(32) + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(16)
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Rough in-memory size of a frame, from one aggregate over it."""
-    width = F.lit(0)
-    for field in df.schema.fields:
-        fixed = not isinstance(field.dataType, (T.StringType, T.BinaryType))
-        width = width + (F.lit(16) if fixed
-                         else F.lit(32) + F.coalesce(F.octet_length(field.name), F.lit(0)))
-    return df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    """Rough in-memory size of a frame, nested values included, from one aggregate over it."""
+    row = reduce(Column.__add__, [_width(F.col(f"`{f.name}`"), f.dataType)
+                                  for f in df.schema.fields], F.lit(16))
+    return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
 
 
 def settle(df: DataFrame) -> DataFrame:
