@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +52,23 @@ def _remove_at_exit(folder: str) -> None:
     atexit.register(remove)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, as ``--py-files`` would."""
+    _ship_once(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _ship_once(application: str) -> None:
+    package = Path(__file__).resolve().parent
+    folder = tempfile.TemporaryDirectory(prefix="postlab-")
+    atexit.register(folder.cleanup)
+    archive = Path(folder.name) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    SparkContext._active_spark_context.addPyFile(str(archive))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only when the input has fewer splits than the cluster has cores.
 
