@@ -8,7 +8,8 @@ collected, and a lost executor only costs its own tasks.
 
 Null and empty texts have no tokens and decode to no bytes. Rows are never
 merged, so repeated rows give repeated results. Other columns of the input are
-kept; one whose name is that of a result column is replaced.
+kept, but for the text, which its ids replace; one whose name is that of a result
+column is replaced too.
 """
 
 from __future__ import annotations
@@ -17,22 +18,22 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from postlab.llm import pretoken
 from postlab.session import ship_package
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 # Pieces of more bytes are merged one by one with a heap, and not kept.
 ROUNDS = 64
+# Bytes of text that are worked on at once, so that arrays and results stay small.
 CHUNK = 1 << 20
-ENCODED = "ids binary, offsets binary"
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -175,20 +176,14 @@ class MergedPieces(dict):
             self[piece] = ids
 
 
-class Codec:
-    """Worker-side tables of one vocabulary."""
+class Encoder:
+    """Worker-side tables that turn texts into ids."""
 
     def __init__(self, rank_file: bytes, classes: bytes):
-        pairs = (line.split() for line in rank_file.splitlines() if line)
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ranks = read_ranks(rank_file)
         self.classes = np.frombuffer(classes, np.uint8)
         self.merged = MergedPieces(self.ranks)
-        tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.lengths = np.array(list(map(len, tokens)), np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = token_lengths(self.ranks)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids and packed byte offsets of each text."""
@@ -200,103 +195,127 @@ class Codec:
         # Only slices are taken here; a piece seen before costs one look-up.
         packed = self.merged.look_up(
             [joined[a:b] for a, b in zip(first.tolist(), last.tolist())])
-        cuts = np.searchsorted(first, ends).tolist()
         ids, offsets, start = [], [], 0
-        for cut in cuts:
+        for cut in np.searchsorted(first, ends).tolist():
             one = b"".join(packed[start:cut])
+            sizes = self.lengths[np.frombuffer(one, "<u4")]
             ids.append(one)
-            sizes = np.cumsum(self.lengths[np.frombuffer(one, "<u4")])
-            offsets.append(np.concatenate([[0], sizes]).astype("<i8")[:-1].tobytes())
+            offsets.append((np.cumsum(sizes) - sizes).astype("<u4").tobytes())
             start = cut
         return ids, offsets
 
+
+class Decoder:
+    """Worker-side tables that turn ids into bytes."""
+
+    def __init__(self, rank_file: bytes):
+        ranks = read_ranks(rank_file)
+        self.lengths = token_lengths(ranks)
+        tokens = [b""] * len(self.lengths)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, ids: bytes, offsets: bytes) -> bytes:
         """Every token's bytes, each placed at its offset."""
         number = np.frombuffer(ids, "<u4")
-        if not len(number):
-            return b""
         lengths = self.lengths[number]
-        shift = self.starts[number] - np.frombuffer(offsets, "<i8")
+        shift = self.starts[number] - np.frombuffer(offsets, "<u4")
         return self.flat[np.arange(lengths.sum()) + np.repeat(shift, lengths)].tobytes()
 
 
+def read_ranks(rank_file: bytes) -> dict[bytes, int]:
+    pairs = (line.split() for line in rank_file.splitlines() if line)
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+def token_lengths(ranks: dict[bytes, int]) -> np.ndarray:
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    lengths[list(ranks.values())] = [len(token) for token in ranks]
+    return lengths
+
+
 class Vocabulary:
     """A rank file, read once on the driver and sent to the workers (a few megabytes at most)."""
 
     LIMIT = 64 * 1024 * 1024
 
-    def __init__(self, spark, path: str):
+    def __init__(self, spark: SparkSession, path: str):
         ship_package(spark)
         with open(path, "rb") as f:
             content = f.read(self.LIMIT + 1)
         if len(content) > self.LIMIT:
             raise ValueError(f"{path}: a vocabulary of over {self.LIMIT} bytes is not sent")
         self.key = hashlib.sha256(content).hexdigest()
-        self.sent: Broadcast = spark.sparkContext.broadcast((content, pretoken.class_table()))
+        self.ranks = spark.sparkContext.broadcast(content)
+        self.classes = spark.sparkContext.broadcast(pretoken.class_table())
 
-    def __reduce__(self):
-        return _worker_vocabulary, (self.key, self.sent)
 
-    def codec(self) -> Codec:
-        return _codec(self)
+# Worker processes are reused, so tables are built once in each.
+_BUILT: dict[tuple, Encoder | Decoder] = {}
 
-    def __hash__(self):
-        return hash(self.key)
 
-    def __eq__(self, other):
-        return self.key == other.key
+def _encoder(key: str, ranks: Broadcast, classes: Broadcast) -> Encoder:
+    if ("encode", key) not in _BUILT:
+        _BUILT["encode", key] = Encoder(ranks.value, classes.value)
+    return _BUILT["encode", key]
 
 
-def _worker_vocabulary(key: str, sent: Broadcast) -> Vocabulary:
-    made = Vocabulary.__new__(Vocabulary)
-    made.key, made.sent = key, sent
-    return made
+def _decoder(key: str, ranks: Broadcast) -> Decoder:
+    if ("decode", key) not in _BUILT:
+        _BUILT["decode", key] = Decoder(ranks.value)
+    return _BUILT["decode", key]
 
 
-@lru_cache(maxsize=2)
-def _codec(vocabulary: Vocabulary) -> Codec:
-    return Codec(*vocabulary.sent.value)
+def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``size`` bytes in a column."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // size, prepend=0)) + 1
+    start = 0
+    for cut in [*cuts.tolist(), batch.num_rows]:
+        if cut > start:
+            yield batch.slice(start, cut - start)
+            start = cut
 
 
-def chunks(texts: list[str], size: int) -> Iterator[list[str]]:
-    """Runs of texts of about ``size`` code points, so that arrays stay small."""
-    some, held = [], 0
-    for text in texts:
-        some.append(text)
-        held += len(text)
-        if held >= size:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
+def _mapped(df: DataFrame, read: list[str], drop: list[str], new: dict[str, str], run) -> DataFrame:
+    """Replace ``drop`` by the ``new`` columns that ``run`` makes of the columns ``read``."""
+    kept = [f for f in df.schema.fields if f.name not in {*drop, *new}]
+    schema = T.StructType([*kept, *(T.StructField(n, T._parse_datatype_string(t))
+                                    for n, t in new.items())])
+    names = [f.name for f in kept]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, read[0], CHUNK):
+                made = run(*(part.column(c).to_pylist() for c in read))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in names), *made], [*names, *new])
+
+    return df.select(*dict.fromkeys([*names, *read])).mapInArrow(mapped, schema)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """Append ``ids`` (little-endian unsigned 32-bit), ``offsets`` (64-bit byte offsets), ``n_tokens``."""
-    @F.pandas_udf(ENCODED)
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = vocabulary.codec()
-        for batch in batches:
-            ids, offsets = [], []
-            for some in chunks(batch.tolist(), CHUNK):
-                a, b = codec.encode(some)
-                ids += a
-                offsets += b
-            yield pd.DataFrame({"ids": ids, "offsets": offsets}, dtype=object)
+    """Put ``ids`` (little-endian unsigned 32-bit), ``offsets`` (bytes, the same form) and
+    ``n_tokens`` in the place of the text."""
+    key, ranks, classes = vocabulary.key, vocabulary.ranks, vocabulary.classes
 
-    done = encoded(F.coalesce(F.col(text), F.lit("")))
-    return (df.withColumn("_encoded", done)
-            .withColumns({"ids": F.col("_encoded.ids"), "offsets": F.col("_encoded.offsets")})
-            .drop("_encoded")
-            .withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint")))
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        ids, offsets = _encoder(key, ranks, classes).encode([t or "" for t in texts])
+        return [pa.array(ids, pa.binary()), pa.array(offsets, pa.binary()),
+                pa.array([len(x) // 4 for x in ids], pa.int64())]
+
+    return _mapped(df, [text], [text],
+                   {"ids": "binary", "offsets": "binary", "n_tokens": "bigint"}, run)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Append ``decoded``, the bytes that ``ids`` and ``offsets`` stand for."""
-    @F.pandas_udf("binary")
-    def decoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        codec = vocabulary.codec()
-        for ids, offsets in batches:
-            yield pd.Series([codec.decode(a, b) for a, b in zip(ids, offsets)], dtype=object)
+    key, ranks = vocabulary.key, vocabulary.ranks
+
+    def run(ids: list[bytes], offsets: list[bytes]) -> list[pa.Array]:
+        decoder = _decoder(key, ranks)
+        return [pa.array([decoder.decode(a, b) for a, b in zip(ids, offsets)], pa.binary())]
 
-    return df.withColumn("decoded", decoded("ids", "offsets"))
+    return _mapped(df, ["ids", "offsets"], [], {"decoded": "binary"}, run)
