@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe
+from postlab.llm import bpe, sharding
 from postlab.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,10 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(documents(spark, sf).select("doc_id", "text"), words), words)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(documents(spark, sf).select("doc_id", "text"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         "slot", F.lit(None).cast("int").alias("grown_shard"))
