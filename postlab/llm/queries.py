@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, sharding
+from postlab.llm import bpe, fingerprints, sharding
 from postlab.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,25 @@ def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shard_by_bytes(documents(spark, sf).select("doc_id", "text"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    printed = docs.withColumn("print", fingerprints.fingerprint(F.col("text")))
+    near = fingerprints.with_following(printed, "doc_id", ["text", "print"])
+    swapped = F.floor(F.char_length("text") / 2).cast("int")
+    edited = near.withColumn("edited", F.concat(
+        F.substring("text", F.lit(1), F.char_length("text") - swapped),
+        F.substring("next_text", F.lit(1), swapped)))
+    both = edited.withColumn("edited_print", fingerprints.fingerprint(F.col("edited")))
+
+    def shown(sketch: str):
+        return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+
+    return both.select(
+        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        shown("print").alias("fingerprint"), shown("edited_print").alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        fingerprints.resemblance(F.col("print"), F.col("next_print")).alias("near_next"))
