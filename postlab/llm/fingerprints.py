@@ -131,15 +131,16 @@ def with_following(df: DataFrame, id: str, payload: list[str]) -> DataFrame:
     order = Window.partitionBy("_bucket").orderBy(
         F.asc_nulls_first(id), F.xxhash64(*payload), *payload)
     follow = {f"next_{c}": F.lead(c).over(order) for c in payload}
-    near = rows.withColumns(follow | {"_number": F.row_number().over(order),
+    # Not by row number: a rank limit would keep the three branches from sharing one exchange.
+    near = rows.withColumns(follow | {"_less": F.lag(F.lit(True)).over(order),
                                       "_more": F.lead(F.lit(True)).over(order)})
     inner = near.filter("_more")
     ends = near.filter("_more IS NULL").drop(*follow)
-    heads = near.filter("_number = 1").select("_bucket", *payload).toDF(
+    heads = near.filter("_less IS NULL").select("_bucket", *payload).toDF(
         "_following", *follow)
     steps = successors(df.select(bucket.alias("key")).distinct())
-    lowest = steps.agg(F.min("key").alias("lowest"))  # one row
-    ring = steps.join(F.broadcast(lowest)).select(
-        F.col("key").alias("_bucket"), F.coalesce("following", "lowest").alias("_following"))
+    lowest = df.agg(F.min(bucket)).first()[0]
+    ring = steps.select(F.col("key").alias("_bucket"),
+                        F.coalesce("following", F.lit(lowest)).alias("_following"))
     return inner.select(id, *payload, *follow).unionByName(
         ends.join(ring, "_bucket").join(heads, "_following").select(id, *payload, *follow))
