@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, fingerprints, sharding
+from postlab.llm import bpe, fingerprints, sharding, simhash
 from postlab.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,10 @@ def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         shown("print").alias("fingerprint"), shown("edited_print").alias("edited_fingerprint"),
         fingerprints.resemblance(F.col("print"), F.col("edited_print")).alias("near_edited"),
         fingerprints.resemblance(F.col("print"), F.col("next_print")).alias("near_next"))
+
+
+@query
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    groups = simhash.near_duplicates(documents(spark, sf).select("doc_id", "text"), max_bits=4)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"),
+                         "component_id")
