@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, fingerprints, sharding, simhash
+from postlab.llm import bpe, fingerprints, secrets, sharding, simhash
+from postlab.llm.spans import shown
 from postlab.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +74,16 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.near_duplicates(documents(spark, sf).select("doc_id", "text"), max_bits=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"),
                          "component_id")
+
+
+@query
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf).select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(shown(F.col("strong")), 256).alias("base_sha256"),
+        shown(F.col("secrets")).alias("spans"))
