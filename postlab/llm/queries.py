@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, fingerprints, secrets, sharding, simhash
+from postlab.llm import bpe, credentials, fingerprints, language, sharding, simhash
 from postlab.llm.spans import shown
 from postlab.session import spread
 
@@ -78,7 +78,7 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    found = secrets.find_secrets(documents(spark, sf).select("doc_id", "text"))
+    found = credentials.find_secrets(documents(spark, sf).select("doc_id", "text"))
 
     def count(kind: str):
         return F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("bigint")
@@ -87,3 +87,12 @@ def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
         count("hex").alias("n_hex"), F.sha2(shown(F.col("strong")), 256).alias("base_sha256"),
         shown(F.col("secrets")).alias("spans"))
+
+
+@query
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    apart = language.held_out(F.col("doc_id"))
+    profiles = language.train(docs.filter(~apart))
+    return language.predict(docs.select("doc_id", "text", apart.alias("held_out")), profiles).select(
+        "doc_id", "held_out", "lang_pred", "score")
