@@ -31,11 +31,15 @@ from postlab.session import join_sized, ship_package
 
 PROFILE = 300
 TRAIN_ROWS = 2_000
+BUCKETS = 256
 ORDERS = (1, 2, 3)
 GRAM_BITS = 40
 CHUNK_TEXTS = 1 << 15
 CHUNK_POINTS = 1 << 20
 UNDETERMINED = "und"
+# Closeness below which a text is in none of the learned languages; documents of the given tables,
+# the shortest included, score 0.4 and more.
+LEAST_SCORE = 0.2
 
 
 @lru_cache(maxsize=1)
@@ -148,15 +152,32 @@ class Profiles:
         return names, scores
 
 
+def sampled_ids(labelled: DataFrame, rows: int) -> DataFrame:
+    """``id, lang``: the ``rows`` ids of each language with the smallest hashes.
+
+    Bucket counts tell how far to read, so ranking a common language gets few more
+    rows than it returns.
+    """
+    keyed = labelled.withColumns({"hash": F.xxhash64("id"),
+                                  "bucket": F.pmod(F.xxhash64("id"), F.lit(BUCKETS))})
+    sizes = keyed.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket")
+                             .rowsBetween(Window.unboundedPreceding, -1))
+    open_ = sizes.withColumn("before", F.coalesce(before, F.lit(0))).filter(
+        F.col("before") < rows).groupBy("lang").agg(F.max("bucket").alias("border"))
+    ranked = join_sized(keyed, open_, "lang").filter("bucket <= border").withColumn(
+        "n", F.row_number().over(Window.partitionBy("lang").orderBy("bucket", "hash", "id")))
+    return ranked.filter(F.col("n") <= rows).select("id", "lang").distinct()
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id",
           rows: int = TRAIN_ROWS) -> Profiles:
     """Profiles of all languages in ``lang``, from at most ``rows`` texts of each."""
     ship_package(df.sparkSession)
     labelled = df.select(F.col(id).alias("id"), F.col(lang).alias("lang"),
                          F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = labelled.select("id", "lang").withColumn("n", F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= rows)
-    sample = join_sized(labelled, chosen.select("id", "lang").distinct(), ["id", "lang"], "left_semi")
+    sample = join_sized(labelled, sampled_ids(labelled.select("id", "lang"), rows), ["id", "lang"],
+                        "left_semi")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
