@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.llm import bpe, credentials, fingerprints, language, sharding, simhash
+from postlab.llm import (
+    bpe, credentials, decontaminate, fingerprints, language, pii, sharding, simhash)
 from postlab.llm.spans import shown
 from postlab.session import spread
 
@@ -96,3 +97,23 @@ def op6_language(spark: SparkSession, sf: str) -> DataFrame:
     profiles = language.train(docs.filter(~apart))
     return language.predict(docs.select("doc_id", "text", apart.alias("held_out")), profiles).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return decontaminate.find_leaks(documents(spark, sf).select("doc_id", "text"), items)
+
+
+@query
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs)).withColumn(
+        "base", F.filter("spans", lambda s: s["kind"].isin(pii.KINDS[:pii.STRICT])))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS[:pii.STRICT]),
+        F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
