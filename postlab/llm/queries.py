@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlab.llm import (
-    bpe, credentials, decontaminate, fingerprints, language, pii, sharding, simhash)
+    bpe, chat, credentials, decontaminate, fingerprints, language, pii, quality, sharding, simhash)
 from postlab.llm.spans import shown
 from postlab.session import spread
 
@@ -117,3 +117,46 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS[:pii.STRICT]),
         F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+TOOLS = {
+    "search": {"type": "object", "required": ["limit", "query"], "additionalProperties": False,
+               "properties": {"query": {"type": "string", "minLength": 1},
+                              "limit": {"type": "integer", "minimum": 1, "maximum": 60},
+                              "mode": {"type": "string", "enum": ["exact", "fuzzy"]}}},
+    "lookup": {"type": "object", "required": ["key"],
+               "properties": {"key": {"type": "string", "minLength": 4}}},
+}
+
+
+@query
+def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns as tool calls, the user turns that follow as their results."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    call = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    name = F.when(F.col("turn") % 4 == 1, "search").otherwise("lookup")
+    search = F.to_json(F.struct(
+        F.array_join(F.slice(words, 1, 4), " ").alias("query"), F.size(words).alias("limit"),
+        F.when(F.char_length("text") % 2 == 0, "fuzzy").alias("mode")))
+    lookup = F.to_json(F.struct(F.get(words, F.lit(0)).alias("key")))
+    earlier = F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string"))
+    calls = turns.filter("role = 'assistant'").select(
+        "conv_id", call.alias("call_id"), "turn", name.alias("name"),
+        F.when(name == "search", search).otherwise(lookup).alias("arguments"),
+        F.when(F.char_length("text") % 3 > 0, earlier).alias("parent_id"))
+    answered = F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
+    results = turns.filter("role = 'user' AND turn > 0").select(
+        "conv_id", answered.alias("call_id"), "turn", F.col("text").alias("content"))
+    return chat.link(calls, results, TOOLS)
+
+
+@query
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Grades: 0 toxic, 1 of low quality, 2 good."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    grades = labels.filter("toxic IS NOT NULL AND quality IS NOT NULL").select(
+        "doc_id", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1).alias("grade"))
+    docs = documents(spark, sf).select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, grades)).select(
+        "doc_id", "expected_grade", "tail_probability", "selected")
