@@ -8,8 +8,6 @@ runs of three or more equal characters are cut to three.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +60,8 @@ def replace_tokens(tokens: Column, dictionary: dict[str, str]) -> Column:
     if not dictionary:
         return tokens
     if len(dictionary) > MAX_LITERAL_DICTIONARY:
-        raise ValueError("large dictionary: use operators.tables.replace_tokens_join")
+        raise ValueError("large dictionary: use operators.tables.replace_tokens_join or "
+                         "operators.tables.tokenize_for_lexicon")
     mapping = F.create_map(*[F.lit(x) for pair in dictionary.items() for x in pair])
     known = list(dictionary)
     return F.transform(
@@ -71,12 +70,8 @@ def replace_tokens(tokens: Column, dictionary: dict[str, str]) -> Column:
 
 def drop_noise_tokens(tokens: Column) -> Column:
     """Remove tokens that contain ``u00``, have length one or are all digits."""
-    noise = [
-        lambda t: F.contains(t, F.lit("u00")),
-        lambda t: F.char_length(t) == 1,
-        lambda t: t.rlike(r"^\p{Nd}+$"),
-    ]
-    return F.filter(tokens, lambda t: ~reduce(Column.__or__, [rule(t) for rule in noise]))
+    return F.filter(tokens, lambda t: ~(
+        F.contains(t, F.lit("u00")) | (F.char_length(t) == 1) | t.rlike(r"^\p{Nd}+$")))
 
 
 def tokenize_for_lexicon(text: Column, dictionary: dict[str, str],

@@ -141,7 +141,8 @@ def select_best_epoch(log: DataFrame, monitor: str = "macro_f1", patience: int =
     """Per run: the last improving epoch before training stops, and the stop epoch.
 
     ``log`` has ``run_id, epoch, loss, macro_f1``. Better means strictly higher
-    f1 or strictly lower loss. A run ends after ``patience`` epochs in a row
+    f1 or strictly lower loss; NaN never improves on a number, and nothing improves on
+    a run that opens with NaN. A run ends after ``patience`` epochs in a row
     without improvement, or with its last epoch; it never has more than
     ``max_epochs`` of them, which also bounds what one window group can hold.
     """
@@ -149,12 +150,16 @@ def select_best_epoch(log: DataFrame, monitor: str = "macro_f1", patience: int =
     run = Window.partitionBy("run_id").orderBy("epoch")
     earlier = run.rowsBetween(Window.unboundedPreceding, -1)
     so_far = run.rowsBetween(Window.unboundedPreceding, 0)
-    best_before = F.max("_value").over(earlier)
+    # Spark orders NaN above all numbers; comparisons here must be false with it.
+    number = F.when(~F.isnan("_value"), F.col("_value"))
+    best_before = F.max(number).over(earlier)
+    opened = F.first(number).over(so_far)
     steps = (
         log.filter(F.col("epoch") <= max_epochs)
         .withColumn("_value", value)
         .withColumn("_step", F.row_number().over(run))
-        .withColumn("_better", best_before.isNull() | (F.col("_value") > best_before))
+        .withColumn("_better", (F.col("_step") == 1) | F.coalesce(
+            opened.isNotNull() & (number > best_before), F.lit(False)))
         .withColumn("_last", F.max(F.when(F.col("_better"), F.col("_step"))).over(so_far))
         .withColumn("_stopped", F.max(
             (F.col("_step") - F.col("_last") >= patience).cast("int")).over(earlier)))

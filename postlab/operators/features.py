@@ -11,10 +11,9 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from postlab.functions.tokens import each_token
-from postlab.session import cached, join_sized, settle
+from postlab.session import cached, join_sized, numbered, settle
 
 # Share of posts a term must occur in, as a percentage: the edge test then stays
 # in integers.
@@ -22,7 +21,6 @@ MIN_DF_PERCENT = 1
 
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
 FIRST_TERM_ID = 4
-VOCABULARY_SIZE = 30_000
 NO_LIMIT = 2**31 - 1
 
 
@@ -31,15 +29,6 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def _by_post(df: DataFrame, tokens: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Token lists partitioned by post.
-
-    Grouping exploded tokens by (key, term) then needs no further exchange, and
-    both passes over the tokens read this one, so texts are tokenised once.
-    """
-    return df.select(key, *keep, tokens).repartition(F.col(key))
-
-
 def kept_terms(df: DataFrame, total: Column, tokens: str = "tokens",
                min_df_percent: int = MIN_DF_PERCENT) -> DataFrame:
     """``(term, df)`` of terms in at least that percentage of ``total`` posts."""
@@ -52,20 +41,14 @@ def bag_of_words(df: DataFrame, tokens: str = "tokens", key: str = "id",
                  min_df_percent: int = MIN_DF_PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, term, tf, df)`` in long form, plus post columns to ``keep``.
 
-    Kept terms number at most ``100 / min_df_percent`` times the mean number of
-    distinct terms per post, however many posts there are, so with pruning the
-    term table is broadcast. Without pruning its size is measured.
+    The kept terms are found first; their table is broadcast if it measures small
+    enough. Other terms are gone, and the rest is counted, before posts are shuffled.
     """
-    posts = _by_post(df, tokens, key, keep)
-    frequency = kept_terms(posts, row_count(df), tokens, min_df_percent)
-    occurrences = posts.select(key, *keep, each_token(tokens).alias("term"))
-    columns = [key, *keep, "term", "tf", "df"]
-    if min_df_percent >= MIN_DF_PERCENT:
-        known = occurrences.join(F.broadcast(frequency), "term")
-        return (known.groupBy(key, *keep, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
-                .select(*columns))
-    counted = occurrences.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return join_sized(counted, settle(frequency), "term").select(*columns)
+    frequency = settle(kept_terms(df, row_count(df), tokens, min_df_percent))
+    occurrences = df.select(key, *keep, each_token(tokens).alias("term"))
+    return (join_sized(occurrences, frequency, "term")
+            .groupBy(key, *keep, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+            .select(key, *keep, "term", "tf", "df"))
 
 
 def tfidf(df: DataFrame, tokens: str = "tokens", key: str = "id",
@@ -110,7 +93,7 @@ def svd_scores(df: DataFrame, k: int = 10, tokens: str = "tokens", key: str = "i
         "term string, direction array<double>")
     sums = F.array(*[F.sum(F.col("direction")[i]) for i in range(k)])
     found = (df.select(key, each_token(tokens).alias("term"))
-             .join(F.broadcast(table), "term").groupBy(key).agg(sums.alias("scores")))
+             .transform(join_sized, table, "term").groupBy(key).agg(sums.alias("scores")))
     nothing = F.array_repeat(F.lit(0.0), k)
     return (df.select(key).join(found, key, "left")
             .select(key, F.coalesce("scores", nothing).alias("scores")))
@@ -170,21 +153,22 @@ def feature_union(numbers: list[str] = (), categories: list[str] = (),
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol=output)])
 
 
-def build_vocabulary(df: DataFrame, size: int = VOCABULARY_SIZE, tokens: str = "tokens") -> DataFrame:
-    """``(term, term_id)``: the most frequent terms, numbered from 4.
+def build_vocabulary(df: DataFrame, size: int | None = None, tokens: str = "tokens") -> DataFrame:
+    """``(term, term_id)``: all terms, the most frequent first, numbered from 4.
 
-    A vocabulary has a fixed size; at most ``size`` rows are numbered.
+    ``size`` keeps only that many of the most frequent ones.
     """
-    top = (df.select(each_token(tokens).alias("term"))
-           .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "term").limit(size))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "term"))
-    return top.select("term", (rank + (FIRST_TERM_ID - 1)).alias("term_id"))
+    counts = (df.select(each_token(tokens).alias("term"))
+              .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    ranked = numbered(counts, F.desc("n"), F.col("term"))
+    if size is not None:
+        ranked = ranked.filter(F.col("position") < size)
+    return ranked.select("term", (F.col("position") + FIRST_TERM_ID).cast("int").alias("term_id"))
 
 
 def encode_sequence(df: DataFrame, vocabulary: DataFrame, max_length: int = 128,
                     tokens: str = "tokens", key: str = "id",
-                    vocabulary_rows: int | None = VOCABULARY_SIZE) -> DataFrame:
+                    vocabulary_rows: int | None = None) -> DataFrame:
     """``(key, input_ids, attention_mask)``, both exactly ``max_length`` wide.
 
     Start mark, ids, end mark, padding. Sequences are truncated to fit; terms

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,16 @@ def select_lexicon(lexicon: DataFrame, level: str = LEVEL,
     return lexicon.select("term").distinct()
 
 
-def inline_terms(lexicon: DataFrame, limit: int = INLINE_TERMS) -> list[str] | None:
-    """The terms of a lexicon of at most ``limit`` terms, else None."""
-    rows = lexicon.select(F.lower("term").alias("term")).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r.term for r in rows)
+def lexicon_terms(lexicon: DataFrame) -> DataFrame:
+    """Distinct lower-cased terms; NULLs and terms that do not start and end with a word
+    character can match no whole word and are left out, whatever route follows."""
+    whole = r"(?s)^[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?$"
+    return lexicon.select(F.lower("term").alias("term")).filter(F.col("term").rlike(whole)).distinct()
+
+
+def term_list(lexicon: DataFrame) -> list[str]:
+    """The terms in order, for a vector with one place per term: a model of that width anyway."""
+    return sorted(r.term for r in lexicon_terms(lexicon).collect())
 
 
 def match_lexicon(posts: DataFrame, lexicon: DataFrame, key: str = "id",
@@ -45,7 +52,7 @@ def match_lexicon(posts: DataFrame, lexicon: DataFrame, key: str = "id",
     The route for lexicons of any size: runs of pieces, of the lengths that occur
     in the lexicon, are joined with the terms.
     """
-    terms = settle(lexicon.select(F.lower("term").alias("term")).distinct())
+    terms = settle(lexicon_terms(lexicon))
     lengths = sorted(
         r[0] for r in terms.select(F.size(pieces(F.col("term")))).distinct().collect())
     runs = (
@@ -57,9 +64,9 @@ def match_lexicon(posts: DataFrame, lexicon: DataFrame, key: str = "id",
 def lexicon_hits(posts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text",
                  limit: int = INLINE_TERMS) -> DataFrame:
     """Posts with ``hits``: the non-overlapping hits in text order, [] without any."""
-    terms = inline_terms(lexicon, limit)
-    if terms is not None:
-        return posts.withColumn("hits", term_hits(F.col(text), terms))
+    rows = lexicon_terms(lexicon).limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return posts.withColumn("hits", term_hits(F.col(text), sorted(r.term for r in rows)))
     # Per start only the longest run may win, hence the descending length.
     places = F.array_sort(F.collect_list(
         F.struct("start", (-F.col("length")).alias("back"), "length", "term")))
@@ -86,11 +93,11 @@ def lexicon_vector(matched: DataFrame, key: str = "id") -> DataFrame:
 
 
 def weighted_lexicon_vector(matched: DataFrame, key: str = "id",
-                            lexicon_terms: int | None = INLINE_TERMS) -> DataFrame:
+                            lexicon_terms: int | None = None) -> DataFrame:
     """Long form with ``number of posts / document frequency`` as weight.
 
-    Terms no post contains have no rows, which is weight zero. ``lexicon_terms``
-    bounds the frequency table; give None when the lexicon has no known size.
+    Terms no post contains have no rows, which is weight zero. ``lexicon_terms``, if
+    known, bounds the frequency table, which is measured otherwise.
     """
     pairs = lexicon_vector(matched, key).drop("weight")
     frequency = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -124,11 +131,16 @@ def reduce_vector(df: DataFrame, k: int, column: str = "lexicon",
     """
     if k == 0:
         return df.withColumn(output, F.col(column))
-    centre = StandardScaler(withMean=True, withStd=False, inputCol=column, outputCol="_centred")
+    mean = StandardScaler(withMean=True, withStd=False, inputCol=column, outputCol="_centred")
     with cached(df) as kept:
-        centred = centre.fit(kept).transform(kept)
-        model = PCA(k=k, inputCol="_centred", outputCol=output).fit(centred)
-    return model.transform(centred).drop("_centred")
+        model = PCA(k=k, inputCol=column, outputCol="_raw").fit(kept)
+        middle = mean.fit(kept).mean.toArray()
+    # The covariance is centred already; taking the mean's own scores off the result keeps
+    # every vector sparse.
+    shift = middle @ model.pc.toArray()
+    scores = F.zip_with(vector_to_array("_raw"), F.array(*[F.lit(float(x)) for x in shift]),
+                        lambda a, b: a - b)
+    return model.transform(df).withColumn(output, array_to_vector(scores)).drop("_raw")
 
 
 def token_document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:

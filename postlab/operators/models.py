@@ -202,7 +202,9 @@ def grid_search(df: DataFrame, classifier: Estimator, settings: dict, folds: int
     with cached(assign_folds(weighted, "label", folds, key)) as ready:
         search = CrossValidator(
             estimator=classifier, numFolds=folds, foldCol="fold", parallelism=parallelism,
-            estimatorParamMaps=grid_of(classifier, settings, ready.count()),
+            # A fold is fitted on the rows of all the others.
+            estimatorParamMaps=grid_of(
+                classifier, settings, ready.count() * (folds - 1) / folds),
             evaluator=MulticlassClassificationEvaluator(metricName=metric))
         return search.fit(ready)
 
@@ -271,8 +273,9 @@ def repeated_split_scores(df: DataFrame, classifier: Callable[..., Estimator], s
     with cached(shuffle_splits(df, repetitions, test_size, key)) as split:
         for repetition in range(repetitions):
             chosen = split.filter(F.col("repetition") == repetition)
+            tune = chosen.filter(F.col("part") == "tune")
             tuned = grid_search(
-                chosen.filter(F.col("part") == "tune"), classifier(1), settings, folds, key=key)
+                tune, classifier(tune.count() * (folds - 1) / folds), settings, folds, key=key)
             estimator = tuned.getEstimator()
             ranked = zip(tuned.avgMetrics, tuned.getEstimatorParamMaps())
             point = max(ranked, key=lambda r: r[0])[1]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlab.functions.tokens import drop_noise_tokens, tokenize
 from postlab.session import join_sized
 
 # Label names and their codes.
@@ -31,8 +32,14 @@ TYPE_FAMILIES = {
 
 
 def filter_language(df: DataFrame, language: str | None) -> DataFrame:
-    """One language, or every row when the value is not ``es`` / ``en``."""
-    return df.filter(F.col("language") == language) if language in ("es", "en") else df
+    """One language; every row when none (or ``both``) is named."""
+    return df if language in (None, False, "both") else df.filter(F.col("language") == language)
+
+
+def languages(df: DataFrame) -> list[str]:
+    """The languages that occur, in order: one row each."""
+    return [r.language for r in df.select("language").dropna().distinct()
+            .orderBy("language").collect()]
 
 
 def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -136,17 +143,38 @@ def replace_tokens_join(df: DataFrame, dictionary: DataFrame, key: str = "id",
                         tokens: str = "tokens") -> DataFrame:
     """Token replacement from a dictionary frame ``(term, replacement)`` of any size.
 
-    Tokens travel with their position and come back in order; posts without
-    tokens keep an empty list. A post is the unit that is re-collected.
+    Of several entries for a term the smallest replacement counts. Tokens travel with
+    their position and come back in order; posts without tokens keep an empty list.
+    A token list is the unit that is re-collected, so rows that share an id keep
+    their own.
     """
     empty = F.array().cast("array<string>")
-    exploded = df.select(key, F.posexplode(F.coalesce(tokens, empty)).alias("_pos", "term"))
-    replaced = join_sized(exploded, dictionary.select("term", "replacement"), "term", "left")
-    rebuilt = replaced.groupBy(key).agg(
+    single = dictionary.groupBy("term").agg(F.min("replacement").alias("replacement"))
+    df = df.withColumn("_list", F.sha2(F.to_json(F.struct(tokens)), 256))
+    exploded = df.dropDuplicates([key, "_list"]).select(
+        key, "_list", F.posexplode(F.coalesce(tokens, empty)).alias("_pos", "term"))
+    replaced = join_sized(exploded, single, "term", "left")
+    rebuilt = replaced.groupBy(key, "_list").agg(
         F.transform(
             F.array_sort(F.collect_list(
                 F.struct("_pos", F.coalesce("replacement", "term").alias("t")))),
             lambda s: s["t"]).alias("_new"))
-    return (df.join(rebuilt, key, "left")
+    return (df.join(rebuilt, [key, "_list"], "left")
               .withColumn(tokens, F.when(F.col(tokens).isNotNull(), F.coalesce("_new", empty)))
-              .drop("_new"))
+              .drop("_new", "_list"))
+
+
+def tokenize_for_lexicon(df: DataFrame, dictionary: DataFrame, text: str = "text",
+                         key: str = "id") -> DataFrame:
+    """``key, tokens`` for lexicon matching with a slang dictionary of any size."""
+    cut = df.select(key, tokenize(F.regexp_replace(text, r"\s+$", "")).alias("tokens"))
+    return replace_tokens_join(cut, dictionary, key).withColumn(
+        "tokens", drop_noise_tokens(F.col("tokens")))
+
+
+def intersect_tokens(df: DataFrame, terms: DataFrame, key: str = "id",
+                     tokens: str = "tokens") -> DataFrame:
+    """``key, term``: the distinct tokens of each post that are in a term frame of any size."""
+    single = terms.select("term").dropna().distinct()
+    own = df.select(key, F.explode(F.array_distinct(tokens)).alias("term"))
+    return join_sized(own, single, "term", "left_semi").select(key, "term")

@@ -59,10 +59,8 @@ def f2_bag_of_words(spark, sf):
 
 @query()
 def f3_svd_scores(spark, sf):
-    # Terms in at least a tenth of the posts: the decomposition works on columns
-    # squared, so the vocabulary is narrowed first.
-    scores = X.svd_scores(_tokens(spark, sf), 5, min_df=0.1)
-    return scores.select("id", *[F.round(F.col("scores")[i], 4).alias(f"s{i}") for i in range(5)])
+    scores = X.svd_scores(_tokens(spark, sf), 10)
+    return scores.select("id", *[F.round(F.col("scores")[i], 4).alias(f"s{i}") for i in range(10)])
 
 
 @query(S.with_views(
@@ -113,7 +111,7 @@ FROM scaled a LEFT JOIN hits h USING (status_id) LEFT JOIN weights t USING (stat
 tf AS (SELECT status_id, term, count(*) AS tf FROM
   (SELECT status_id, unnest({WIDE_TOKENS}) AS term FROM v_aux_features) t GROUP BY status_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
-  HAVING 20 * count(*) >= (SELECT count(*) FROM v_aux_features)),
+  HAVING 100 * count(*) >= (SELECT count(*) FROM v_aux_features)),
 weights AS (SELECT status_id, sum(tf * (ln((1 + (SELECT count(*) FROM v_aux_features)) / (1 + df)) + 1)) AS w
   FROM tf JOIN df USING (term) GROUP BY status_id),
 hits AS (SELECT status_id, count(DISTINCT t.term) AS n FROM (SELECT status_id, unnest({S.words('lower(text)')}) AS term
@@ -130,9 +128,9 @@ def f7_feature_union(spark, sf):
     scaled = X.standard_scale(plain, ["favorite_count", "followers_count"])
     lexicon = views.lexicon(spark, sf)
     matched = L.lexicon_hits(scaled, lexicon, key="status_id")
-    ready = L.vectorise_hits(matched, L.inline_terms(lexicon)).withColumn(
+    ready = L.vectorise_hits(matched, L.term_list(lexicon)).withColumn(
         "tokens", K.tokenize(F.lower("text")))
-    text = X.fit_tfidf(ready, output="tfidf", min_df=0.05).transform(ready)
+    text = X.fit_tfidf(ready, output="tfidf").transform(ready)
     union = X.feature_union(
         numbers=["favorite_count", "followers_count"], categories=["media_type", "reply"],
         vectors=["tfidf", "lexicon"])
@@ -151,8 +149,7 @@ LIST = "SELECT id, {0} AS tokens FROM v_posts".format(TOKENS)
   array_to_string(list_concat(list_transform(generate_series(1, 2 + len(coalesce(b.body, []))), lambda x: 1), list_transform(generate_series(1, 126 - len(coalesce(b.body, []))), lambda x: 0)), ',') AS attention_mask
 FROM toks p LEFT JOIN body b ON p.id = b.id""", S.POSTS, f"""toks AS ({LIST}),
 vocab AS (SELECT term, 3 + row_number() OVER (ORDER BY n DESC, term) AS term_id FROM
-  (SELECT term, count(*) AS n FROM (SELECT unnest(tokens) AS term FROM toks) t GROUP BY term
-   ORDER BY n DESC, term LIMIT 30000) v),
+  (SELECT term, count(*) AS n FROM (SELECT unnest(tokens) AS term FROM toks) t GROUP BY term) v),
 head AS (SELECT id, unnest(tokens[1:126]) AS term, unnest(generate_series(1, least(126, len(tokens)))) AS pos FROM toks),
 body AS (SELECT id, list(coalesce(term_id, 1) ORDER BY pos) AS body FROM head LEFT JOIN vocab USING (term) GROUP BY id)"""))
 def f8_encode_sequence(spark, sf):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from postlab.functions import text as T
 from postlab.functions import tokens as K
-from postlab.functions.matching import count_lexicon_terms, has_lexicon_term
 from postlab.operators import lexicon as L
+from postlab.operators.features import NO_LIMIT
 from postlab.plans import checksql as S
 from postlab.plans import views
 from postlab.plans.registry import query
@@ -63,16 +63,17 @@ def _light_text(c):
 
 
 def _flagged(spark, sf, terms, prepare=lambda c: c):
-    return views.posts(spark, sf).select(
-        "id", has_lexicon_term(prepare(F.col("text")), terms).cast("bigint").alias("flag"))
+    prepared = views.posts(spark, sf).select("id", prepare(F.col("text")).alias("text"))
+    return L.lexicon_hits(prepared, terms).select(
+        "id", L.lexicon_flag(F.col("hits")).cast("bigint").alias("flag"))
 
 
-def _counted(spark, sf, terms, prepare=lambda c: c):
+def _counted(spark, sf, terms, prepare=lambda c: c, limit=L.INLINE_TERMS):
     prepared = views.posts(spark, sf).select("id", prepare(F.col("text")).alias("text"))
-    return prepared.select(
-        "id", count_lexicon_terms(F.col("text"), terms).cast("bigint").alias("n_hits"),
-        K.word_count(F.col("text")).cast("bigint").alias("n_words"),
-    ).select("id", "n_hits", (F.col("n_words") - F.col("n_hits")).alias("n_rest"))
+    counted = prepared.withColumn("n_words", K.word_count(F.col("text")).cast("bigint"))
+    return L.lexicon_hits(counted, terms, limit=limit).select(
+        "id", F.size("hits").cast("bigint").alias("n_hits"),
+        (F.col("n_words") - F.size("hits")).alias("n_rest"))
 
 
 @query(S.with_views(f"SELECT DISTINCT term FROM v_lexicon l WHERE {CHOSEN_SQL}", S.LEXICON))
@@ -82,13 +83,13 @@ def l1_select_lexicon(spark, sf):
 
 @query(_flag(PLAIN, CHOSEN_SQL))
 def l2_has_category_term(spark, sf):
-    return _flagged(spark, sf, L.inline_terms(_terms(spark, sf)))
+    return _flagged(spark, sf, _terms(spark, sf))
 
 
 @query(_flag(PLAIN, "l.level = 'inclusive'"))
 def l2_has_polar_term(spark, sf):
     polar = views.lexicon(spark, sf).filter(F.col("level") == POSITIVE)
-    return _flagged(spark, sf, L.inline_terms(polar))
+    return _flagged(spark, sf, polar)
 
 
 @query(_flag(PLAIN, "l.category IN ('c0', 'c2')"))
@@ -97,47 +98,63 @@ def l2_has_vocabulary_term(spark, sf):
     lexicon = views.lexicon(spark, sf)
     both = lexicon.filter(F.col("category") == "c0").union(
         lexicon.filter(F.col("category") == "c2"))
-    return _flagged(spark, sf, L.inline_terms(both))
+    return _flagged(spark, sf, both)
 
 
 @query(_flag(FULL))
 def l2_has_topic_term_full(spark, sf):
-    return _flagged(spark, sf, L.inline_terms(views.lexicon(spark, sf)), _full_text)
+    return _flagged(spark, sf, views.lexicon(spark, sf), _full_text)
 
 
 @query(_flag(LIGHT))
 def l2_has_topic_term_light(spark, sf):
-    return _flagged(spark, sf, L.inline_terms(views.lexicon(spark, sf)), _light_text)
+    return _flagged(spark, sf, views.lexicon(spark, sf), _light_text)
 
 
 @query(_count(PLAIN, CHOSEN_SQL))
 def l3_count_category_terms(spark, sf):
-    return _counted(spark, sf, L.inline_terms(_terms(spark, sf)))
+    return _counted(spark, sf, _terms(spark, sf))
 
 
 @query(_count(PLAIN))
 def l3_count_all_terms(spark, sf):
     """The unfiltered lexicon."""
-    return _counted(spark, sf, L.inline_terms(_terms(spark, sf, filtered=False)))
+    return _counted(spark, sf, _terms(spark, sf, filtered=False))
 
 
 @query(_count(FULL))
 def l3_count_topic_terms_full(spark, sf):
-    return _counted(spark, sf, L.inline_terms(views.lexicon(spark, sf)), _full_text)
+    return _counted(spark, sf, views.lexicon(spark, sf), _full_text)
 
 
 @query(_count(LIGHT))
 def l3_count_topic_terms_light(spark, sf):
-    return _counted(spark, sf, L.inline_terms(views.lexicon(spark, sf)), _light_text)
+    return _counted(spark, sf, views.lexicon(spark, sf), _light_text)
 
 
 @query(_count(PLAIN))
 def l3_count_terms_join(spark, sf):
     """The same counts by the join route, forced."""
+    return _counted(spark, sf, views.lexicon(spark, sf), limit=0)
+
+
+# Every word of four letters and more: thousands of terms, beyond what travels in a plan.
+LARGE = S.with_views(
+    f"SELECT id, count(t.term) AS n_hits FROM (SELECT p.id, l.term FROM v_posts p LEFT JOIN "
+    f"(SELECT id, unnest({PLAIN}) AS term FROM v_posts) w ON p.id = w.id LEFT JOIN lex_df l "
+    "ON w.term = l.term) t GROUP BY id", S.POSTS, S.LEXICON)
+
+
+@query(LARGE)
+def l3_count_large_lexicon(spark, sf):
     matched = L.lexicon_hits(
-        views.posts(spark, sf).select("id", "text"), views.lexicon(spark, sf), limit=0)
-    counts = L.lexicon_counts(F.col("hits"), F.col("text"))
-    return matched.select("id", *[c.cast("bigint").alias(n) for n, c in counts.items()])
+        views.posts(spark, sf).select("id", "text"), views.whole_lexicon(spark, sf))
+    return matched.select("id", F.size("hits").cast("bigint").alias("n_hits"))
+
+
+@query(LARGE.replace("count(t.term) AS n_hits", "cast(count(t.term) > 0 AS bigint) AS flag"))
+def l2_has_large_lexicon_term(spark, sf):
+    return _flagged(spark, sf, views.whole_lexicon(spark, sf))
 
 
 PHRASE_HITS = f"""
@@ -155,9 +172,9 @@ PHRASE_COUNT = S.with_views(
 
 @query(PHRASE_COUNT)
 def l3_count_phrases(spark, sf):
-    terms = L.inline_terms(views.phrases(spark, sf))
-    return views.posts(spark, sf).select(
-        "id", count_lexicon_terms(F.col("text"), terms).cast("bigint").alias("n_hits"))
+    matched = L.lexicon_hits(
+        views.posts(spark, sf).select("id", "text"), views.phrases(spark, sf))
+    return matched.select("id", F.size("hits").cast("bigint").alias("n_hits"))
 
 
 @query(PHRASE_COUNT)
@@ -193,7 +210,7 @@ def l5_weighted_lexicon_vector(spark, sf):
 @query()
 def l6_reduce_vector(spark, sf):
     matched = _matched(spark, sf)
-    terms = L.inline_terms(views.lexicon(spark, sf))
+    terms = L.term_list(views.lexicon(spark, sf))
     vectors = L.vectorise_hits(matched, terms).select("id", "lexicon")
     reduced = L.reduce_vector(vectors, 5)
     parts = vector_to_array("reduced")
@@ -240,8 +257,8 @@ def l8_topic_top_words(spark, sf):
     posts = views.posts(spark, sf).select(
         K.tokenize(T.clean_text(F.col("text"), T.TRAIN)).alias("tokens"))
     with cached(posts):
-        counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=0.01).fit(posts)
-        model = LDA(k=4, maxIter=5, seed=123).fit(counts.transform(posts))
+        counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=0.01, vocabSize=NO_LIMIT).fit(posts)
+        model = LDA(k=10, seed=123).fit(counts.transform(posts))
     weights = L.topic_weights(model, counts.vocabulary, 50)
     return L.top_words(weights, 10).withColumn("weight", F.round("weight", 6))
 

@@ -11,15 +11,13 @@ from postlab.operators import models as M
 from postlab.operators.evaluate import classification_report, mean_metrics
 from postlab.operators.features import fit_tfidf
 from postlab.operators.sampling import assign_folds, shuffle_splits
-from postlab.operators.tables import attach_predictions
+from postlab.operators.tables import append_rows, attach_predictions, languages
 from postlab.plans import checksql as S
 from postlab.plans import views
 from postlab.plans.registry import query
 from postlab.session import cached, settle, workspace
 from postlab.sources.models import load_model, save_model
 
-LANGUAGES = ("de", "en", "es", "fr")
-
 
 def _posts(spark, sf):
     return views.posts(spark, sf).withColumn(
@@ -49,24 +47,23 @@ def _vectors(spark, sf):
 @query()
 def m1_logistic_regression(spark, sf):
     """One-vs-rest over four languages."""
-    return _fit_and_score(spark, sf, "language", "logistic_regression", maxIter=20)
+    return _fit_and_score(spark, sf, "language", "logistic_regression")
 
 
 @query()
 def m2_random_forest(spark, sf):
-    """Fewer and shallower trees than the defaults, as parameters."""
-    return _fit_and_score(spark, sf, "language", "random_forest", trees=20, depth=8)
+    return _fit_and_score(spark, sf, "language", "random_forest")
 
 
 @query()
 def m3_linear_svm(spark, sf):
-    return _fit_and_score(spark, sf, "task1", "svm", maxIter=20)
+    return _fit_and_score(spark, sf, "task1", "svm")
 
 
 @query()
 def m3_svm_probability(spark, sf):
     binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
-    scored = M.linear_svm(binary.count(), maxIter=20).fit(binary).transform(binary)
+    scored = M.linear_svm(binary.count()).fit(binary).transform(binary)
     return M.margin_probability(scored).select(
         "id", F.col("prediction").cast("int").alias("pred"),
         F.round("probability", 6).alias("probability"))
@@ -75,12 +72,12 @@ def m3_svm_probability(spark, sf):
 @query()
 def m4_fit_text_model(spark, sf):
     """The default classifier on the six-class task."""
-    return _fit_and_score(spark, sf, "task2", "svm", maxIter=10)
+    return _fit_and_score(spark, sf, "task2", "svm")
 
 
 def _saved_and_loaded(spark, sf):
     train, rest = _split(spark, sf)
-    model = M.fit_text_model(train, "task1", "logistic_regression", maxIter=20)
+    model = M.fit_text_model(train, "task1", "logistic_regression")
     folder = workspace(spark)
     save_model(model, folder)
     return M.predict(model, rest), M.predict(load_model(folder), rest)
@@ -104,27 +101,46 @@ def s5_save_load_model(spark, sf):
 @query()
 def m6_fit_per_language(spark, sf):
     train, rest = _split(spark, sf)
-    models = M.fit_per_language(train, "task1", LANGUAGES, "logistic_regression", maxIter=10)
+    models = M.fit_per_language(train, "task1", languages(train), "logistic_regression")
     return M.predict_per_language(models, rest)
 
 
 @query()
 def m6_report_over_languages(spark, sf):
     """A model per language, fitted on four folds of the labelled posts and scored on
-    the fifth; one report over all languages together."""
+    the fifth, for every fold; one report over all languages together."""
     labelled = _posts(spark, sf).filter(F.col("split") == "train")
     folded = assign_folds(labelled, "language", 5)
     with cached(folded) as posts:
-        held_out = posts.filter(F.col("fold") == 0)
-        models = M.fit_per_language(
-            posts.filter(F.col("fold") > 0), "task1", LANGUAGES, "logistic_regression", maxIter=10)
-        scored = settle(attach_predictions(
-            held_out.select("id", F.col("task1").alias("gold")),
-            M.predict_per_language(models, held_out, ("id",)).withColumnRenamed("category", "pred")))
+        parts = []
+        for fold in range(5):
+            held_out, rest = posts.filter(F.col("fold") == fold), posts.filter(F.col("fold") != fold)
+            models = M.fit_per_language(rest, "task1", languages(rest), "logistic_regression")
+            parts.append(attach_predictions(
+                held_out.select("id", F.col("task1").alias("gold")),
+                M.predict_per_language(models, held_out, ("id",)).withColumnRenamed("category", "pred")))
+        scored = settle(append_rows(*parts))
+    return _report(scored)
+
+
+def _report(scored):
     report = classification_report(scored)
     return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+@query()
+def m4_validation_report(spark, sf):
+    """The default model fitted on four fifths of the labelled posts, reported on the rest."""
+    labelled = _posts(spark, sf).filter(F.col("split") == "train")
+    with cached(assign_folds(labelled, "task1", 5)) as posts:
+        validation = posts.filter(F.col("fold") == 0)
+        model = M.fit_text_model(posts.filter(F.col("fold") > 0), "task1")
+        scored = settle(attach_predictions(
+            validation.select("id", F.col("task1").alias("gold")),
+            M.predict(model, validation, ("id",)).withColumnRenamed("category", "pred")))
+    return _report(scored)
+
+
 WEIGHTS = ("SELECT task2, count(*) AS n_class, round((SELECT count(*) FROM v_posts WHERE task2 IS NOT NULL) / "
            "((SELECT count(DISTINCT task2) FROM v_posts) * count(*)), 6) AS weight "
            "FROM v_posts WHERE task2 IS NOT NULL GROUP BY task2")
@@ -138,10 +154,9 @@ def m7_class_weights(spark, sf):
 
 @query()
 def m7_grid_search(spark, sf):
-    """The four distinct logistic settings on a binary target, three folds."""
+    """The four distinct logistic settings on a binary target."""
     binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
-    model = M.grid_search(
-        binary, M.logistic_regression(1, maxIter=5), M.GRIDS["logistic_regression"], folds=3)
+    model = M.grid_search(binary, M.logistic_regression(1), M.GRIDS["logistic_regression"])
     return spark.createDataFrame(M.grid_scores(model), "setting string, score double")
 
 
@@ -159,18 +174,18 @@ def _out_of_fold(spark, sf, k):
     vectors = _vectors(spark, sf)
     n = vectors.count()
     return M.cross_val_predict(
-        vectors, lambda train: M.logistic_regression(n, maxIter=5).fit(train), k=k)
+        vectors, lambda train: M.logistic_regression(n * (k - 1) / k).fit(train), k=k)
 
 
 @query()
 def m8_cross_val_predict(spark, sf):
-    return _out_of_fold(spark, sf, 5)
+    return _out_of_fold(spark, sf, 10)
 
 
 @query()
 def m8_cross_validate(spark, sf):
-    """Per fold and averaged; three folds, as a parameter."""
-    per_fold = M.cross_validate(_out_of_fold(spark, sf, 3)).withColumn(
+    """Per fold and averaged."""
+    per_fold = M.cross_validate(_out_of_fold(spark, sf, 10)).withColumn(
         "fold", F.col("fold").cast("string"))
     metrics = [c for c in per_fold.columns if c != "fold"]
     mean = mean_metrics(per_fold, metrics).withColumn("fold", F.lit("mean"))
@@ -192,11 +207,10 @@ def m9_shuffle_splits(spark, sf):
 
 @query()
 def m9_repeated_split_scores(spark, sf):
-    """Tune on one part, cross-validate on the other; two repetitions, two folds."""
+    """Tune on one part, cross-validate on the other, ten times."""
     binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
     return M.repeated_split_scores(
-        binary, lambda n, **p: M.logistic_regression(n, maxIter=5, **p), {"C": [1, 10]},
-        repetitions=2, folds=2)
+        binary, M.logistic_regression, {"C": [1, 10]})
 
 
 @query()
@@ -204,7 +218,7 @@ def m10_two_heads(spark, sf):
     """Two heads over one embedding column, scored in one pass."""
     rows = views.logits(spark, sf).join(
         _vectors(spark, sf).select("id", "features"), "id").select("id", "features", "gold1", "gold2")
-    heads = M.fit_two_heads(rows, maxIter=10)
+    heads = M.fit_two_heads(rows)
     return M.score_two_heads(heads, rows).select("id", "gold1", "pred1", "gold2", "pred2")
 
 
@@ -216,6 +230,7 @@ def m10_text_heads(spark, sf):
         .otherwise(-1),
         "gold2": F.coalesce(F.array_position(F.array(*[F.lit(x) for x in views.TASK2]),
                                              F.col("task2")).cast("int") - 1, F.lit(-1))})
-    vectors = fit_tfidf(posts).transform(posts).select("id", "features", "gold1", "gold2", "split")
-    heads = M.fit_two_heads(vectors.filter(F.col("split") == "train"), maxIter=5)
+    weigh = fit_tfidf(posts.filter(F.col("split") == "train"))
+    vectors = weigh.transform(posts).select("id", "features", "gold1", "gold2", "split")
+    heads = M.fit_two_heads(vectors.filter(F.col("split") == "train"))
     return M.score_two_heads(heads, vectors).select("id", "pred1", "pred2")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postlab.functions.tokens import intersect_tokens, words
+from postlab.functions.tokens import words
 from postlab.operators import sampling as B
 from postlab.operators import tables as P
-from postlab.operators.lexicon import inline_terms, match_lexicon
+from postlab.operators.lexicon import match_lexicon
 from postlab.plans import checksql as S
 from postlab.plans import views
 from postlab.plans.registry import query
@@ -49,15 +49,18 @@ def s2_read_aux(spark, sf):
     "UNION ALL SELECT 'category_plain', category, NULL, term, NULL FROM v_lexicon "
     "UNION ALL SELECT 'polarity', NULL, NULL, term, NULL FROM v_lexicon "
     "UNION ALL SELECT 'terms', NULL, NULL, term, NULL FROM v_lexicon "
+    "UNION ALL SELECT 'terms_tab', NULL, NULL, term || ', ' || category, NULL FROM v_lexicon "
     "UNION ALL SELECT 'slang', NULL, NULL, term, category FROM v_lexicon", S.LEXICON))
 def s3_read_lexicon(spark, sf):
-    """All five layouts, written from one lexicon and read back."""
+    """All six layouts, written from one lexicon and read back."""
     source = views.lexicon(spark, sf).persist()
     layouts = {
         "category": (source.select("category", "level", F.col("term").alias("lemma")), "\t", True),
         "category_plain": (source.select("category", "level", "term"), "\t", False),
         "polarity": (source.select(F.col("term").alias("Words")), "\t", True),
         "terms": (source.select("term"), ",", True),
+        "terms_tab": (source.select(F.concat_ws(", ", "term", "category").alias("term"), "level"),
+                      "\t", True),
         "slang": (source.select("term", "category"), "\t", False),
     }
     read = [
@@ -67,9 +70,22 @@ def s3_read_lexicon(spark, sf):
     return P.append_rows(*read)
 
 
-@query(_posts("test_case, id, task1 AS category", "WHERE task1 IS NOT NULL"))
+# A category for every post, from what the scored table has of it.
+SCORED = "CASE WHEN n_words % 2 = 0 THEN 'toxic' ELSE 'non-toxic' END"
+
+
+def _scored(spark, sf):
+    even = F.size(words("text")) % 2 == 0
+    return views.posts(spark, sf).withColumns({
+        "task1": F.when(even, "toxic").otherwise("non-toxic"),
+        "task2": F.when(even, "kind1").otherwise("non-toxic")})
+
+
+@query(S.with_views(
+    f"SELECT test_case, id, {SCORED} AS category FROM (SELECT *, len({S.words('text')}) AS n_words "
+    "FROM v_posts) p", S.POSTS))
 def s4_write_predictions(spark, sf):
-    scored = views.posts(spark, sf).filter(F.col("task1").isNotNull())
+    scored = _scored(spark, sf)
     path = prediction_path(workspace(spark) + "/out.tsv", "task1")
     write_predictions(scored.withColumnRenamed("task1", "category"), path)
     return spark.read.schema("test_case string, id string, category string").csv(
@@ -77,10 +93,11 @@ def s4_write_predictions(spark, sf):
 
 
 @query(S.with_views(
-    "SELECT 'task1' AS task, test_case, id, task1 AS category FROM v_posts WHERE task1 IS NOT NULL "
-    "UNION ALL SELECT 'task2', test_case, id, task2 FROM v_posts WHERE task1 IS NOT NULL", S.POSTS))
+    f"SELECT 'task1' AS task, test_case, id, {SCORED} AS category FROM worded UNION ALL "
+    f"SELECT 'task2', test_case, id, {SCORED.replace("'toxic'", "'kind1'")} FROM worded",
+    S.POSTS, f"worded AS (SELECT *, len({S.words('text')}) AS n_words FROM v_posts)"))
 def s4_write_two_heads(spark, sf):
-    scored = views.posts(spark, sf).filter(F.col("task1").isNotNull())
+    scored = _scored(spark, sf)
     paths = write_two_heads(scored, workspace(spark) + "/out.tsv", "task1", "task2")
     schema = "test_case string, id string, category string"
     return P.append_rows(*[
@@ -232,10 +249,10 @@ def u1_append_aux_corpus(spark, sf):
     return P.append_rows(train, P.align_aux_schema(_aux(spark, sf), views.CASE, CLASSES))
 
 
-@query(_posts("id, language, task1", "WHERE language IN ('es', 'en')"))
+@query(_posts("id, language, task1", "WHERE language IS NOT NULL"))
 def u2_concat_language_results(spark, sf):
     posts = views.posts(spark, sf).select("id", "language", "task1")
-    return P.append_rows(*[P.filter_language(posts, x) for x in ("es", "en")])
+    return P.append_rows(*[P.filter_language(posts, x) for x in P.languages(posts)])
 
 
 @query(S.with_views(
@@ -254,9 +271,16 @@ def u3_union_lexicons(spark, sf):
     S.POSTS, S.LEXICON))
 def u4_intersect_tokens(spark, sf):
     chosen = views.lexicon(spark, sf).filter(F.col("category").isin("c0", "c1"))
-    terms = inline_terms(chosen)
-    return views.posts(spark, sf).select(
-        "id", F.explode(intersect_tokens(words(F.lower("text")), terms)).alias("term"))
+    posts = views.posts(spark, sf).select("id", words(F.lower("text")).alias("tokens"))
+    return P.intersect_tokens(posts, chosen)
+
+
+@query(S.with_views(
+    f"SELECT DISTINCT t.id, t.term FROM (SELECT id, unnest({S.words('lower(text)')}) AS term "
+    "FROM v_posts) t JOIN lex_df l ON t.term = l.term", S.POSTS, S.LEXICON))
+def u4_intersect_large_lexicon(spark, sf):
+    posts = views.posts(spark, sf).select("id", words(F.lower("text")).alias("tokens"))
+    return P.intersect_tokens(posts, views.whole_lexicon(spark, sf))
 
 
 # Sampling and balancing ----------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postlab.functions import text as T
 from postlab.functions import tokens as K
-from postlab.operators.tables import replace_tokens_join
+from postlab.operators.tables import replace_tokens_join, tokenize_for_lexicon
 from postlab.plans import checksql as S
 from postlab.plans import views
 from postlab.plans.registry import query
@@ -130,6 +130,24 @@ def t15_drop_noise_tokens(spark, sf):
         lambda c: K.join_tokens(K.tokenize_for_lexicon(F.lower(c), views.SLANG)), "tokens")
 
 
+# Every lexicon word and more stands for its reverse: far beyond a literal dictionary.
+LARGE_SLANG = S.with_views(
+    "SELECT n.id, array_to_string(list_filter(coalesce(r.tokens, []), lambda t: NOT (contains(t, 'u00') "
+    "OR length(t) = 1 OR regexp_full_match(t, '[0-9]+'))), ' ') AS tokens FROM v_posts n LEFT JOIN ("
+    "SELECT id, list(coalesce(reverse(l.term), u.term) ORDER BY pos) AS tokens FROM (SELECT id, "
+    "unnest(t) AS term, unnest(generate_series(1, len(t))) AS pos FROM (SELECT id, "
+    + S.tokens(r"regexp_replace(lower(text), '\s+$', '')") + " AS t FROM v_posts) a) u "
+    "LEFT JOIN lex_df l ON u.term = l.term GROUP BY id) r ON n.id = r.id", S.POSTS, S.LEXICON)
+
+
+@query(LARGE_SLANG)
+def t15_large_dictionary(spark, sf):
+    """Slang from a frame of any size."""
+    slang = views.whole_lexicon(spark, sf).withColumn("replacement", F.reverse("term"))
+    posts = views.posts(spark, sf).select("id", F.lower("text").alias("text"))
+    return tokenize_for_lexicon(posts, slang).withColumn("tokens", K.join_tokens(F.col("tokens")))
+
+
 @query(_check(f"cast(len({S.words('text')}) AS bigint)", "n_words"))
 def t16_word_count(spark, sf):
     return _apply(spark, sf, lambda c: K.word_count(c).cast("bigint"), "n_words")

@@ -75,6 +75,13 @@ def _frequent(terms: DataFrame, size: int) -> DataFrame:
         "term", F.row_number().over(Window.orderBy(F.desc("df"), "term")).alias("rk"))
 
 
+def whole_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of four letters and more, a lexicon that grows with the corpus."""
+    return documents(spark, sf).select(
+        F.explode(F.array_distinct(words(F.lower("text")))).alias("term")).filter(
+            F.char_length("term") >= 4).distinct()
+
+
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     terms = documents(spark, sf).select(
         F.explode(F.array_distinct(words(F.lower("text")))).alias("term"))

@@ -15,6 +15,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
@@ -130,6 +131,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Rows numbered from 0 in a total order, without one task that sees them all.
+
+    Range partitions number their own rows; the numbers in front of each come from
+    the partitions' sizes, one row per partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so that sizes and numbers speak of the same partitions.
+    placed = settle(df.repartitionByRange(parts, *order)
+                    .withColumn("_part", F.spark_partition_id()))
+    along = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return (placed.withColumn("_own", F.row_number().over(inside))
+            .join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col("_before") + F.col("_own") - 1)
+            .drop("_part", "_own", "_before"))
+
+
 def join_sized(big: DataFrame, small: DataFrame, keys: str | list[str], how: str = "inner",
                small_rows: int | None = None, limit: int = BROADCAST_BYTES,
                salts: int = 32) -> DataFrame:

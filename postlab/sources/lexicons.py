@@ -19,14 +19,18 @@ LAYOUTS = {
                        {"category": "category", "term": "word"}),
     "polarity": ("\t", None, {"term": "Words"}),
     "terms": (",", None, {"term": "term"}),
+    "terms_tab": ("\t", None, {"term": "term"}),
     "slang": ("\t", ("word", "label"), {"term": "word", "replacement": "label"}),
 }
 COLUMNS = ("category", "level", "term", "replacement")
 
 
-def read_lexicon(spark: SparkSession, path: str, layout: str, name: str) -> DataFrame:
+def read_lexicon(spark: SparkSession, path: str, layout: str, name: str,
+                 multiline: bool = False) -> DataFrame:
+    """Terms hold no line breaks, so files split unless ``multiline`` is asked for."""
     sep, columns, mapping = LAYOUTS[layout]
-    raw = read_delimited(spark, path, sep, schema=_strings(*columns) if columns else None)
+    raw = read_delimited(spark, path, sep, schema=_strings(*columns) if columns else None,
+                         multiline=multiline)
     found = select_columns(raw, list(mapping.values()))
     return found.select(
         F.lit(name).alias("name"),

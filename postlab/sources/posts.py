@@ -35,7 +35,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str,
         # An empty field is NULL, a quoted empty field is an empty text. With the
         # default mark, which is empty itself, both would be NULL.
         .option("nullValue", NULL_MARK).option("emptyValue", ""))
-    return (reader if schema is None else reader.schema(schema)).csv(path)
+    # Files of a folder whose header differs from the first one's fail instead of shifting columns.
+    read = reader if schema is None else reader.schema(schema)
+    return read.option("enforceSchema", schema is not None).csv(path)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str, header: bool = True) -> str:
@@ -52,18 +54,21 @@ def read_posts(spark: SparkSession, path: str, language: str | None = None,
                multiline: bool = True) -> DataFrame:
     """Tab-separated posts, optionally of one language.
 
-    Files may hold further columns, in any order. Test files may lack the labels,
-    which are NULL then. Any language other than ``es`` or ``en`` means all rows.
+    Files may hold further columns, in any order that all of them share. Test files may
+    lack the labels, which are NULL then. No language means all rows.
     """
     raw = read_delimited(spark, path, "\t", multiline=multiline)
     unlabelled = {c: F.lit(None).cast("string") for c in LABELS if c not in raw.columns}
     return filter_language(select_columns(raw.withColumns(unlabelled), POSTS.names), language)
 
 
-def read_aux_labels(spark: SparkSession, path: str) -> DataFrame:
-    return select_columns(read_delimited(spark, path, ";"), ["status_id", "categoria"])
+def read_aux_labels(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Labels hold no line breaks, so files split unless ``multiline`` is asked for."""
+    return select_columns(read_delimited(spark, path, ";", multiline=multiline),
+                          ["status_id", "categoria"])
 
 
 def read_aux_features(spark: SparkSession, path: str,
-                      columns: tuple[str, ...] = ("status_id", "text")) -> DataFrame:
-    return select_columns(read_delimited(spark, path, ","), list(columns))
+                      columns: tuple[str, ...] = ("status_id", "text"),
+                      multiline: bool = True) -> DataFrame:
+    return select_columns(read_delimited(spark, path, ",", multiline=multiline), list(columns))

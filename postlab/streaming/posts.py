@@ -17,7 +17,8 @@ def stream_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Tab-separated post files as they arrive in a folder."""
     return (
         spark.readStream.schema(POSTS)
-        .option("sep", "\t").option("header", True)
+        # Columns are taken by place, so a file with another header fails.
+        .option("sep", "\t").option("header", True).option("enforceSchema", False)
         .option("quote", '"').option("escape", '"').option("multiLine", True)
         .option("nullValue", NULL_MARK).option("emptyValue", "")
         .csv(folder))

@@ -113,6 +113,17 @@ def test_best_epoch_equals_a_plain_loop(spark, monitor):
         i: walk(vs, monitor, 3) for i, vs in runs.items()}
 
 
+def test_nan_never_improves_and_stays_if_it_opens_a_run(spark):
+    nan = float("nan")
+    runs = {0: [0.9, 0.8, nan, 0.1], 1: [nan, 0.5, 0.4], 2: [0.5, nan, nan]}
+    rows = [(i, e, v, v) for i, vs in runs.items() for e, v in enumerate(vs, 1)]
+    log = spark.createDataFrame(rows, "run_id int, epoch int, loss double, macro_f1 double")
+    best = {r.run_id: r.best_epoch for r in E.select_best_epoch(log, "loss").collect()}
+    assert best == {0: 4, 1: 1, 2: 1}
+    best = {r.run_id: r.best_epoch for r in E.select_best_epoch(log, "macro_f1").collect()}
+    assert best == {0: 1, 1: 1, 2: 1}
+
+
 def test_mean_metrics(spark):
     df = spark.createDataFrame(
         [(0, 0, 1.0), (0, 1, 0.0), (0, 2, 0.5), (1, 0, 1.0)], "split int, fold int, acc double")

@@ -122,3 +122,13 @@ def test_topic_lexicon(spark):
     assert {(r.topic, r.term, r["rank"]) for r in top} == {
         (0, "c", 1), (0, "a", 2), (1, "d", 1), (2, "c", 1)}
     assert {r.term for r in L.topic_lexicon(df, 1, [0, 2]).collect()} == {"c"}
+
+
+def test_both_routes_skip_terms_that_can_match_no_word(spark):
+    from postlab.operators import lexicon as L
+
+    posts = spark.createDataFrame([(1, "a !a b-c"), (2, None)], "id int, text string")
+    terms = spark.createDataFrame([("!a",), ("A",), (None,), ("b-c",), ("",)], "term string")
+    for limit in (0, 100):
+        hits = {r.id: r.hits for r in L.lexicon_hits(posts, terms, limit=limit).collect()}
+        assert hits == {1: ["a", "a", "b-c"], 2: []}

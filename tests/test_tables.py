@@ -69,7 +69,8 @@ def test_select(posts):
     assert P.select_type(mixed, "number").columns == ["id"]
     assert "flag" in P.select_type(mixed, "category").columns
     assert P.filter_language(posts, "en").count() == 2
-    assert P.filter_language(posts, False).count() == 4
+    assert P.filter_language(posts, "both").count() == P.filter_language(posts, None).count() == 4
+    assert P.filter_language(posts, "de").count() == 0
 
 
 def test_classes(spark):
@@ -131,8 +132,11 @@ def test_workspace_uses_the_shared_folder(spark, monkeypatch):
         def get(self, key, default=None):
             return "hdfs://shared/x/" if key == "spark.checkpoint.dir" else default
 
+    class Context:
+        applicationId = "app"
+
     class Session:
-        conf = Conf()
+        conf, sparkContext = Conf(), Context()
 
     assert workspace(Session()).startswith("hdfs://shared/x/postlab-")
 

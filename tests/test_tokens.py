@@ -68,3 +68,11 @@ def test_large_literal_dictionary_is_refused(spark):
 
 def test_intersect_tokens(apply):
     assert apply(lambda c: K.intersect_tokens(K.words(c), ["b", "a"]), ["a c a b"]) == [["a", "b"]]
+
+
+def test_replacement_keeps_rows_apart_and_takes_one_entry_per_term(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (1, ["b"]), (2, None)],
+                               "id int, tokens array<string>")
+    slang = spark.createDataFrame([("a", "y"), ("a", "x")], "term string, replacement string")
+    got = sorted(((r.id, r.tokens) for r in replace_tokens_join(df, slang).collect()), key=repr)
+    assert got == [(1, ["b"]), (1, ["b"]), (1, ["x", "b"]), (2, None)]
