@@ -31,6 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -117,8 +118,9 @@ class Index:
         """
         most = self.term_most[term]
         first, size = runs(passage)
-        promising = np.repeat(np.add.reduceat(most, first) >= least - self.SLACK if len(first) else [], size)
-        promising = promising.astype(bool)
+        if not len(first):
+            return (np.zeros(0, np.int64),) * 3
+        promising = np.repeat(np.add.reduceat(most, first) >= least - self.SLACK, size)
         passage, term, most = passage[promising], term[promising], most[promising]
         order = np.lexsort((most, passage))
         passage, term, most = passage[order], term[order], most[order]
@@ -129,7 +131,7 @@ class Index:
         # Blocks that some essential term of the passage has.
         who, cell = expand(np.flatnonzero(essential), self.term_first[term[essential]],
                            self.term_first[term[essential] + 1])
-        pair = np.unique(passage[who] * self.blocks + self.cell[cell] % max(self.blocks, 1))
+        pair = distinct(passage[who] * self.blocks + self.cell[cell] % max(self.blocks, 1))
         # Every term of the passage in each of its candidate blocks.
         owner, block = pair // max(self.blocks, 1), pair % max(self.blocks, 1)
         which, at = expand(np.arange(len(pair)), np.searchsorted(passage, owner),
@@ -152,9 +154,9 @@ class Index:
     def leaks(self, texts: list[list[str]], span: int,
               least: float) -> Iterator[tuple[int, int, float, float, float]]:
         """``text, item, score, question, answer``: retrieved and verified, best passage each."""
-        known = [[self.terms.get(w, -1) for w in words] for words in texts]
-        lengths = np.array([len(k) for k in known])
-        term = np.array([t for k in known for t in k], np.int64)
+        lengths = np.array([len(words) for words in texts])
+        term = np.fromiter(map(self.terms.get, chain.from_iterable(texts), repeat(-1)), np.int64,
+                           lengths.sum())
         owner = np.repeat(np.arange(len(texts)), lengths)
         place = np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         hit = term >= 0
@@ -166,7 +168,7 @@ class Index:
         pairs = [np.stack([base[owner][ok] + p[ok], term[ok]]) for p in (late, late - 1)
                  for ok in [(p >= 0) & (p < steps[owner])]]
         passage, term = np.concatenate(pairs, axis=1)
-        packed = np.unique(passage * len(self.terms) + term)
+        packed = distinct(passage * len(self.terms) + term)
         best: dict[tuple[int, int], tuple] = {}
         for passage, item, score in zip(*self.search(packed // len(self.terms),
                                                      packed % len(self.terms), least)):
@@ -187,6 +189,12 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_keys)))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting integers beats the hashing that ``np.unique`` does."""
+    values = np.sort(values)
+    return values[np.diff(values, prepend=-1) != 0]
+
+
 def expand(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions of each range, with the range's owner."""
     size = last - first
@@ -212,7 +220,8 @@ def find_leaks(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     ship_package(df.sparkSession)
     indexes, longest = build(items)
     kind = df.schema[id].dataType.simpleString()
-    schema = (f"doc_id {kind}, item_id long, score double, question_overlap double, "
+    # Ids travel as text: pandas would turn integers beside nulls into floats.
+    schema = ("doc_id string, item_id long, score double, question_overlap double, "
               "answer_overlap double")
     found = df.sparkSession.createDataFrame([], schema)
     for index in indexes:
@@ -234,7 +243,8 @@ def find_leaks(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
                                                   "answer_overlap"])
 
         found = found.unionByName(df.select(
-            F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(
+            F.col(id).cast("string").alias("id"),
+            F.coalesce(text, F.lit("")).alias("text")).mapInPandas(
                 searched, schema))
-    return found.groupBy("doc_id", "item_id").agg(
+    return found.groupBy(F.col("doc_id").cast(kind).alias("doc_id"), "item_id").agg(
         *(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
