@@ -99,7 +99,7 @@ class PairTable:
 def merge_many(pieces: list[bytes], pairs: PairTable) -> list[bytes]:
     """``merge`` for many pieces at once, packed: each round joins every piece's best pair."""
     out = [b""] * len(pieces)
-    sizes = np.array([len(p) for p in pieces])
+    sizes = np.array([len(p) for p in pieces], np.int64)
     token = pairs.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
     piece = np.repeat(np.arange(len(pieces)), sizes)
 

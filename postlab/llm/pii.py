@@ -10,7 +10,7 @@ combinations; partial counts per batch). Expectation-maximisation estimates from
 them how often each labeler votes which way for true and for false candidates, and
 a posterior per combination. A logistic classifier of kind, votes and shape is then
 trained on those posteriors, so it also judges combinations that never occurred.
-``detect`` keeps strict spans and weak ones the classifier gives at least
+``detect`` keeps strict spans and weak ones the classifier gives more than
 ``KEEP``.
 
 Texts are read whole; null is empty and has no spans. Rows are independent, so
@@ -250,7 +250,7 @@ def accepted(text: str, model: Model) -> list[tuple[int, int, str, float]]:
         return []
     chance = model.probability([p for _, p in found])
     return [(a, b, KINDS[kind], float(c)) for ((a, kind, b), _), c in zip(found, chance)
-            if kind < STRICT or c >= KEEP]
+            if kind < STRICT or c > KEEP]
 
 
 def detect(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
