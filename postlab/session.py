@@ -53,9 +53,20 @@ def _remove_at_exit(folder: str) -> None:
     atexit.register(remove)
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, SPARKS_ROWS = "1000", "10000"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, as ``--py-files`` would."""
+    """Let Python workers import this package, as ``--py-files`` would.
+
+    Rows here are whole documents, so Spark's default Arrow batch would hold tens of
+    megabytes in the executor and in its workers; a session that has not chosen
+    another size gets smaller ones.
+    """
     _ship_once(spark.sparkContext.applicationId)
+    if spark.conf.get(ARROW_BATCH) == SPARKS_ROWS:
+        spark.conf.set(ARROW_BATCH, ARROW_ROWS)
 
 
 @lru_cache(maxsize=None)
