@@ -35,7 +35,7 @@ BUCKETS = 256
 ORDERS = (1, 2, 3)
 GRAM_BITS = 40
 CHUNK_TEXTS = 1 << 15
-CHUNK_POINTS = 1 << 20
+CHUNK_POINTS = 1 << 18
 UNDETERMINED = "und"
 # Closeness below which a text is in none of the learned languages; documents of the given tables,
 # the shortest included, score 0.4 and more.
