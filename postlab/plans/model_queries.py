@@ -152,12 +152,35 @@ def m7_class_weights(spark, sf):
     return M.class_weights(labelled, "task2").withColumn("weight", F.round("weight", 6))
 
 
+def _binary(spark, sf):
+    return _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
+
+
+def _searched(spark, sf, name):
+    """Mean score of every setting of a ``GRIDS`` entry."""
+    model = M.grid_search(_binary(spark, sf), M.get_classifier(name, 1), M.GRIDS[name])
+    return spark.createDataFrame(M.grid_scores(model), "setting string, score double")
+
+
 @query()
 def m7_grid_search(spark, sf):
     """The four distinct logistic settings on a binary target."""
-    binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
-    model = M.grid_search(binary, M.logistic_regression(1), M.GRIDS["logistic_regression"])
-    return spark.createDataFrame(M.grid_scores(model), "setting string, score double")
+    return _searched(spark, sf, "logistic_regression")
+
+
+@query()
+def m7_grid_search_baseline(spark, sf):
+    return _searched(spark, sf, "baseline")
+
+
+@query()
+def m7_grid_search_svm(spark, sf):
+    return _searched(spark, sf, "svm")
+
+
+@query()
+def m7_grid_search_forest(spark, sf):
+    return _searched(spark, sf, "random_forest")
 
 
 FOLDS = ("SELECT id, task2, (row_number() OVER (PARTITION BY task2 ORDER BY md5(concat('123|', id)), id) - 1) % 10 "
@@ -207,10 +230,9 @@ def m9_shuffle_splits(spark, sf):
 
 @query()
 def m9_repeated_split_scores(spark, sf):
-    """Tune on one part, cross-validate on the other; two repetitions, two folds, as parameters."""
-    binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
+    """Tune the whole grid on one part, cross-validate the best on the other, ten times."""
     return M.repeated_split_scores(
-        binary, M.logistic_regression, {"C": [1, 10]}, repetitions=2, folds=2)
+        _binary(spark, sf), M.logistic_regression, M.GRIDS["logistic_regression"])
 
 
 @query()
