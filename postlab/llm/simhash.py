@@ -316,10 +316,8 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, bits, component_id``: the smallest id reachable by links, per row."""
-    prints = settle(fingerprints(df, id, text))
+def owners(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``bits, component_id``: the smallest ``doc_id`` reachable by links, per fingerprint."""
     classes = settle(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
     linked = settle(components(links(classes, max_bits)).join(
         classes.withColumnRenamed("bits", "node"), "node"))
@@ -327,24 +325,31 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     # Most classes have no link; the others take the smallest id of their component.
     shared = join_sized(linked, smallest, "root").select(
         F.col("node").alias("bits"), "component_id")
-    owners = settle(classes.join(shared, "bits", "left").select(
+    return settle(classes.join(shared, "bits", "left").select(
         "bits", F.coalesce("component_id", "least").alias("component_id")))
+
+
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, bits, component_id``: the smallest id reachable by links, per row."""
+    prints = settle(fingerprints(df, id, text))
     # A fingerprint that many rows share is split by the adaptive skew join.
-    return prints.join(owners, "bits").select("doc_id", "bits", "component_id")
+    return prints.join(owners(prints, max_bits), "bits").select("doc_id", "bits", "component_id")
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component; of repeated ids one row.
+    """One row of ``df`` per component: the smallest id, and of that id the smallest text hash.
 
-    Rows without an id stay only if no row of their component has one, all of them.
+    Rows are told apart by id and text, so texts that share an id, or have none, are
+    decided on one by one. Rows without an id stay only if no row of their component has
+    one. Of rows equal in id and text one stays.
     """
-    found = near_duplicates(df, id, text)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    rows = df.select(F.struct("*").alias("_row"), F.col(id).alias("_id"),
-                     F.xxhash64(text).alias("_text"))
-    first = Window.partitionBy("_id").orderBy("_text")
-    stays = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    single = stays.withColumn("_n", F.row_number().over(first)).filter(
-        (F.col("_n") == 1) | F.col("_id").isNull())
-    return single.select("_row.*")
+    key = F.struct(F.col(id).isNull(), F.col(id), F.unhex(F.sha2(text, 256)))
+    keyed = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), key.alias("_key"))
+    kept = owners(settle(fingerprints(keyed, "_key", "_text"))).select(
+        F.col("component_id").alias("_key")).distinct()
+    # The join leaves rows in the order of their keys; the window shuffles and sorts nothing more.
+    first = Window.partitionBy("_key").orderBy(F.lit(0))
+    stays = keyed.drop("_text").join(kept, "_key", "left_semi")
+    return stays.withColumn("_n", F.row_number().over(first)).filter(
+        F.col("_n") == 1).select("_row.*")
