@@ -7,6 +7,7 @@ and streaming frames alike.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -39,8 +40,82 @@ SINGLE_LETTER = {
     "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-",
 }
 
-EMOJI_CLASS = r"[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"
-VARIATION_SELECTOR = "️"
+# Letters without a Unicode decomposition whose name does not tell their base letter.
+LATIN_LETTERS = {
+    "ĸ": "k", "Ŋ": "NG", "ŋ": "ng", "Ƅ": "6", "ƅ": "6", "ƍ": "d", "Ǝ": "3", "ǝ": "@", "Ə": "@",
+    "ə": "@", "Ɣ": "G", "ƕ": "hv", "Ƕ": "HV", "Ɩ": "I", "ƛ": "l", "Ɯ": "W", "Ƣ": "OI", "ƣ": "oi",
+    "Ʀ": "YR", "Ƨ": "2", "ƨ": "2", "Ʃ": "SH", "ʃ": "sh", "ƪ": "sh", "Ʊ": "U", "Ʒ": "ZH", "ʒ": "zh",
+    "Ƹ": "ZH", "ƹ": "zh", "ƺ": "zh", "ƻ": "2", "Ƽ": "5", "ƽ": "5", "ƾ": "ts", "Ƿ": "W", "ƿ": "w",
+    "ǀ": "|", "ǁ": "||", "ǂ": "|=", "ǃ": "!", "Ȝ": "Y", "ȝ": "y", "Ȣ": "OU", "ȣ": "ou", "ȸ": "db",
+    "ȹ": "qp", "Ɂ": "?", "ɂ": "?", "Ʉ": "U", "Ʌ": "V", "Ɋ": "Q", "ɋ": "q", "ẟ": "d", "ẞ": "SS",
+    "ẜ": "s", "ẝ": "s", "Ỻ": "LL", "ỻ": "ll", "Ỽ": "V", "ỽ": "v", "ʼ": "'", "ʾ": "",
+    "·": "",
+}
+LATIN_NAME = re.compile(
+    r"LATIN (SMALL|CAPITAL) LETTER (?:(?:TURNED|REVERSED|OPEN|AFRICAN|DOTLESS|SCRIPT) )*"
+    r"([A-Z]{1,2})(?: .*)?")
+
+# The code points with Unicode's property Emoji (version 17), but for digits, # and *,
+# which are emoji only in keycaps.
+EMOJI_POINTS = """
+    A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2
+    25AA-25AB 25B6 25C0 25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626
+    262A 262E-262F 2638-263A 2640 2642 2648-2653 265F-2660 2663 2665-2666 2668 267B 267E-267F
+    2692-2697 2699 269B-269C 26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE 26C4-26C5 26C8
+    26CE-26CF 26D1 26D3-26D4 26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712
+    2714 2716 271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797
+    27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F004 1F0CF
+    1F170-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1E6-1F1FF 1F201-1F202 1F21A 1F22F 1F232-1F23A
+    1F250-1F251 1F300-1F321 1F324-1F393 1F396-1F397 1F399-1F39B 1F39E-1F3F0 1F3F3-1F3F5
+    1F3F7-1F4FD 1F4FF-1F53D 1F549-1F54E 1F550-1F567 1F56F-1F570 1F573-1F57A 1F587 1F58A-1F58D
+    1F590 1F595-1F596 1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC 1F5C2-1F5C4 1F5D1-1F5D3 1F5DC-1F5DE
+    1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA-1F64F 1F680-1F6C5 1F6CB-1F6D2 1F6D5-1F6D8 1F6DC-1F6E5
+    1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945 1F947-1F9FF
+    1FA70-1FA7C 1FA80-1FA8A 1FA8E-1FAC6 1FAC8 1FACD-1FADC 1FADF-1FAEA 1FAEF-1FAF8
+"""
+# Emoji that are younger than the names in ``unicodedata``.
+NEW_EMOJI = {
+    0x1F6D8: "landslide", 0x1FA89: "harp", 0x1FA8A: "trombone", 0x1FA8E: "treasure_chest",
+    0x1FA8F: "shovel", 0x1FABE: "leafless_tree", 0x1FAC6: "fingerprint", 0x1FAC8: "hairy_creature",
+    0x1FACD: "orca", 0x1FADC: "root_vegetable", 0x1FADF: "splatter",
+    0x1FAE9: "face_with_bags_under_eyes", 0x1FAEA: "distorted_face", 0x1FAEF: "fight_cloud",
+}
+_POINTS = "".join(
+    "-".join(rf"\x{{{p}}}" for p in span.split("-")) for span in EMOJI_POINTS.split())
+EMOJI_CLASS = f"[{_POINTS}]"
+FLAG = r"[\x{1F1E6}-\x{1F1FF}]{2}"
+TAG_FLAG = r"\x{1F3F4}[\x{E0020}-\x{E007E}]++\x{E007F}"
+KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
+# A sign with its skin tone, and signs joined by U+200D.
+SIGN = rf"{EMOJI_CLASS}\x{{FE0F}}?[\x{{1F3FB}}-\x{{1F3FF}}]?"
+JOINED = rf"{SIGN}(?:\x{{200D}}{SIGN})*+"
+
+
+def _spelled(letter: str) -> str | None:
+    """ASCII for a Latin letter: its decomposition, the table above or the letter it is named after."""
+    out = ""
+    for c in unicodedata.normalize("NFKD", letter):
+        known = LATIN_LETTERS.get(c, SINGLE_LETTER.get(c, MULTI_LETTER.get(c)))
+        named = LATIN_NAME.fullmatch(unicodedata.name(c, ""))
+        if unicodedata.combining(c):
+            continue
+        if c.isascii():
+            out += c
+        elif known is not None:
+            out += known
+        elif named:
+            out += named[2].lower() if named[1] == "SMALL" else named[2]
+        else:
+            return None
+    return out
+
+
+@lru_cache(maxsize=1)
+def latin_letters() -> dict[str, str]:
+    """ASCII spelling of all letters of the Latin blocks and ligatures, IPA letters as far as named."""
+    blocks = [*range(0xC0, 0x2B0), *range(0x1E00, 0x1F00), *range(0x2C60, 0x2C80), *range(0xFB00, 0xFB07)]
+    spelled = {chr(c): _spelled(chr(c)) for c in blocks if unicodedata.category(chr(c))[0] == "L"}
+    return {c: x for c, x in spelled.items() if x}
 
 
 @lru_cache(maxsize=1)
@@ -52,22 +127,28 @@ def latin_fold() -> tuple[str, str]:
     target, which is how ``translate`` deletes.
     """
     pairs = dict(SINGLE_LETTER)
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0].isascii() and chr(code) not in MULTI_LETTER:
-            pairs.setdefault(chr(code), base[0])
+    for letter, spelled in latin_letters().items():
+        if len(spelled) == 1 and letter not in MULTI_LETTER:
+            pairs.setdefault(letter, spelled)
     marks = "".join(map(chr, range(0x300, 0x370)))
     return "".join(pairs) + marks, "".join(pairs.values())
 
 
+@lru_cache(maxsize=1)
+def rare_letters() -> dict[str, str]:
+    """Letters of several ASCII letters that few texts hold."""
+    return {c: x for c, x in latin_letters().items() if len(x) > 1 and c not in MULTI_LETTER}
+
+
 @lru_cache(maxsize=1)
 def emoji_names() -> dict[str, str]:
-    """``{emoji: ':its_unicode_name:'}`` for the code points of ``EMOJI_CLASS``."""
+    """``{emoji: 'its_unicode_name'}`` for the code points of ``EMOJI_CLASS``."""
     named = {}
-    for code in [*range(0x2600, 0x27C0), *range(0x1F300, 0x1FB00)]:
-        name = unicodedata.name(chr(code), "")
-        if name:
-            named[chr(code)] = ":" + name.lower().replace(" ", "_") + ":"
+    for span in EMOJI_POINTS.split():
+        first, last = span.split("-") if "-" in span else (span, span)
+        for code in range(int(first, 16), int(last, 16) + 1):
+            name = unicodedata.name(chr(code), NEW_EMOJI.get(code, ""))
+            named[chr(code)] = name.lower().replace(" ", "_")
     return named
 
 
@@ -90,6 +171,10 @@ def strip_accents(text: Column) -> Column:
         spelled = x
         for letter, letters in MULTI_LETTER.items():
             spelled = F.replace(spelled, F.lit(letter), F.lit(letters))
+        rare = spelled
+        for letter, letters in rare_letters().items():
+            rare = F.replace(rare, F.lit(letter), F.lit(letters))
+        spelled = F.when(x.rlike(f"[{''.join(rare_letters())}]"), rare).otherwise(spelled)
         return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(
             F.translate(spelled, source, target))
 
@@ -124,23 +209,32 @@ def replace_url(text: Column) -> Column:
 def replace_emoji(text: Column) -> Column:
     """Emoji -> ``:name:``; the ``::`` between neighbours becomes one space.
 
-    Texts without emoji skip the dictionary. The others are cut into emoji and
-    non-emoji pieces, so the name lookup runs once per emoji, not once per name.
+    Skin tones and signs joined by U+200D are one emoji, named after its parts with
+    ``_`` between them. Flags become ``:flag_es:``, keycaps ``:keycap_1:``. Texts without
+    emoji skip the dictionary. The others are cut into emoji and other pieces, so the name
+    lookup runs once per emoji, not once per name.
     """
     names = F.from_json(F.lit(_emoji_json()), "map<string,string>")
-    emoji = EMOJI_CLASS + VARIATION_SELECTOR + "?"
-    other = EMOJI_CLASS.replace("[", "[^", 1)
+    letters = {chr(0x1F1E6 + i): chr(ord("a") + i) for i in range(26)}
+    letters |= {chr(0xE0000 + i): chr(i) for i in range(0x20, 0x7F)}
+    dropped = "\U0001F3F4\U000E007F"  # of a flag of tags: the black flag and the last tag
+    other = rf"[^0-9#*{_POINTS}]++|[0-9#*]"
+
+    def named(p: Column) -> Column:
+        flag = F.concat(F.lit(":flag_"), F.translate(
+            p, "".join(letters) + dropped, "".join(letters.values())), F.lit(":"))
+        signs = F.regexp_extract_all(p, F.lit(EMOJI_CLASS), F.lit(0))
+        parts = F.array_join(F.transform(signs, lambda c: F.element_at(names, c)), "_")
+        return (F.when(p.rlike(f"^(?:{TAG_FLAG}|{FLAG})$"), flag)
+                .when(p.rlike(f"^{KEYCAP}$"), F.concat(F.lit(":keycap_"), F.left(p, F.lit(1)), F.lit(":")))
+                .when(p.rlike(f"^{EMOJI_CLASS}"), F.concat(F.lit(":"), parts, F.lit(":")))
+                .otherwise(p))
 
     def spell(x: Column) -> Column:
-        pieces = F.regexp_extract_all(x, F.lit(f"{emoji}|{other}+"), F.lit(0))
-        named = F.transform(
-            pieces,
-            lambda p: F.when(
-                p.rlike(f"^{EMOJI_CLASS}"),
-                F.coalesce(
-                    F.element_at(names, F.replace(p, F.lit(VARIATION_SELECTOR), F.lit(""))), p),
-            ).otherwise(p))
-        return F.when(x.rlike(EMOJI_CLASS), F.array_join(named, "")).otherwise(x)
+        pieces = F.regexp_extract_all(
+            x, F.lit(f"{TAG_FLAG}|{FLAG}|{KEYCAP}|{JOINED}|{other}"), F.lit(0))
+        return F.when(x.rlike(rf"{EMOJI_CLASS}|{KEYCAP}"),
+                      F.array_join(F.transform(pieces, named), "")).otherwise(x)
 
     return F.replace(let(text, spell), F.lit("::"), F.lit(" "))
 

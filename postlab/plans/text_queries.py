@@ -70,6 +70,37 @@ def t10_replace_emoji(spark, sf):
     return _apply(spark, sf, T.replace_emoji)
 
 
+# Signs of every class: outside the two large blocks, flags, skin tones, joined, keycaps, not emoji.
+SIGNS = {
+    "🏴\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F": ":flag_gbeng:",
+    "👩🏽\u200d💻": ":woman_emoji_modifier_fitzpatrick_type-4_personal_computer:",
+    "👍🏽": ":thumbs_up_sign_emoji_modifier_fitzpatrick_type-4:",
+    "🏳\ufe0f\u200d🌈": ":waving_white_flag_rainbow:", "🇪🇸": ":flag_es:", "🇩🇪": ":flag_de:",
+    "1\ufe0f\u20e3": ":keycap_1:", "▶\ufe0f": ":black_right-pointing_triangle:",
+    "⭐": ":white_medium_star:", "⌚": ":watch:", "★": "★"}
+LETTERS = {"Ħ": "H", "ŧ": "t", "ŋ": "ng", "ĳ": "ij", "ŉ": "'n", "ƒ": "f", "ə": "@", "ﬁ": "fi", "ẞ": "SS", "Ǆ": "DZ"}
+
+
+def _replaced(x: str, table: dict[str, str]) -> str:
+    for sign, name in table.items():
+        x = f"replace({x}, {S.quoted([sign])}, {S.quoted([name])})"
+    return x
+
+
+def _with_all(table: dict[str, str]) -> str:
+    return f"concat(text, {S.quoted([''.join(table)])})"
+
+
+@query(_check(S.emoji(_replaced(_with_all(SIGNS), SIGNS))))
+def t10_replace_emoji_classes(spark, sf):
+    return _apply(spark, sf, lambda c: T.replace_emoji(F.concat(c, F.lit("".join(SIGNS)))))
+
+
+@query(_check(S.accents(_replaced(_with_all(LETTERS), LETTERS))))
+def t3_strip_accents_letters(spark, sf):
+    return _apply(spark, sf, lambda c: T.strip_accents(F.concat(c, F.lit("".join(LETTERS)))))
+
+
 @query(_check(S.lower("text")))
 def t11_clean_text(spark, sf):
     """The defaults: only lower-casing is on."""
