@@ -15,8 +15,8 @@ exclude. Leaves are the shards; inside one, values of the tree's block and of a
 later block within 1 bit each give the candidates, and the whole distance decides.
 
 The trees are balanced by an exact histogram of block values (at most 65,536 per
-tree, whatever the table's size). A leaf that one value still makes too large is
-cut into a grid of smaller tasks, so no task is unbounded and no pair is lost. A
+tree, whatever the table's size). A leaf with too many residents or visitors is cut
+into a grid of smaller tasks, so no task is unbounded and no pair is lost. A
 shard returns a spanning forest of its links, not all pairs; the components follow
 from alternating star steps on the links of distinct fingerprints.
 
@@ -45,6 +45,7 @@ TREES = 3
 LEAVES = 96
 LEAF_LEAST = 2_000
 SHARD_MOST = 400_000
+VISITORS_MOST = 2_000_000
 CANDIDATES = 1 << 22
 ONE_BIT = np.array([0, *(1 << i for i in range(BLOCK_BITS))], np.uint32)
 
@@ -136,8 +137,16 @@ class VantageTree:
         return None
 
 
+def grid_of(tree: VantageTree, weights: np.ndarray) -> np.ndarray:
+    """Per leaf, the columns its residents are cut into and the rows of its visitors."""
+    held = np.bincount(tree.home, weights, minlength=tree.leaves)
+    asked = np.bincount(tree.visited, np.repeat(weights, np.diff(tree.first)), minlength=tree.leaves)
+    return np.stack([np.ceil(np.maximum(held, 1) / SHARD_MOST),
+                     np.ceil(np.maximum(asked, 1) / VISITORS_MOST)], axis=1).astype(np.int64)
+
+
 def plan_trees(distinct: DataFrame) -> tuple[list[VantageTree], list[np.ndarray]]:
-    """One tree per leading block and the parts that each of its leaves is cut into."""
+    """One tree per leading block and the grid that each of its leaves is cut into."""
     counts = distinct.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("tree"), block(F.col("bits"), i).alias("value"))
         for i in range(TREES)])).alias("x")).groupBy("x.tree", "x.value").count()
@@ -147,9 +156,8 @@ def plan_trees(distinct: DataFrame) -> tuple[list[VantageTree], list[np.ndarray]
     trees, parts = [], []
     for i in range(TREES):
         tree = VantageTree(weights[i], max(LEAF_LEAST, weights[i].sum() / LEAVES), seed=i)
-        held = np.bincount(tree.home, weights[i], minlength=tree.leaves)
         trees.append(tree)
-        parts.append(np.ceil(np.maximum(held, 1) / SHARD_MOST).astype(np.int64))
+        parts.append(grid_of(tree, weights[i]))
     return trees, parts
 
 
@@ -164,14 +172,16 @@ def route(values: np.ndarray, trees: list[VantageTree], parts: list[np.ndarray])
         leaf = tree.visited[at]
         home = leaf == tree.home[own[who]]
         # A large leaf is a grid: residents lie in one column, visitors in one row.
-        grid = cut[leaf]
-        spot = (values[who] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % grid
+        columns, rows = cut[leaf].T
+        spot = (values[who] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
         for resident in (True, False):
             here = np.flatnonzero(home) if resident else np.arange(len(who))
-            copies = grid[here]
+            copies = (rows if resident else columns)[here]
             again = np.repeat(here, copies)
             step = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-            cell = spot[again] * grid[again] + step if resident else step * grid[again] + spot[again]
+            row, column = (step, spot[again] % columns[again]) if resident else (
+                spot[again] % rows[again], step)
+            cell = row * columns[again] + column
             out.append(pd.DataFrame({
                 "shard": (np.int64(number) << 48) + (leaf[again].astype(np.int64) << 24) + cell,
                 "bits": values[who[again]].view(np.int64), "resident": resident}))

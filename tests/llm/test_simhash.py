@@ -85,3 +85,22 @@ def test_documents(spark):
 def test_a_long_chain_is_one_component(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in S.components(edges).collect()} == {0}
+
+
+def test_the_grid_bounds_visitors_too(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_MOST", 100)
+    monkeypatch.setattr(S, "VISITORS_MOST", 300)
+    random_ = np.random.default_rng(5)
+    hot = np.uint64(0x1234)
+    low = np.concatenate([np.full(4000, hot), *(np.full(40, hot ^ np.uint64(1 << i)) for i in range(16))])
+    values = np.unique(random_.integers(0, 1 << 48, len(low), dtype=np.uint64) << np.uint64(16) | low.astype(np.uint64))
+    weights = np.bincount((values & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16).astype(float)
+    tree = S.VantageTree(weights, 50, seed=0)
+    routed = S.route(values, [tree], [S.grid_of(tree, weights)])
+    sizes = routed.groupby(["shard", "resident"]).size()
+    assert sizes.xs(True, level="resident").max() <= 1.6 * 100 and sizes.xs(False, level="resident").max() <= 1.6 * 300
+    # Every resident of a leaf meets each of its visitors in exactly one cell.
+    at = {kind: rows.groupby("bits")["shard"].agg(set) for kind, rows in routed.groupby("resident")}
+    for a in random_.choice(values, 20).view(np.int64):
+        assert all(len(at[True][a] & at[False][b]) == 1 for b in
+                   (values[((values ^ np.int64(a).view(np.uint64)) & np.uint64(0xFFFF)) == 0][:50]).view(np.int64))
