@@ -37,9 +37,11 @@ GRAM_BITS = 40
 CHUNK_TEXTS = 1 << 15
 CHUNK_POINTS = 1 << 18
 UNDETERMINED = "und"
-# Closeness below which a text is in none of the learned languages; documents of the given tables,
-# the shortest included, score 0.4 and more.
+# The cutoff of a language (`least_scores`) lies MARGIN under its least held-out score, and the closer
+# to LEAST_SCORE the fewer texts tell: with FEW texts, halfway.
 LEAST_SCORE = 0.2
+MARGIN = 0.1
+FEW = 50
 
 
 @lru_cache(maxsize=1)
@@ -170,14 +172,18 @@ def sampled_ids(labelled: DataFrame, rows: int) -> DataFrame:
     return ranked.filter(F.col("n") <= rows).select("id", "lang").distinct()
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id",
-          rows: int = TRAIN_ROWS) -> Profiles:
-    """Profiles of all languages in ``lang``, from at most ``rows`` texts of each."""
-    ship_package(df.sparkSession)
+def sampled_texts(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id",
+                  rows: int = TRAIN_ROWS) -> DataFrame:
+    """``id, lang, text``: at most ``rows`` texts of each language in ``lang``."""
     labelled = df.select(F.col(id).alias("id"), F.col(lang).alias("lang"),
                          F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sample = join_sized(labelled, sampled_ids(labelled.select("id", "lang"), rows), ["id", "lang"],
-                        "left_semi")
+    return join_sized(labelled, sampled_ids(labelled.select("id", "lang"), rows), ["id", "lang"],
+                      "left_semi")
+
+
+def learn(sample: DataFrame) -> Profiles:
+    """Profiles of all languages of ``sampled_texts``."""
+    ship_package(sample.sparkSession)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,6 +201,27 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     return Profiles([(r.lang, r.gram, r["rank"] - 1) for r in ranked.collect()])
 
 
+def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id",
+          rows: int = TRAIN_ROWS) -> Profiles:
+    """Profiles of all languages in ``lang``, from at most ``rows`` texts of each."""
+    return learn(sampled_texts(df, text, lang, id, rows))
+
+
+def least_scores(sample: DataFrame) -> dict[str, float]:
+    """Cutoff per language from ``sampled_texts``; below it a text is in none of the languages.
+
+    Either half of the texts is scored by profiles of the other half; texts that are not
+    recognised there do not count, and a language without any has no cutoff here.
+    """
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))
+    scored = [predict(sample.filter(half == own), learn(sample.filter(half != own)))
+              for own in (0, 1)]
+    least = scored[0].unionByName(scored[1]).filter("lang_pred = lang").groupBy("lang").agg(
+        F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    return {r.lang: LEAST_SCORE + max(0, (1 - MARGIN) * r.least - LEAST_SCORE) * r.n / (r.n + FEW)
+            for r in least.collect()}
+
+
 def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """Append ``lang_pred`` and ``score``, the closeness to the nearest profile from 0 to 1."""
     ship_package(df.sparkSession)
