@@ -204,7 +204,7 @@ def expand(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
 
 def build(items: DataFrame, id: str = "item_id", text: str = "text") -> tuple[list[Index], int]:
     """The index in parts, and the length of the longest item."""
-    # Benchmark items are a bounded side: they are read part by part, never all documents.
+    # All items and parts meet on the driver; documents never do.
     rows = [(r[0], r[1]) for r in items.select(id, text).dropna().distinct().orderBy(
         id, text).toLocalIterator() if words_of(r[1])]
     lengths = [len(words_of(t)) for _, t in rows]
