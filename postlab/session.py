@@ -142,6 +142,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a settled frame that nothing reads any more."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/postlab-{context.applicationId}/" in folder:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """Rows numbered from 0 in a total order, without one task that sees them all.
 
