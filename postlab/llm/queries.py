@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlab.llm import (
-    bpe, chat, credentials, decontaminate, fingerprints, language, pii, quality, sharding, simhash)
+    bpe, centroids, chat, credentials, decontaminate, fingerprints, jaccard, language, pii, quality,
+    resampling, sharding, simhash)
 from postlab.llm.spans import shown
 from postlab.session import spread
 
@@ -160,3 +161,20 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text")
     return quality.score(docs, quality.train(docs, grades)).select(
         "doc_id", "expected_grade", "tail_probability", "selected")
+
+
+@query
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return centroids.cluster(spread(vectors, "vec_id")).drop("products")
+
+
+@query
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf}/benchmark.parquet").select("text")
+    return resampling.resample(documents(spark, sf).select("doc_id", "text"), target)
+
+
+@query
+def op13_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf).select("doc_id", "text"))

@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from postlab.llm import queries, simhash
 
-OPS = [f"op{n}" for n in range(1, 11)]
+OPS = [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.fixture(scope="module")
@@ -30,13 +30,17 @@ def odd(spark, tmp_path_factory):
                            (1, 2, "user", None), (None, None, None, None), (2, 1, "assistant", "x y z")],
                           "conv_id long, turn long, role string, text string").write.parquet(
                               f"{top}/conversations.parquet")
+    spark.createDataFrame([(1, [0.5] * 64, 0, "x"), (None, [0.1] * 64, None, "x"), (2, None, 1, "x"),
+                           (3, [1.0], 1, "x"), (1, [0.5] * 64, 0, "x")],
+                          "vec_id long, embedding array<float>, label int, products string").write.parquet(
+                              f"{top}/embeddings.parquet")
     return top
 
 
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{top}/{name}.parquet")
     return top
 
@@ -49,7 +53,9 @@ def test_one_query_for_each_operator_and_the_pipeline():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_odd_rows(spark, odd, name):
     rows = queries.QUERIES[name](spark, odd).collect()
-    if name not in ("op7_chat", "op9_decontamination"):
+    if name == "op11_centroids":
+        assert sorted((r.vec_id is None, r.vec_id) for r in rows) == [(False, 1), (False, 1), (True, None)]
+    elif name not in ("op7_chat", "op9_decontamination"):
         assert len(rows) == 8
         assert sum(r.doc_id == 1 for r in rows) == 2
 
