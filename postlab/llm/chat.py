@@ -12,6 +12,11 @@ arguments) stays, and ``copies`` tells how many there were; so do results. A res
 without a call is a row of status ``orphan``, a call without a result is
 ``unanswered``. A parent that is no call counts as none; calls on a cycle have no
 depth and come first. Null arguments are invalid; null identifiers are never linked.
+
+Arguments that no strict JSON reader takes are invalid (``$: not JSON``) and written as
+``null``: NaN and infinities, numbers beyond a double or over 4,300 digits, repeated keys
+of an object, half surrogates, and nesting deeper than ``DEEPEST``. A whole number is an
+integer however it is written (``5.0``). A schema with an unknown type is refused at once.
 """
 
 from __future__ import annotations
@@ -25,16 +30,33 @@ from pyspark.sql import functions as F
 
 from postlab.session import join_sized, settle, ship_package
 
-TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list,
-         "object": dict}
+DEEPEST = 100
 KEY = ["conv_id", "call_id"]
 
 
+def _number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+TYPES = {
+    "string": lambda v: isinstance(v, str), "number": _number, "null": lambda v: v is None,
+    "integer": lambda v: _number(v) and v == int(v), "boolean": lambda v: isinstance(v, bool),
+    "array": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict)}
+
+
+def check_schema(schema: dict) -> None:
+    """Raise for a type the validator does not know, wherever it stands."""
+    if schema.get("type", "null") not in TYPES:
+        raise ValueError(f"unknown schema type: {schema['type']!r}")
+    below = list(schema.get("properties", {}).values())
+    for inner in below + ([schema["items"]] if "items" in schema else []):
+        check_schema(inner)
+
+
 def problems(value, schema: dict, path: str = "$") -> list[str]:
     """Violations of a JSON schema: type, enum, bounds, lengths, required and extra properties."""
     kind = schema.get("type")
-    if kind and (not isinstance(value, TYPES[kind])
-                 or isinstance(value, bool) and kind in ("integer", "number")):
+    if kind and not TYPES[kind](value):
         return [f"{path}: not {kind}"]
     found = []
     if "enum" in schema and value not in schema["enum"]:
@@ -62,13 +84,50 @@ def problems(value, schema: dict, path: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(text)
+    return value
+
+
+def _refused(text: str):
+    raise ValueError(text)
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("repeated key")
+    return found
+
+
+def _depth(value) -> int:
+    """Nesting of a value, without recursion; stops beyond the limit."""
+    level, deep = [value], 0
+    while level and deep <= DEEPEST:
+        deep += 1
+        level = [y for x in level if isinstance(x, (dict, list))
+                 for y in (x.values() if isinstance(x, dict) else x)]
+    return deep
+
+
+def strict_json(text: str):
+    """The value of a JSON text; ValueError, TypeError or RecursionError if there is none."""
+    value = json.loads(text, parse_constant=_refused, parse_float=_finite, object_pairs_hook=_unique)
+    if _depth(value) > DEEPEST:
+        raise ValueError("too deep")
+    canonical(value).encode()  # half surrogates have no bytes
+    return value
 
 
 def checked(name: str | None, arguments: str | None, schemas: dict) -> tuple[str, str]:
     """Errors, joined by ``; ``, and the canonical arguments (``null`` if they cannot be read)."""
     try:
-        value = json.loads(arguments)
+        value = strict_json(arguments)
     except (TypeError, ValueError, RecursionError):
         return "$: not JSON", "null"
     if name not in schemas:
@@ -117,12 +176,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     ``results``: conv_id, call_id, turn, content. ``schemas``: JSON schema per tool.
     """
     ship_package(calls.sparkSession)
+    for schema in schemas.values():
+        check_schema(schema)
     named = calls.select(*KEY, "turn", "name", "arguments", "parent_id")
     linkable = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     single = settle(once(named.filter(linkable), ["turn", "arguments"]))
     answers = once(results.select(*KEY, F.col("turn").alias("result_turn"), "content")
                    .filter(linkable), ["result_turn", "content"])
-    both = single.join(answers.withColumnRenamed("copies", "result_copies"), KEY, "full")
+    # Both sides hold a key once, so no hash table grows with a hot one.
+    both = single.join(
+        answers.withColumnRenamed("copies", "result_copies").hint("shuffle_hash"), KEY, "full")
     placed = both.join(depths(single), KEY, "left")
 
     @F.pandas_udf("errors string, arguments_json string")

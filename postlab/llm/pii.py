@@ -144,7 +144,7 @@ def votes(text: str, span: tuple[int, int, int], neighbour: bool) -> tuple[int,
     elif name == "ip":
         checksum = 1
         gazetteer = -1 if digits.startswith("0") or value.startswith(("127.", "255.")) else 1
-        shape = -1 if any(p != str(int(p)) for p in value.split(".")) else 1
+        shape = -1 if any(p != (p.lstrip("0") or "0") for p in value.split(".")) else 1
     elif name == "phone":
         gazetteer = 1 if digits.startswith(CALLING_CODES) else -1
         shape = 1 if value.count("(") == value.count(")") <= 1 else -1

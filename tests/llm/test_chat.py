@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 from postlab.llm import chat
 
@@ -19,6 +22,74 @@ def test_schema():
     assert chat.checked("g", "{}", SCHEMAS) == ("$: unknown tool", "{}")
 
 
+def test_arguments_beyond_strict_json():
+    check = lambda text: chat.checked("f", text, SCHEMAS)
+    for text in ('{"a":"\\ud800"}', '{"\\udc00":1}', '{"a":NaN}', '{"a":-Infinity}', '{"a":1e400}', '{"a":1,"a":2}',
+                 "[" * 200 + "]" * 200, "[" * 100_000 + "]" * 100_000, "1" * 5_000, '{"a":1} x', ""):
+        assert check(text) == ("$: not JSON", "null"), text[:30]
+    assert check('{"a": 5.0}') == ("", '{"a":5.0}')
+    assert check('{"a": 5.5}')[0] == "$.a: not integer"
+    assert check('{"a": "\\ud83d\\ude00"}')[1] == '{"a":"😀"}'
+    with pytest.raises(ValueError):
+        chat.check_schema({"properties": {"x": {"type": "date"}}})
+
+
+def test_link_takes_odd_arguments(spark):
+    odd = ['{"a":"\\ud800"}', '{"a":NaN}', '{"a":1,"a":2}', "[" * 5000, '{"a":' + "9" * 5000 + "}", '{"a": 3.0}']
+    calls = spark.createDataFrame([(1, str(i), i, "f", t, None) for i, t in enumerate(odd)],
+                                  "conv_id long, call_id string, turn long, name string, arguments string, parent_id string")
+    results = spark.createDataFrame([(1, "0", 1, "r")], "conv_id long, call_id string, turn long, content string")
+    out = chat.link(calls, results, SCHEMAS)
+    assert [r.valid for r in out.orderBy("turn").collect()] == [False] * 5 + [True]
+    assert "ShuffledHashJoin" in chat.link(calls, results, SCHEMAS)._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_link(calls, results):
+    """One row per key by dictionaries: earliest turn, then smallest arguments."""
+    first, answers, copies, more = {}, {}, {}, {}
+    for c, k, turn, name, args, parent in calls:
+        if c is not None and k is not None:
+            copies[c, k] = copies.get((c, k), 0) + 1
+            first[c, k] = min(first.get((c, k), (turn, args, name, parent)), (turn, args, name, parent))
+    for c, k, turn, content in results:
+        if c is not None and k is not None:
+            more[c, k] = more.get((c, k), 0) + 1
+            answers[c, k] = min(answers.get((c, k), (turn, content)), (turn, content))
+
+    def depth(c, k):
+        seen = set()
+        while True:
+            if k in seen:
+                return None
+            seen.add(k)
+            up = first[c, k][3]
+            if (c, up) not in first:
+                return len(seen) - 1
+            k = up
+
+    return {key: ("orphan", None, None, more[key]) if key not in first else
+            ("answered" if key in answers else "unanswered", depth(*key), copies[key], more.get(key))
+            for key in first.keys() | answers.keys()}
+
+
+def test_link_equals_dictionaries(spark):
+    rng = random.Random(6)
+    calls = [(rng.randrange(9), f"k{rng.randrange(25)}", rng.randrange(50), "f", '{"a":%d}' % rng.randrange(12),
+              rng.choice([None, f"k{rng.randrange(25)}"])) for _ in range(200)]
+    results = [(rng.randrange(9), f"k{rng.randrange(30)}", rng.randrange(50), f"r{i}") for i in range(150)]
+    out = chat.link(
+        spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, "
+                                     "parent_id string"),
+        spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), SCHEMAS).collect()
+    assert {(r.conv_id, r.call_id): (r.status, r.depth, r.copies, r.result_copies) for r in out} == plain_link(
+        calls, results)
+    place = {(r.conv_id, r.call_id): n for n, r in enumerate(out)}
+    for r in out:
+        up = json.loads(r.json)["parent"]
+        if r.depth:
+            assert place[r.conv_id, up] < place[r.conv_id, r.call_id]
+
+
 def test_link(spark):
     calls = [(1, f"k{i}", i, "f", '{"a": 1}', f"k{i - 1}" if i else None, 0) for i in range(20)]
     calls += [(1, "k3", 30, "f", "{}", None, 0), (2, "x", 0, "f", "{}", "y", 0), (2, "y", 1, "f", None, "x", 0),

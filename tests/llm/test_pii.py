@@ -41,6 +41,14 @@ def test_long_runs_end(spark):
         pii.candidates(text)
 
 
+def test_ip_parts_of_any_length(spark):
+    texts = ["at 1.2.3." + "0" * 5000 + " now", "0" * 5000 + "9.1.1.1", "1.2.3." + "9" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = [[(s.start, s.end) for s in r.spans if s.kind == "ip"]
+             for r in pii.detect(df, pii.fit(df)).orderBy("doc_id").collect()]
+    assert found == [[(3, 5009)], [(0, 5007)], []]
+
+
 def test_labeler_reliabilities_are_recovered():
     rng = np.random.default_rng(5)
     truth = rng.random(20_000) < 0.4
