@@ -10,8 +10,8 @@ first, the corpus' heavy tokens last. Two linked sets share a token among the fi
 smaller one. Only those leading tokens are shuffled, and only tokens that two classes
 lead with go on.
 
-Classes with the same rarest shared token and about the same size form a group; too
-large a group is cut. The token-group matrix says which groups hold which leading
+Classes that share leading tokens with the same class form a group; too large a group is
+cut. The token-group matrix says which groups hold which leading
 token, so a class asks only groups that hold one of its own. There, the whole token
 union of the group bounds the overlap of a query with any member: a query with less
 than 80 percent of its tokens in the union leaves the group unopened. An opened group
@@ -34,7 +34,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from postlab.llm.simhash import components
-from postlab.session import BROADCAST_BYTES, join_sized, measured_bytes, settle, ship_package
+from postlab.session import (
+    BROADCAST_BYTES, join_sized, measured_bytes, removed, settle, ship_package)
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -51,6 +51,7 @@ STRETCH = 1 << 21  # tokens that are counted together for the heavy ones
 HEAVY_SETS = 3
 HEAVY_MOST = 1 << 18
 GROUP_TOKENS = 1 << 21
+SPREADS = 2  # rounds in which groups grow
 GAP = re.compile(rb"[\x20\x09-\x0d]")
 # Odd multipliers of the words of a shingle, from a fixed seed.
 FACTORS = np.random.default_rng(13).integers(0, 1 << 63, SHINGLE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,37 +175,62 @@ def read_sets(rows: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: in
 
 def shared_tokens(classes: DataFrame) -> DataFrame:
     """``token, cls, n, at``: leading tokens that more than one class has, with their place."""
-    each = classes.select("cls", "n", F.posexplode("lead").alias("at", "token"))
+    # Size and place travel as one number, as this is the widest shuffle.
+    each = classes.select("cls", "n", F.posexplode("lead").alias("at", "token")).select(
+        "token", "cls", (F.shiftleft("n", 32) + F.col("at")).alias("packed"))
     beside = Window.partitionBy("token").orderBy("cls")
-    return each.withColumns({
+    both = each.withColumns({
         "_before": F.lag("cls").over(beside), "_after": F.lead("cls").over(beside)}).filter(
-            "_before IS NOT NULL OR _after IS NOT NULL").select("token", "cls", "n", "at")
-
-
-def grouped(shared: DataFrame, percent: int) -> DataFrame:
-    """``cls, n, group``: classes with the same rarest shared token and about the same size."""
-    placed = shared.groupBy("cls").agg(
-        F.min(F.struct("at", "token")).alias("first"), F.first("n").alias("n")).select(
-            "cls", "n", F.col("first.token").alias("token"),
-            F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).alias("band"))
-    placed = settle(placed)
-    heavy = placed.groupBy("token", "band").agg(F.sum("n").alias("held")).filter(
-        F.col("held") > GROUP_TOKENS)
-    cut = join_sized(placed, settle(heavy), ["token", "band"], "left")
+            "_before IS NOT NULL OR _after IS NOT NULL")
+    return both.select("token", "cls", F.shiftright("packed", 32).alias("n"),
+                       F.col("packed").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
+
+
+def cut(placed: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
+    """Number the slices of each group of ``keys`` that holds too many tokens, by a hash."""
+    wide = settle(placed.groupBy(*keys).agg(F.sum("n").alias("held")).filter(F.col("held") > GROUP_TOKENS))
     slices = F.ceil(F.coalesce("held", F.lit(1)) / GROUP_TOKENS)
+    return join_sized(placed, wide, keys, "left").withColumn(
+        name, F.pmod(F.xxhash64(by), slices)).drop("held")
+
+
+def grouped(shared: DataFrame) -> DataFrame:
+    """``cls, n, group``: classes that share leading tokens with one another.
+
+    A class takes the smallest label that it or a class beside it has, twice over. Too large a
+    group is cut by the rarest shared token, which near copies have in common, and what is
+    then still too large by class.
+    """
+    labelled = shared.select("token", "cls", "n", "at", F.col("cls").alias("label"))
+    for _ in range(SPREADS):
+        by_token = labelled.groupBy("token").agg(F.min("label").alias("label"))
+        by_class = labelled.drop("label").join(by_token, "token").groupBy("cls").agg(
+            F.min("label").alias("label"))
+        labelled = shared.join(by_class, "cls")
+    placed = settle(labelled.groupBy("cls").agg(
+        F.min(F.struct("at", "token")).alias("first"), F.first("n").alias("n"),
+        F.first("label").alias("label")).select("cls", "n", "label", F.col("first.token").alias("token")))
+    parts = cut(cut(placed, ["label"], "token", "part"), ["label", "part"], "cls", "slice")
     # Two groups of one hash would be one group, with the same links.
-    return cut.select("cls", "n", F.xxhash64(
-        "token", "band", F.pmod(F.xxhash64("cls"), slices)).alias("group"))
+    return parts.select("cls", "n", F.xxhash64("label", "part", "slice").alias("group"))
 
 
 def questions(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``cls, n, group``: other groups that hold a leading token of a class, of fitting sizes."""
+    """``cls, n, group``: other groups that may hold a linked set.
+
+    A linked set of size ``s`` in the group shares at least ``both`` tokens, so the first shared one
+    lies among the first ``n - both + 1`` of the class; ``both`` is least for the group's smallest
+    holder of that token.
+    """
     own = shared.join(groups.select("cls", "group"), "cls")
     n = F.col("n")
     held = own.filter(F.col("at") < leading_held_column(n, percent))
     matrix = held.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    smallest = F.greatest(F.col("least"), F.ceil(percent * n / 100))
+    both = F.ceil(percent * (n + smallest) / (100 + percent))
     asked = own.withColumnRenamed("group", "own").join(matrix, "token").filter(
-        (F.col("group") != F.col("own")) & (F.col("least") <= n) & (100 * F.col("most") >= percent * n))
+        (F.col("group") != F.col("own")) & (F.col("least") <= n) & (100 * F.col("most") >= percent * n)
+        & (F.col("at") <= n - both))
     return asked.select("cls", "n", "group").distinct()
 
 
@@ -213,15 +239,22 @@ def leading_held_column(n: Column, percent: int) -> Column:
 
 
 def bags(rows: DataFrame) -> DataFrame:
-    """``cls, tokens`` of rows ``cls, print, text``; a row of another set is left out."""
+    """``cls, tokens`` of rows ``cls, print, text``; a row of another set is left out.
+
+    Repeated rows give a class once per task at most.
+    """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        seen = set()
         for batch in batches:
             kept, sets = [], []
-            for i, (print_, text) in enumerate(zip(batch.column(1), batch.column(2))):
+            for i, (cls, print_, text) in enumerate(zip(batch.column(0).to_pylist(), *batch.columns[1:])):
+                if cls in seen:
+                    continue
                 tokens = shingle_set(text.as_py())
                 if xxhash.xxh3_128_digest(tokens.tobytes()) == print_.as_py():
+                    seen.add(cls)
                     kept.append(i)
                     sets.append(tokens)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -329,7 +362,7 @@ def find_links(visits: DataFrame, percent: int) -> DataFrame:
         return [(cls[who[a]], cls[who[b]]) for a, b in group_links([tokens[i] for i in who], percent)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, found = None, ([], [], []), []
+        now, held, seen, found = None, ([], [], []), set(), []
         for batch in batches:
             lists = batch.column(3)
             flat = lists.values.to_numpy()
@@ -337,7 +370,10 @@ def find_links(visits: DataFrame, percent: int) -> DataFrame:
             for i, (task, cls, member) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 if task != now:
                     found += of_task(*held) if held[0] else []
-                    now, held = task, ([], [], [])
+                    now, held, seen = task, ([], [], []), set()
+                if cls in seen:  # a repeated row
+                    continue
+                seen.add(cls)
                 held[0].append(cls)
                 held[1].append(member)
                 held[2].append(flat[ends[i]:ends[i + 1]].copy())
@@ -372,20 +408,25 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     ship_package(df.sparkSession)
     rows = df.select(F.col(id).alias("id"), F.xxhash64(F.col(id), F.col(text)).alias("row"),
                      F.col(text).alias("text"))
-    sets = settle(read_sets(rows, heavy_tokens(rows.select("text")), percent))
-    classes = settle(
-        sets.filter("n > 0").groupBy("print").agg(
+    read = settle(read_sets(rows, heavy_tokens(rows.select("text")), percent))
+    sets = settle(read.select("id", "n", "print"))
+    led = settle(
+        read.filter("n > 0").groupBy("print").agg(
             F.min("id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"),
             F.first("lead").alias("lead"))
         .withColumn("cls", F.monotonically_increasing_id()))
-    shared = settle(shared_tokens(classes))
-    groups = settle(grouped(shared, percent))
+    classes = settle(led.drop("lead", "n"))
+    shared = settle(shared_tokens(led))
+    # Leading tokens are the bulk of both tables and have done their work.
+    removed(read)
+    removed(led)
+    groups = settle(grouped(shared))
     plan = settle(visits(groups, settle(questions(shared, groups, percent))))
     # A group of one class that nobody asks has nothing to compare.
     open_ = settle(plan.groupBy("task").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("task"))
     plan = settle(join_sized(plan, open_, "task", "left_semi"))
     involved = settle(classes.select("cls", "row", "print").join(plan.select("cls").distinct(), "cls", "left_semi"))
-    whole = settle(bags(join_sized(rows.select("row", "text"), involved, "row")).dropDuplicates(["cls"]))
+    whole = bags(join_sized(rows.select("row", "text"), involved, "row"))
     small = F.broadcast(plan) if measured_bytes(plan) <= BROADCAST_BYTES else plan
     links = settle(find_links(whole.join(small, "cls"), percent))
     linked = settle(components(links).withColumnRenamed("node", "cls"))
