@@ -5,24 +5,27 @@ longest item and starts every item length, so each stretch of an item's length l
 inside one. A passage is a query against the index of items. Impacts are scaled by
 the item's score against itself, so one threshold (``RETRIEVE``) holds for all.
 
-Search per passage, vectorised over many passages: terms are ordered by their
-largest impact; those that cannot reach the threshold together are not essential
-(the WAND pivot). The essential terms' posting blocks give the candidate blocks; the
-block maxima of all terms of the passage bound a block's best item, and the items
-of blocks whose bound reaches the threshold are scored in full. Nothing that reaches
-the threshold is lost.
+Search per passage, vectorised over many passages: terms are numbered by their
+largest impact, so the distinct terms of a passage come in that order; those that
+cannot reach the threshold together are not essential (the WAND pivot). The posting
+blocks of the essential terms, by their block maxima, open the blocks that can still
+reach it with all that the other terms could add; the block maxima of the other terms
+bound the open blocks, and the items of those that remain are scored in full.
+Nothing that reaches the threshold is lost.
 
 A retrieved item counts as leaked if the passage holds at least ``OVERLAP`` of the
 five-word shingles of its question and of its answer. An item's answer is its last
 sentence, its question the rest; an item of one sentence is both.
 
-The index is built from ``items`` and sent to the workers in parts of at most
-``PART_ITEMS`` items; a larger benchmark is searched part by part, with the same
-result. Texts are row-local, one row per document and item returns.
+Postings, document frequencies and lengths are counted by Spark and written to the
+shared folder. The index is searched in parts of consecutive items: a part has at most
+``PART_ITEMS`` items and at most ``PART_BYTES`` bytes even if all were as long as the
+longest one (a single item may exceed that). The driver holds one part at a time; the
+documents are scanned once per part, with the same result for any parts.
 
-Null and empty texts and items match nothing; repeated rows of an id give one row
-per item; an empty benchmark gives no rows. Words are runs of letters, digits and
-underscores, lower-cased.
+Null and empty texts, items without text or id match nothing; repeated rows of an id
+give one row per item, as do all rows without an id; an empty benchmark gives no rows.
+Words are runs of letters, digits and underscores, lower-cased.
 """
 
 from __future__ import annotations
@@ -38,15 +41,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.session import ship_package
+from postlab.session import numbered, settle, ship_package
 
 RETRIEVE = 0.35
 OVERLAP = 0.8
 SHINGLE_WORDS = 5
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 PART_ITEMS = 20_000
+PART_BYTES = 1 << 25
 K1, B = 1.2, 0.75
 CHUNK_WORDS = 1 << 18
+CELLS = 1 << 22  # cells of passages by blocks, and postings, that are held at once
 WORDS = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
 
@@ -80,7 +85,7 @@ class Index:
                  frequency: dict[str, int]):
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
-        self.terms: dict[str, int] = {}
+        numbers: dict[str, int] = {}
         rows = []
         for number, (_, text) in enumerate(items):
             words = words_of(text)
@@ -91,22 +96,29 @@ class Index:
                 norm = K1 * (1 - B + B * len(words) / average)
                 weights[word] = idf * n * (K1 + 1) / (n + norm)
             own = sum(weights.values())
-            rows += [(self.terms.setdefault(w, len(self.terms)), number, x / own)
+            rows += [(numbers.setdefault(w, len(numbers)), number, x / own)
                      for w, x in weights.items()]
         term, item, impact = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, int),) * 3
+        most = np.zeros(len(numbers))
+        np.maximum.at(most, term, impact)
+        # Terms are renumbered in the order of their largest impact.
+        place = np.empty(len(numbers), np.int64)
+        place[np.argsort(most, kind="stable")] = np.arange(len(numbers))
+        self.terms = {w: int(place[n]) for w, n in numbers.items()}
+        self.term_most = np.sort(most, kind="stable")
+        term = place[term]
         order = np.lexsort((item, term))
         self.term, self.item = term[order].astype(np.int64), item[order].astype(np.int64)
         self.impact = impact[order].astype(np.float64)
-        self.blocks = -(-len(items) // BLOCK_ITEMS)
+        self.blocks = max(-(-len(items) // BLOCK_ITEMS), 1)
         cell = self.term * self.blocks + self.item // BLOCK_ITEMS
         self.cell_first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell = cell[self.cell_first]  # a term's postings within a block
+        self.cell_block = self.cell % self.blocks
         self.cell_last = np.append(self.cell_first[1:], len(cell))
         self.cell_most = (np.maximum.reduceat(self.impact, self.cell_first) if len(cell)
                           else np.zeros(0))
         self.term_first = np.searchsorted(self.cell, np.arange(len(self.terms) + 1) * self.blocks)
-        self.term_most = np.zeros(len(self.terms))
-        np.maximum.at(self.term_most, self.cell // max(self.blocks, 1), self.cell_most)
 
     SLACK = 1e-9  # bounds are sums in another order than scores
 
@@ -114,42 +126,54 @@ class Index:
                least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``passage, item, score`` of all pairs that reach ``least``.
 
-        ``passage, term`` are distinct and ordered by passage.
+        ``passage, term`` are distinct and sorted.
         """
-        most = self.term_most[term]
         first, size = runs(passage)
-        if not len(first):
+        # Passages in slices of bounded tables: blocks of each, cells of their terms.
+        cells = np.concatenate([[0], np.cumsum(self.term_first[term + 1] - self.term_first[term])])
+        cost = np.maximum(self.blocks, cells[first + size] - cells[first])
+        bins = np.cumsum(cost) // CELLS
+        found = [self._search(passage[first[a]:first[b - 1] + size[b - 1]],
+                              term[first[a]:first[b - 1] + size[b - 1]], least)
+                 for a, b in zip(*cuts(bins))]
+        if not found:
             return (np.zeros(0, np.int64),) * 3
-        promising = np.repeat(np.add.reduceat(most, first) >= least - self.SLACK, size)
-        passage, term, most = passage[promising], term[promising], most[promising]
-        order = np.lexsort((most, passage))
-        passage, term, most = passage[order], term[order], most[order]
+        return tuple(np.concatenate(column) for column in zip(*found))
+
+    def _search(self, passage: np.ndarray, term: np.ndarray, least: float) -> tuple:
+        most = self.term_most[term]
         first, size = runs(passage)
+        number = np.repeat(np.arange(len(first)), size)
         along = np.cumsum(most)
         along -= np.repeat(along[first] - most[first], size)
         essential = along >= least - self.SLACK
-        # Blocks that some essential term of the passage has.
-        who, cell = expand(np.flatnonzero(essential), self.term_first[term[essential]],
-                           self.term_first[term[essential] + 1])
-        pair = distinct(passage[who] * self.blocks + self.cell[cell] % max(self.blocks, 1))
-        # Every term of the passage in each of its candidate blocks.
-        owner, block = pair // max(self.blocks, 1), pair % max(self.blocks, 1)
-        which, at = expand(np.arange(len(pair)), np.searchsorted(passage, owner),
-                           np.searchsorted(passage, owner, "right"))
-        wanted = term[at] * self.blocks + block[which]
-        spot = np.searchsorted(self.cell, wanted)
-        there = self.cell[np.minimum(spot, len(self.cell) - 1)] == wanted
-        which, spot = which[there], spot[there]
-        bound = np.bincount(which, self.cell_most[spot], len(pair))
-        alive = bound[which] >= least - self.SLACK
-        which, spot = which[alive], spot[alive]
-        which, posting = expand(which, self.cell_first[spot], self.cell_last[spot])
-        key = owner[which] * max(len(self.ids), 1) + self.item[posting]
-        found, back = np.unique(key, return_inverse=True)
-        score = np.bincount(back, self.impact[posting], len(found))
-        good = score >= least
-        return (found[good] // max(len(self.ids), 1), found[good] % max(len(self.ids), 1),
-                score[good])
+        others = np.add.reduceat(np.where(essential, 0.0, most), first)
+        table = len(first) * self.blocks
+        # Blocks that the essential terms open, with all that the others could add.
+        who, cell = self._cells(np.flatnonzero(essential), term)
+        at = number[who] * self.blocks + self.cell_block[cell]
+        bound = np.bincount(at, self.cell_most[cell], table)
+        opened = (bound > 0) & (bound + np.repeat(others, self.blocks) >= least - self.SLACK)
+        # What the others do add in the open blocks.
+        who_2, cell_2 = self._cells(np.flatnonzero(~essential), term)
+        at_2 = number[who_2] * self.blocks + self.cell_block[cell_2]
+        bound += np.bincount(at_2, self.cell_most[cell_2], table)
+        opened &= bound >= least - self.SLACK
+        pair = np.cumsum(opened) - 1  # number of an open block among the open ones
+        at, cell = np.concatenate([at, at_2]), np.concatenate([cell, cell_2])
+        inside = opened[at]
+        which, posting = expand(pair[at[inside]], self.cell_first[cell[inside]],
+                                self.cell_last[cell[inside]])
+        slot = which * BLOCK_ITEMS + self.item[posting] % BLOCK_ITEMS
+        score = np.bincount(slot, self.impact[posting], int(opened.sum()) * BLOCK_ITEMS)
+        good = np.flatnonzero(score >= least)
+        place = np.flatnonzero(opened)[good // BLOCK_ITEMS]
+        return (passage[first[place // self.blocks]],
+                place % self.blocks * BLOCK_ITEMS + good % BLOCK_ITEMS, score[good])
+
+    def _cells(self, rows: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All posting blocks of the terms of some rows, with the row of each."""
+        return expand(rows, self.term_first[term[rows]], self.term_first[term[rows] + 1])
 
     def leaks(self, texts: list[list[str]], span: int,
               least: float) -> Iterator[tuple[int, int, float, float, float]]:
@@ -170,8 +194,8 @@ class Index:
         passage, term = np.concatenate(pairs, axis=1)
         packed = distinct(passage * len(self.terms) + term)
         best: dict[tuple[int, int], tuple] = {}
-        for passage, item, score in zip(*self.search(packed // len(self.terms),
-                                                     packed % len(self.terms), least)):
+        for passage, item, score in zip(*self.search(packed // max(len(self.terms), 1),
+                                                     packed % max(len(self.terms), 1), least)):
             text = int(np.searchsorted(base, passage, "right")) - 1
             start = (passage - base[text]) * span
             words = texts[text][start:start + 2 * span]
@@ -189,6 +213,12 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_keys)))
 
 
+def cuts(bins: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begin and end of each run of equal values."""
+    inner = (np.flatnonzero(np.diff(bins)) + 1).tolist()
+    return ([0, *inner], [*inner, len(bins)]) if len(bins) else ([], [])
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values; sorting integers beats the hashing that ``np.unique`` does."""
     values = np.sort(values)
@@ -202,30 +232,62 @@ def expand(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
         first - (np.cumsum(size) - size), size)
 
 
-def build(items: DataFrame, id: str = "item_id", text: str = "text") -> tuple[list[Index], int]:
-    """The index in parts, and the length of the longest item."""
-    # All items and parts meet on the driver; documents never do.
-    rows = [(r[0], r[1]) for r in items.select(id, text).dropna().distinct().orderBy(
-        id, text).toLocalIterator() if words_of(r[1])]
-    lengths = [len(words_of(t)) for _, t in rows]
-    frequency = Counter(w for _, t in rows for w in set(words_of(t)))
-    average = sum(lengths) / max(len(lengths), 1)
-    return [Index(rows[i:i + PART_ITEMS], len(rows), average, frequency)
-            for i in range(0, len(rows), PART_ITEMS)], max(lengths, default=0)
+def postings(items: DataFrame) -> DataFrame:
+    """``position, word, n, words``: how often an item has a word, and how many it has in all."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for position, text in zip(batch["position"], batch["text"]):
+                words = words_of(text)
+                rows += [(position, w, n, len(words)) for w, n in Counter(words).items()]
+            yield pd.DataFrame(rows, columns=["position", "word", "n", "words"])
+
+    return items.select("position", "text").mapInPandas(
+        count, "position long, word string, n long, words long")
+
+
+def build(items: DataFrame, id: str = "item_id", text: str = "text") -> tuple[Iterator[Index], int]:
+    """The index in parts, made one by one, and the length of the longest item."""
+    ship_package(items.sparkSession)
+    named = items.select(F.col(id).alias("id"), F.col(text).alias("text")).dropna().distinct()
+    table = settle(numbered(named, F.col("id"), F.col("text")))
+    counted = settle(postings(table))
+    frequency = settle(counted.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    lengths = counted.select("position", "words").distinct()
+    total, average, longest = lengths.agg(
+        F.count(F.lit(1)), F.avg("words"), F.max("words")).first()
+    rows, widest = table.agg(F.max("position"), F.max(F.octet_length("text"))).first()
+    step = max(min(PART_ITEMS, PART_BYTES // max(widest or 0, 1)), 1)
+
+    def parts() -> Iterator[Index]:
+        for start in range(0, (rows if rows is not None else -1) + 1, step):
+            inside = F.col("position").between(start, start + step - 1)
+            # A part is bounded by its step: texts, and the frequencies of its words.
+            texts = [(r["id"], r["text"]) for r in table.filter(inside).orderBy("position").collect()]
+            words = counted.filter(inside).select("word").distinct()
+            known = {r["word"]: r["df"] for r in frequency.join(words, "word", "left_semi").collect()}
+            texts = [(i, t) for i, t in texts if words_of(t)]
+            if texts:
+                yield Index(texts, total, average, known)
+
+    return parts(), longest or 0
 
 
 def find_leaks(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
                least: float = RETRIEVE) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap`` of leaked items."""
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
     indexes, longest = build(items)
     kind = df.schema[id].dataType.simpleString()
     # Ids travel as text: pandas would turn integers beside nulls into floats.
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
     schema = ("doc_id string, item_id long, score double, question_overlap double, "
               "answer_overlap double")
-    found = df.sparkSession.createDataFrame([], schema)
+    rows = df.select(F.col(id).cast("string").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    found = None
     for index in indexes:
-        sent = df.sparkSession.sparkContext.broadcast(index)
+        sent = spark.sparkContext.broadcast(index)
 
         def searched(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -239,12 +301,13 @@ def find_leaks(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
                         ids, some, held = [], [], 0
                 if some:
                     rows += [(ids[t], *x) for t, *x in sent.value.leaks(some, longest, least)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap",
-                                                  "answer_overlap"])
-
-        found = found.unionByName(df.select(
-            F.col(id).cast("string").alias("id"),
-            F.coalesce(text, F.lit("")).alias("text")).mapInPandas(
-                searched, schema))
+                yield pd.DataFrame(rows, columns=names)
+
+        # Written at once, so that no more than one part is alive.
+        part = settle(rows.mapInPandas(searched, schema))
+        sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     return found.groupBy(F.col("doc_id").cast(kind).alias("doc_id"), "item_id").agg(
-        *(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+        *(F.max(c).alias(c) for c in names[2:]))
