@@ -4,24 +4,23 @@ A document's set holds its distinct five-word shingles (64-bit hashes). Two sets
 if their intersection is at least 80 percent of their union; documents form the
 components of those links.
 
-Equal sets are one class. Every set keeps its tokens in one global order: rare ones
-first, the corpus' heavy tokens last. Two linked sets share a token among the first
-``n - ceil(0.8 n) + 1`` of the larger and the first ``n - ceil(8 n / 9) + 1`` of the
-smaller one. Only those leading tokens are shuffled, and only tokens that two classes
-lead with go on.
-
-Classes that share leading tokens with the same class form a group; too large a group is
-cut. The token-group matrix says which groups hold which leading
-token, so a class asks only groups that hold one of its own. There, the whole token
-union of the group bounds the overlap of a query with any member: a query with less
-than 80 percent of its tokens in the union leaves the group unopened. An opened group
-compares query and members in full, by the same prefix rule in the order of the
+Equal sets are one class. All sets keep their tokens in one order, that of the hashes. If
+two sets share ``both`` tokens, their first ``n - both + l`` tokens share at least ``l``,
+for any ``l``. So only leading tokens are shuffled, about a quarter of each set, and ``l``
+is a twentieth of it: the smaller set of a linked pair must meet that many of its leading
+tokens elsewhere. A text that shares but a passage with others falls out here; rounds of
+counting go on with the classes that are left.
+
+These form groups: classes that share their rarest leading tokens with the same class; too
+large a group is cut. The token-group matrix says which groups hold which leading
+token. A class asks the groups that hold enough of its own, counted without the most
+frequent ones, for sets of its size and larger ones. There, the whole token union of the
+group bounds the overlap with any member: a query with less than eight ninths of its tokens
+in the union (what a linked set of its size or larger has) leaves the group unopened. An
+opened group compares query and members in full, by the prefix rule in the order of the
 group's own frequencies, and skips sets that are linked already. Any grouping gives the
 same links; a good one opens few groups.
 
-Heavy tokens are those that three sets of one stretch of texts share, at most
-``HEAVY_MOST`` by frequency. They shape the order alone, never the result.
-
 Null, empty and white-space texts have the empty set, linked with nothing; their
 component is their own id. Repeated rows are one class. Null ids are linked like any
 others, and a component takes the smallest id that is not null. Very long texts are
@@ -47,11 +46,10 @@ from postlab.session import (
 SHINGLE_WORDS = 5
 PERCENT = 80
 PIECE = 1 << 20
-STRETCH = 1 << 21  # tokens that are counted together for the heavy ones
-HEAVY_SETS = 3
-HEAVY_MOST = 1 << 18
+STRETCH = 1 << 21  # tokens that are compared at once
 GROUP_TOKENS = 1 << 21
-SPREADS = 2  # rounds in which groups grow
+EXTRA = 5  # percent of a set by which its leading tokens exceed what one meeting takes
+ROUNDS = 2  # of counting shared tokens, and of growing groups
 GAP = re.compile(rb"[\x20\x09-\x0d]")
 # Odd multipliers of the words of a shingle, from a fixed seed.
 FACTORS = np.random.default_rng(13).integers(0, 1 << 63, SHINGLE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,59 +88,18 @@ def at_least(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def leading(n, percent: int = PERCENT):
-    """Leading tokens of a set that asks for sets of its size and smaller ones."""
-    return n - at_least(n, percent) + 1
-
-
-def leading_held(n, percent: int = PERCENT):
-    """Leading tokens of a set that is asked by sets of its size and larger ones."""
-    return n + (-2 * percent * n // (100 + percent)) + 1
+def at_least_larger(n, percent: int = PERCENT):
+    """Tokens that a set of ``n`` shares with a linked set of its size or larger."""
+    return -(-2 * percent * n // (100 + percent))
 
 
-def heavy_tokens(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The heavy tokens in ascending order and the rank of each, the heaviest last."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def meetings(n):
+    """Leading tokens that a set of ``n`` must meet in a linked set of its size or larger."""
+    return EXTRA * n // 100 + 1
 
-        def flush() -> pa.RecordBatch:
-            tokens, sets = np.unique(np.concatenate(held), return_counts=True)
-            often = sets >= HEAVY_SETS
-            return pa.RecordBatch.from_arrays(
-                [pa.array(tokens[often].view(np.int64)), pa.array(sets[often].astype(np.int64))], ["token", "sets"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(shingle_set(text.as_py()))
-                size += len(held[-1])
-                if size >= STRETCH:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    found = (texts.mapInArrow(counted, "token long, sets long").groupBy("token")
-             .agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(HEAVY_MOST))
-    rows = found.toPandas()  # at most HEAVY_MOST rows of 16 bytes
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
-    rank = np.arange(len(tokens), 0, -1)
-    order = np.argsort(tokens)
-    return tokens[order], rank[order]
-
-
-def weigh(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rank of each token, 0 if it is not heavy."""
-    known, rank = heavy
-    if not len(known):
-        return np.zeros(len(tokens), np.int64)
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    return np.where(known[at] == tokens, rank[at], 0)
-
-
-def read_sets(rows: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+def read_sets(rows: DataFrame, percent: int) -> DataFrame:
     """``id, row, n, print, lead`` of rows ``id, row, text``: size, digest and leading tokens."""
-    sent = rows.sparkSession.sparkContext.broadcast(heavy)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -153,13 +110,7 @@ def read_sets(rows: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: in
                 n = len(tokens)
                 sizes.append(n)
                 prints.append(xxhash.xxh3_128_digest(tokens.tobytes()) if n else None)
-                rank = weigh(tokens, sent.value)
-                first = tokens[rank == 0][:leading(n, percent) if n else 0]
-                if n and len(first) < leading(n, percent):
-                    late = np.flatnonzero(rank)
-                    late = late[np.argsort(rank[late], kind="stable")]
-                    first = np.concatenate([first, tokens[late][:leading(n, percent) - len(first)]])
-                leads.append(first)
+                leads.append(tokens[:n - at_least(n, percent) + meetings(n) if n else 0])
             ends = np.cumsum([0, *map(len, leads)]).astype(np.int32)
             flat = np.concatenate(leads) if leads else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -173,8 +124,20 @@ def read_sets(rows: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: in
     return rows.mapInArrow(read, schema)
 
 
-def shared_tokens(classes: DataFrame) -> DataFrame:
-    """``token, cls, n, at``: leading tokens that more than one class has, with their place."""
+def share(n: Column, percent: int, whole: int) -> Column:
+    """``ceil(n * percent / whole)`` in integers."""
+    return F.floor((n * percent + (whole - 1)) / whole)
+
+
+def meetings_column(n: Column) -> Column:
+    return F.floor(n * EXTRA / 100) + 1
+
+
+def shared_tokens(classes: DataFrame, percent: int) -> DataFrame:
+    """``token, cls, n, asks``: leading tokens that more than one class has.
+
+    ``asks`` marks the leading tokens of the class as the smaller set of a pair.
+    """
     # Size and place travel as one number, as this is the widest shuffle.
     each = classes.select("cls", "n", F.posexplode("lead").alias("at", "token")).select(
         "token", "cls", (F.shiftleft("n", 32) + F.col("at")).alias("packed"))
@@ -182,8 +145,32 @@ def shared_tokens(classes: DataFrame) -> DataFrame:
     both = each.withColumns({
         "_before": F.lag("cls").over(beside), "_after": F.lead("cls").over(beside)}).filter(
             "_before IS NOT NULL OR _after IS NOT NULL")
-    return both.select("token", "cls", F.shiftright("packed", 32).alias("n"),
-                       F.col("packed").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
+    n, at = F.shiftright("packed", 32), F.col("packed").bitwiseAND((1 << 32) - 1)
+    return both.select("token", "cls", n.alias("n"), (
+        at < n - share(n, 2 * percent, 100 + percent) + meetings_column(n)).alias("asks"))
+
+
+def recounted(shared: DataFrame, percent: int) -> DataFrame:
+    """``token, cls, n, asks, df`` of the classes that meet enough tokens of others.
+
+    A class asks on if it meets ``meetings`` tokens as the smaller set of a pair, and answers on if
+    it meets as many as the smallest set it can be linked to must.
+    """
+    n = F.col("n")
+    for _ in range(ROUNDS):
+        enough = shared.groupBy("cls").agg(
+            F.first("n").alias("n"), F.count(F.lit(1)).alias("met"),
+            F.count(F.when(F.col("asks"), 1)).alias("asked")).filter(
+                F.col("met") >= meetings_column(share(n, percent, 100))).select(
+                    "cls", (F.col("asked") >= meetings_column(n)).alias("able"))
+        left = settle(shared.join(enough, "cls").select(
+            "token", "cls", "n", (F.col("asks") & F.col("able")).alias("asks")))
+        frequency = left.groupBy("token").agg(
+            F.count(F.lit(1)).alias("df"), F.max("asks").alias("asked")).filter("df > 1 AND asked")
+        earlier, shared = shared, settle(left.join(frequency.select("token", "df"), "token"))
+        removed(left)
+        removed(earlier)
+    return shared
 
 
 def cut(placed: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
@@ -195,47 +182,46 @@ def cut(placed: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
 
 
 def grouped(shared: DataFrame) -> DataFrame:
-    """``cls, n, group``: classes that share leading tokens with one another.
+    """``cls, n, group``: classes that share rare leading tokens with one another.
 
-    A class takes the smallest label that it or a class beside it has, twice over. Too large a
-    group is cut by the rarest shared token, which near copies have in common, and what is
-    then still too large by class.
+    A class takes the smallest label that it or a class beside it has, over and again. Only the
+    rarer half of a class' tokens spreads a label, so a passage does not. Too large a group is
+    cut by the rarest token, which near copies have in common, and what is then still too large
+    by class.
     """
-    labelled = shared.select("token", "cls", "n", "at", F.col("cls").alias("label"))
-    for _ in range(SPREADS):
-        by_token = labelled.groupBy("token").agg(F.min("label").alias("label"))
-        by_class = labelled.drop("label").join(by_token, "token").groupBy("cls").agg(
-            F.min("label").alias("label"))
-        labelled = shared.join(by_class, "cls")
-    placed = settle(labelled.groupBy("cls").agg(
-        F.min(F.struct("at", "token")).alias("first"), F.first("n").alias("n"),
-        F.first("label").alias("label")).select("cls", "n", "label", F.col("first.token").alias("token")))
+    by_frequency = Window.partitionBy("cls").orderBy("df", "token")
+    rare = settle(shared.withColumn("rank", F.percent_rank().over(by_frequency)).filter(
+        "rank <= 0.5").select("token", "cls"))
+    labels = rare.select("cls", F.col("cls").alias("label")).distinct()
+    for _ in range(ROUNDS):
+        by_token = rare.join(labels, "cls").groupBy("token").agg(F.min("label").alias("label"))
+        labels = settle(rare.join(by_token, "token").groupBy("cls").agg(F.min("label").alias("label")))
+    placed = settle(shared.groupBy("cls").agg(
+        F.first("n").alias("n"), F.min(F.struct("df", "token")).alias("first")).join(labels, "cls").select(
+            "cls", "n", "label", F.col("first.token").alias("token")))
     parts = cut(cut(placed, ["label"], "token", "part"), ["label", "part"], "cls", "slice")
     # Two groups of one hash would be one group, with the same links.
     return parts.select("cls", "n", F.xxhash64("label", "part", "slice").alias("group"))
 
 
 def questions(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``cls, n, group``: other groups that may hold a linked set.
+    """``cls, n, group``: other groups that may hold a linked set of the same size or larger.
 
-    A linked set of size ``s`` in the group shares at least ``both`` tokens, so the first shared one
-    lies among the first ``n - both + 1`` of the class; ``both`` is least for the group's smallest
-    holder of that token.
+    Half of the tokens that must be met may be any, so the most frequent ones are not looked up;
+    the other half is counted per group.
     """
-    own = shared.join(groups.select("cls", "group"), "cls")
     n = F.col("n")
-    held = own.filter(F.col("at") < leading_held_column(n, percent))
-    matrix = held.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    smallest = F.greatest(F.col("least"), F.ceil(percent * n / 100))
-    both = F.ceil(percent * (n + smallest) / (100 + percent))
-    asked = own.withColumnRenamed("group", "own").join(matrix, "token").filter(
-        (F.col("group") != F.col("own")) & (F.col("least") <= n) & (100 * F.col("most") >= percent * n)
-        & (F.col("at") <= n - both))
-    return asked.select("cls", "n", "group").distinct()
-
-
-def leading_held_column(n: Column, percent: int) -> Column:
-    return n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    own = shared.join(groups.select("cls", "group"), "cls")
+    matrix = own.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    spare = F.floor((meetings_column(n) - 1) / 2)
+    by_frequency = Window.partitionBy("cls").orderBy(F.desc("df"), "token")
+    asking = own.filter("asks").withColumn("k", F.row_number().over(by_frequency)).filter(
+        F.col("k") > spare).select("token", "cls", "n", F.col("group").alias("own"))
+    return asking.join(matrix, "token").filter(
+        (F.col("group") != F.col("own")) & (F.col("most") >= n)
+        & (percent * F.col("least") <= 100 * n)).groupBy("cls", "n", "group").agg(
+            F.count(F.lit(1)).alias("met")).filter(
+                F.col("met") >= meetings_column(n) - spare).select("cls", "n", "group")
 
 
 def bags(rows: DataFrame) -> DataFrame:
@@ -289,7 +275,7 @@ def opened(members: list[np.ndarray], queries: list[np.ndarray], percent: int) -
     flat = np.concatenate(queries)
     at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
     inside = np.add.reduceat((union[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-    return inside >= at_least(sizes, percent)
+    return inside >= at_least_larger(sizes, percent)
 
 
 def group_links(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -302,11 +288,11 @@ def group_links(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
     order = np.lexsort((sets.flat, frequency[sets.flat], owner))
     ranked, place = sets.flat[order], np.arange(len(owner)) - sets.first[owner]
     shared = frequency[ranked] > 1
-    held = shared & (place < leading_held(sets.n, percent)[owner])
+    held = shared & (place <= (sets.n - at_least_larger(sets.n, percent))[owner])
     by_token = np.argsort(ranked[held], kind="stable")
     posted, poster = ranked[held][by_token], owner[held][by_token]
     post_first = np.searchsorted(posted, np.arange(len(sets.known) + 1))
-    asks = shared & (place < leading(sets.n, percent)[owner])
+    asks = shared & (place <= (sets.n - at_least(sets.n, percent))[owner])
     ask_token, ask_first = ranked[asks], np.searchsorted(owner[asks], np.arange(len(tokens) + 1))
 
     label = np.arange(len(tokens))
@@ -408,7 +394,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     ship_package(df.sparkSession)
     rows = df.select(F.col(id).alias("id"), F.xxhash64(F.col(id), F.col(text)).alias("row"),
                      F.col(text).alias("text"))
-    read = settle(read_sets(rows, heavy_tokens(rows.select("text")), percent))
+    read = settle(read_sets(rows, percent))
     sets = settle(read.select("id", "n", "print"))
     led = settle(
         read.filter("n > 0").groupBy("print").agg(
@@ -416,10 +402,11 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
             F.first("lead").alias("lead"))
         .withColumn("cls", F.monotonically_increasing_id()))
     classes = settle(led.drop("lead", "n"))
-    shared = settle(shared_tokens(led))
+    shared = settle(shared_tokens(led, percent))
     # Leading tokens are the bulk of both tables and have done their work.
     removed(read)
     removed(led)
+    shared = recounted(shared, percent)
     groups = settle(grouped(shared))
     plan = settle(visits(groups, settle(questions(shared, groups, percent))))
     # A group of one class that nobody asks has nothing to compare.

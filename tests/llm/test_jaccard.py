@@ -81,19 +81,23 @@ def test_group_links_equal_all_pairs():
                 assert label[a] == label[b]
 
 
-def test_leading_tokens_are_enough():
-    """Two sets in one order, as far apart as the bound allows, share a leading token."""
-    for n in range(1, 200):
+def test_leading_tokens_meet_often_enough():
+    """Two sets in one order, as far apart as the bound allows, meet as often as the rule says."""
+    for n in range(1, 300):
+        lead = n - jaccard.at_least(n) + jaccard.meetings(n)
         for m in range(jaccard.at_least(n), n + 1):
             both = -(-80 * (n + m) // 180)
-            if both <= m:
-                assert n - both < jaccard.leading(n) and m - both < jaccard.leading_held(m)
+            if both <= m:  # the shared tokens come last in both sets
+                first = m - jaccard.at_least_larger(m) + jaccard.meetings(m)
+                meet = min(first - (m - both), lead - (n - both))
+                assert meet >= jaccard.meetings(m) >= jaccard.meetings(jaccard.at_least(n))
 
 
 def test_union_bounds_the_overlap():
     members = [np.arange(0, 10, dtype=np.uint64), np.arange(20, 30, dtype=np.uint64)]
     queries = [np.arange(2, 12, dtype=np.uint64), np.arange(5, 15, dtype=np.uint64), np.arange(40, 45, dtype=np.uint64)]
-    assert jaccard.opened(members, queries, 80).tolist() == [True, False, False]
+    assert jaccard.opened(members, queries, 80).tolist() == [False, False, False]
+    assert jaccard.opened(members, [np.arange(1, 10, dtype=np.uint64), *queries], 80).tolist() == [True] + [False] * 3
 
 
 def test_long_text_is_hashed_in_pieces(monkeypatch):
