@@ -18,8 +18,9 @@ frequent ones, for sets of its size and larger ones. There, the whole token unio
 group bounds the overlap with any member: a query with less than eight ninths of its tokens
 in the union (what a linked set of its size or larger has) leaves the group unopened. An
 opened group compares query and members in full, by the prefix rule in the order of the
-group's own frequencies, and skips sets that are linked already. Any grouping gives the
-same links; a good one opens few groups.
+group's own frequencies, and skips sets that are linked already. Groups are searched on their
+own first; then one class of each component asks for all, and the others only for what is
+not linked by then. Any grouping gives the same links; a good one opens few groups.
 
 Null, empty and white-space texts have the empty set, linked with nothing; their
 component is their own id. Repeated rows are one class. Null ids are linked like any
@@ -47,9 +48,10 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 PIECE = 1 << 20
 STRETCH = 1 << 21  # tokens that are compared at once
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 22
 EXTRA = 5  # percent of a set by which its leading tokens exceed what one meeting takes
-ROUNDS = 2  # of counting shared tokens, and of growing groups
+ROUNDS = 2  # of counting shared tokens
+SPREADS = 3  # rounds in which groups grow
 GAP = re.compile(rb"[\x20\x09-\x0d]")
 # Odd multipliers of the words of a shingle, from a fixed seed.
 FACTORS = np.random.default_rng(13).integers(0, 1 << 63, SHINGLE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,16 +186,16 @@ def cut(placed: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
 def grouped(shared: DataFrame) -> DataFrame:
     """``cls, n, group``: classes that share rare leading tokens with one another.
 
-    A class takes the smallest label that it or a class beside it has, over and again. Only the
-    rarer half of a class' tokens spreads a label, so a passage does not. Too large a group is
-    cut by the rarest token, which near copies have in common, and what is then still too large
-    by class.
+    A class takes the smallest label that it or a class beside it has, over and again. The most
+    frequent fifth of a class' tokens spreads no label, so a passage does not. Too large a group
+    is cut by the rarest token, which near copies have in common, and what is then still too
+    large by class.
     """
     by_frequency = Window.partitionBy("cls").orderBy("df", "token")
     rare = settle(shared.withColumn("rank", F.percent_rank().over(by_frequency)).filter(
-        "rank <= 0.5").select("token", "cls"))
+        "rank <= 0.8").select("token", "cls"))
     labels = rare.select("cls", F.col("cls").alias("label")).distinct()
-    for _ in range(ROUNDS):
+    for _ in range(SPREADS):
         by_token = rare.join(labels, "cls").groupBy("token").agg(F.min("label").alias("label"))
         labels = settle(rare.join(by_token, "token").groupBy("cls").agg(F.min("label").alias("label")))
     placed = settle(shared.groupBy("cls").agg(
@@ -204,23 +206,27 @@ def grouped(shared: DataFrame) -> DataFrame:
     return parts.select("cls", "n", F.xxhash64("label", "part", "slice").alias("group"))
 
 
-def questions(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``cls, n, group``: other groups that may hold a linked set of the same size or larger.
+def questions(placed: DataFrame, percent: int) -> DataFrame:
+    """``cls, n, group``: other groups that may hold a new link to a set of the same size or larger.
 
-    Half of the tokens that must be met may be any, so the most frequent ones are not looked up;
-    the other half is counted per group.
+    ``placed`` holds shared tokens with their class' group, label and whether it may ask. Half of
+    the tokens that must be met may be any, so the most frequent ones are not looked up; the
+    other half is counted per group, but for tokens whose holders there all have the label of
+    the class, that is, are linked with it already.
     """
     n = F.col("n")
-    own = shared.join(groups.select("cls", "group"), "cls")
-    matrix = own.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = placed.groupBy("token", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min("label").alias("low"), F.max("label").alias("high"))
     spare = F.floor((meetings_column(n) - 1) / 2)
     by_frequency = Window.partitionBy("cls").orderBy(F.desc("df"), "token")
-    asking = own.filter("asks").withColumn("k", F.row_number().over(by_frequency)).filter(
-        F.col("k") > spare).select("token", "cls", "n", F.col("group").alias("own"))
+    asking = placed.filter("asks AND may_ask").withColumn("k", F.row_number().over(by_frequency)).filter(
+        F.col("k") > spare).select("token", "cls", "n", "label", F.col("group").alias("own"))
     return asking.join(matrix, "token").filter(
         (F.col("group") != F.col("own")) & (F.col("most") >= n)
-        & (percent * F.col("least") <= 100 * n)).groupBy("cls", "n", "group").agg(
-            F.count(F.lit(1)).alias("met")).filter(
+        & (percent * F.col("least") <= 100 * n)
+        & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))).groupBy(
+            "cls", "n", "group").agg(F.count(F.lit(1)).alias("met")).filter(
                 F.col("met") >= meetings_column(n) - spare).select("cls", "n", "group")
 
 
@@ -278,10 +284,11 @@ def opened(members: list[np.ndarray], queries: list[np.ndarray], percent: int) -
     return inside >= at_least_larger(sizes, percent)
 
 
-def group_links(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that span the components of some sets, by the prefix rule and exact overlaps."""
+def group_labels(tokens: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """The component of each of some sets, named after one of them, by exact overlaps."""
+    label = np.arange(len(tokens))
     if len(tokens) < 2:
-        return []
+        return label
     sets = Sets(tokens)
     owner = np.repeat(np.arange(len(tokens)), sets.n)
     frequency = np.bincount(sets.flat, minlength=len(sets.known))
@@ -295,9 +302,8 @@ def group_links(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
     asks = shared & (place <= (sets.n - at_least(sets.n, percent))[owner])
     ask_token, ask_first = ranked[asks], np.searchsorted(owner[asks], np.arange(len(tokens) + 1))
 
-    label = np.arange(len(tokens))
     mark = np.zeros(len(sets.known), bool)
-    links, stale, one = [], True, np.zeros(0, np.int64)
+    stale, one = True, np.zeros(0, np.int64)
     some = np.flatnonzero(np.diff(post_first))
     for a in np.argsort(-sets.n, kind="stable").tolist():
         mine = ask_token[ask_first[a]:ask_first[a + 1]]
@@ -331,13 +337,12 @@ def group_links(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
         for b in np.concatenate(good).tolist():
             if label[b] != label[a]:
                 label[label == label[b]] = label[a]
-                links.append((a, b))
                 stale = True
-    return links
+    return label
 
 
 def find_links(visits: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links within each task of ``task, cls, member, tokens``."""
+    """``a, b``: links within each task of ``task, cls, member, tokens``, as stars."""
     def of_task(cls: list[int], member: list[bool], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
         inside = [i for i, m in enumerate(member) if m]
         asking = [i for i, m in enumerate(member) if not m]
@@ -345,7 +350,8 @@ def find_links(visits: DataFrame, percent: int) -> DataFrame:
             yes = opened([tokens[i] for i in inside], [tokens[i] for i in asking], percent)
             asking = [i for i, y in zip(asking, yes) if y]
         who = inside + asking
-        return [(cls[who[a]], cls[who[b]]) for a, b in group_links([tokens[i] for i in who], percent)]
+        label = group_labels([tokens[i] for i in who], percent).tolist()
+        return [(cls[who[a]], cls[who[b]]) for a, b in enumerate(label) if a != b]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, seen, found = None, ([], [], []), set(), []
@@ -372,20 +378,58 @@ def find_links(visits: DataFrame, percent: int) -> DataFrame:
 
 
 def visits(groups: DataFrame, asked: DataFrame) -> DataFrame:
-    """``task, cls, member``: every group in as many tasks as its queries need, members in each."""
-    wide = settle(asked.groupBy("group").agg(F.sum("n").alias("queries")).filter(
-        F.col("queries") > GROUP_TOKENS))
-    cut = F.ceil(F.coalesce("queries", F.lit(1)) / GROUP_TOKENS).cast("long")
+    """``task, cls, member``: every asked group in as many tasks as its queries need, members in each."""
+    sizes = settle(asked.groupBy("group").agg(F.sum("n").alias("queries")))
+    cut = F.ceil(F.col("queries") / GROUP_TOKENS).cast("long")
 
     def task(part: Column) -> Column:
         return F.xxhash64("group", part).alias("task")
 
-    inside = join_sized(groups, wide, "group", "left").select(
+    inside = join_sized(groups, sizes, "group").select(
         "cls", "group", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("part")).select(
             task(F.col("part")), "cls", F.lit(True).alias("member"))
-    asking = join_sized(asked, wide, "group", "left").select(
+    asking = join_sized(asked, sizes, "group").select(
         task(F.pmod(F.xxhash64("cls"), cut)), "cls", F.lit(False).alias("member"))
-    return inside.unionByName(asking)
+    return settle(inside.unionByName(asking))
+
+
+def searched(whole: DataFrame, plan: DataFrame, percent: int) -> DataFrame:
+    """The links of ``plan``'s tasks; ``whole`` has the tokens of its classes."""
+    small = F.broadcast(plan) if measured_bytes(plan) <= BROADCAST_BYTES else plan
+    return settle(find_links(whole.join(small, "cls"), percent))
+
+
+def labelled(groups: DataFrame, links: DataFrame, met: DataFrame) -> DataFrame:
+    """``cls, group, label, leads``: component of each class; the class that meets most leads it."""
+    named = groups.join(links, "cls", "left").join(met, "cls").select(
+        "cls", "group", "met", F.coalesce("label", "cls").alias("label"))
+    best = named.groupBy("label").agg(F.max(F.struct("met", "cls"))["cls"].alias("first"))
+    return named.join(best, "label").select("cls", "group", "label", (F.col("cls") == F.col("first")).alias("leads"))
+
+
+def links_of(shared: DataFrame, whole: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that span all components of the classes in groups.
+
+    Each group is searched first. Of every component found there one class asks the other
+    groups; then the other classes ask, but no group that is linked with them by now.
+    """
+    many = settle(groups.groupBy("group").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("group"))
+    own = join_sized(groups, many, "group", "left_semi").select(
+        F.col("group").alias("task"), "cls", F.lit(True).alias("member"))
+    links = inside = searched(whole, settle(own), percent)  # stars: a class and its label
+    met = settle(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("met")))
+    first = settle(labelled(groups, inside.select(F.col("a").alias("cls"), F.col("b").alias("label")), met))
+    now = first
+    for leaders in (True, False):
+        placed = settle(shared.join(now.drop("leads"), "cls").join(first.select(
+            "cls", (F.col("leads") == leaders).alias("may_ask")), "cls"))
+        asked = settle(questions(placed, percent))
+        if not asked.isEmpty():
+            links = links.unionByName(searched(whole, visits(groups, asked), percent))
+            if leaders:
+                linked = components(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
+                now = settle(labelled(groups, linked, met))
+    return links
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
@@ -408,14 +452,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     removed(led)
     shared = recounted(shared, percent)
     groups = settle(grouped(shared))
-    plan = settle(visits(groups, settle(questions(shared, groups, percent))))
-    # A group of one class that nobody asks has nothing to compare.
-    open_ = settle(plan.groupBy("task").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("task"))
-    plan = settle(join_sized(plan, open_, "task", "left_semi"))
-    involved = settle(classes.select("cls", "row", "print").join(plan.select("cls").distinct(), "cls", "left_semi"))
-    whole = bags(join_sized(rows.select("row", "text"), involved, "row"))
-    small = F.broadcast(plan) if measured_bytes(plan) <= BROADCAST_BYTES else plan
-    links = settle(find_links(whole.join(small, "cls"), percent))
+    involved = settle(classes.select("cls", "row", "print").join(groups.select("cls"), "cls", "left_semi"))
+    whole = settle(bags(join_sized(rows.select("row", "text"), involved, "row")))
+    links = links_of(shared, whole, groups, percent)
     linked = settle(components(links).withColumnRenamed("node", "cls"))
     smallest = join_sized(classes.select("cls", "least"), linked, "cls").groupBy("root").agg(
         F.min("least").alias("component_id"))
