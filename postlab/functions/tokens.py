@@ -87,7 +87,7 @@ def each_token(tokens: str) -> Column:
     Exploding a bare column makes the optimizer add a "not empty" filter, push it
     below the projection and compute the tokens twice; an expression is left alone.
     """
-    return F.explode(F.coalesce(tokens, F.array().cast("array<string>")))
+    return F.explode(F.coalesce(tokens, F.array()))
 
 
 def intersect_tokens(tokens: Column, terms: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,18 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postlab.functions.binding import let
+from postlab.functions.dictionary import TABLE_BYTES, Dictionary, fits
 from postlab.functions.matching import (
-    pieces, runs_of_pieces, term_hits, without_overlaps)
-from postlab.functions.tokens import word_count
+    has_more, hits_of, is_whole, longest_first, pieces, places, prefixes, without_overlaps)
+from postlab.functions.tokens import each_token, word_count
 from postlab.session import cached, join_sized, settle
 
 # The level and the category codes of the filtered lexicon.
 LEVEL = "conservative"
 CATEGORIES = ("pa", "dmc", "asm", "asf", "pr", "om", "qas", "cds")
 
-# Up to this many terms a lexicon travels inside the plan as a hash set and the
-# match needs no shuffle at all; larger ones are joined.
-INLINE_TERMS = 2000
+ROW = "_row"
+WORD_START = r"^[\p{L}\p{N}_]"
 
 
 def select_lexicon(lexicon: DataFrame, level: str = LEVEL,
@@ -45,36 +48,89 @@ def term_list(lexicon: DataFrame) -> list[str]:
     return sorted(r.term for r in lexicon_terms(lexicon).collect())
 
 
-def match_lexicon(posts: DataFrame, lexicon: DataFrame, key: str = "id",
-                  text: str = "text") -> DataFrame:
-    """``(key, start, length, term)``: every place where a term occurs in a post.
+def _longest(known: DataFrame) -> int:
+    """Length in pieces of the longest term."""
+    return known.agg(F.max("length")).first()[0] or 1
+
+
+def match_lexicon(posts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text",
+                  limit: int = TABLE_BYTES) -> DataFrame:
+    """``(key, start, length, term)``: every place where a term occurs in a post, per row.
 
-    The route for lexicons of any size: runs of pieces, of the lengths that occur
-    in the lexicon, are joined with the terms.
+    ``start`` and ``length`` count pieces. A lexicon that measures within ``limit`` is looked up
+    row by row without a shuffle; a larger one is joined, with the same result.
     """
-    terms = settle(lexicon_terms(lexicon))
-    lengths = sorted(
-        r[0] for r in terms.select(F.size(pieces(F.col("term")))).distinct().collect())
-    runs = (
-        posts.select(key, F.explode(runs_of_pieces(F.col(text), lengths)).alias("run"))
-        .select(key, "run.start", "run.length", "run.term"))
-    return join_sized(runs, terms, "term").select(key, "start", "length", "term")
+    known = settle(prefixes(lexicon_terms(lexicon)))
+    longest = _longest(known)
+    if fits(known, limit):
+        found = Dictionary(known, "run", "kind").add(
+            posts.select(key, text), "_places", lambda look: places(F.col(text), look, longest))
+        return found.select(key, each_token("_places").alias("p")).select(
+            key, "p.start", "p.length", "p.term")
+    rows = _numbered_rows(posts.select(key, text))
+    return _joined_places(rows, known, longest, text).join(
+        rows.select(ROW, key), ROW).select(key, "start", "length", "term")
+
+
+def _numbered_rows(posts: DataFrame) -> DataFrame:
+    """Posts with a key of their own per row, whatever their ids; written once, so it stays."""
+    return settle(posts.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _joined_places(rows: DataFrame, known: DataFrame, longest: int, text: str) -> DataFrame:
+    """``row, start, length, term``: occurrences by joins with the prefixes, one length after another.
+
+    A run goes on to the next length only if its prefix is known, so the joins shrink with the
+    hits. Runs travel as two 64-bit hashes per length.
+    """
+    def hashes(run: Column) -> Column:
+        return F.struct(F.xxhash64(run).alias("h"), F.xxhash64(F.lit(1), run).alias("g"))
+
+    def chains(parts: Column) -> Column:
+        def of_word(word: Column, i: Column) -> Column:
+            chain = F.transform(F.sequence(F.lit(1), F.lit(longest), F.lit(2)), lambda n: hashes(
+                F.array_join(F.slice(parts, i + 1, n), "")))
+            return F.when(word.rlike(WORD_START), F.struct(i.cast("int").alias("start"), chain.alias("chain")))
+
+        return F.filter(F.transform(parts, of_word), lambda x: x.isNotNull())
+
+    alive = rows.select(ROW, F.explode(let(pieces(F.col(text)), chains)).alias("x")).select(ROW, "x.*")
+    found = []
+    for place, length in enumerate(range(1, longest + 1, 2)):
+        level = known.filter(F.col("length") == length).select(
+            "kind", hashes(F.col("run")).alias("_at"), F.when(is_whole(F.col("kind")), F.col("run")).alias("term"))
+        runs = alive.withColumn("_at", F.get("chain", F.lit(place)))
+        met = settle(join_sized(
+            runs.select(ROW, "start", "chain", "_at.*"), level.select("kind", "term", "_at.*"), ["h", "g"]))
+        found.append(met.filter("term IS NOT NULL").select(ROW, "start", F.lit(length).alias("length"), "term"))
+        alive = met.filter(has_more(F.col("kind"))).select(ROW, "start", "chain")
+        if alive.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def lexicon_hits(posts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text",
-                 limit: int = INLINE_TERMS) -> DataFrame:
-    """Posts with ``hits``: the non-overlapping hits in text order, [] without any."""
-    rows = lexicon_terms(lexicon).limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return posts.withColumn("hits", term_hits(F.col(text), sorted(r.term for r in rows)))
-    # Per start only the longest run may win, hence the descending length.
-    places = F.array_sort(F.collect_list(
-        F.struct("start", (-F.col("length")).alias("back"), "length", "term")))
-    found = match_lexicon(posts, lexicon, key, text).groupBy(key).agg(places.alias("_places"))
-    resolved = found.select(key, without_overlaps(F.col("_places")).alias("_hits"))
-    return (posts.join(resolved, key, "left")
+                 limit: int = TABLE_BYTES) -> DataFrame:
+    """Posts with ``hits``: the non-overlapping hits in text order, [] without any.
+
+    Every row keeps its own hits, with null and repeated ids as well; ``key`` is not used to
+    find them. A lexicon that measures within ``limit`` bytes is looked up row by row,
+    without a shuffle; a larger one is joined, with the same result. There a text is
+    shuffled only if the caller keeps it.
+    """
+    known = settle(prefixes(lexicon_terms(lexicon)))
+    longest = _longest(known)
+    if fits(known, limit):
+        return Dictionary(known, "run", "kind").add(
+            posts, "hits", lambda look: hits_of(F.col(text), look, longest))
+    rows = _numbered_rows(posts)
+    # Per start only the longest run may win, hence the order of lengths.
+    ordered = F.array_sort(F.collect_list(F.struct("start", "length", "term")))
+    resolved = _joined_places(rows, known, longest, text).groupBy(ROW).agg(ordered.alias("_places")).select(
+        ROW, without_overlaps(longest_first(F.col("_places"))).alias("_hits"))
+    return (rows.join(resolved, ROW, "left")
             .withColumn("hits", F.coalesce("_hits", F.array().cast("array<string>")))
-            .drop("_hits"))
+            .drop("_hits", ROW))
 
 
 def lexicon_flag(hits: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlab.functions.tokens import drop_noise_tokens, tokenize
-from postlab.session import join_sized
+from postlab.functions.dictionary import TABLE_BYTES, Dictionary, fits
+from postlab.functions.tokens import drop_noise_tokens, each_token, tokenize
+from postlab.session import join_sized, settle
 
 # Label names and their codes.
 TASK1_CODES = {"non-sexist": 0, "sexist": 1}
@@ -140,41 +141,47 @@ def union_terms(*lexicons: DataFrame, column: str = "term") -> DataFrame:
 
 
 def replace_tokens_join(df: DataFrame, dictionary: DataFrame, key: str = "id",
-                        tokens: str = "tokens") -> DataFrame:
+                        tokens: str = "tokens", limit: int = TABLE_BYTES) -> DataFrame:
     """Token replacement from a dictionary frame ``(term, replacement)`` of any size.
 
-    Of several entries for a term the smallest replacement counts. Tokens travel with
-    their position and come back in order; posts without tokens keep an empty list.
-    A token list is the unit that is re-collected, so rows that share an id keep
-    their own.
+    Of several entries for a term the smallest replacement counts; tokens without one stay, and
+    a NULL list stays NULL. Every row keeps its own tokens, with null and repeated ids as
+    well; ``key`` is not used to find them. A dictionary that measures within ``limit``
+    bytes is looked up row by row, without a shuffle. For a larger one the tokens travel with
+    their position under a row number and come back in order, with the same result.
     """
-    empty = F.array().cast("array<string>")
-    single = dictionary.groupBy("term").agg(F.min("replacement").alias("replacement"))
-    df = df.withColumn("_list", F.sha2(F.to_json(F.struct(tokens)), 256))
-    exploded = df.dropDuplicates([key, "_list"]).select(
-        key, "_list", F.posexplode(F.coalesce(tokens, empty)).alias("_pos", "term"))
-    replaced = join_sized(exploded, single, "term", "left")
-    rebuilt = replaced.groupBy(key, "_list").agg(
-        F.transform(
-            F.array_sort(F.collect_list(
-                F.struct("_pos", F.coalesce("replacement", "term").alias("t")))),
-            lambda s: s["t"]).alias("_new"))
-    return (df.join(rebuilt, [key, "_list"], "left")
-              .withColumn(tokens, F.when(F.col(tokens).isNotNull(), F.coalesce("_new", empty)))
-              .drop("_new", "_list"))
+    single = settle(dictionary.filter(F.col("term").isNotNull()).groupBy("term").agg(
+        F.min("replacement").alias("replacement")).filter("replacement IS NOT NULL"))
+    if fits(single, limit):
+        return Dictionary(single, "term", "replacement").add(
+            df, tokens, lambda look: F.transform(tokens, lambda t: F.coalesce(look(t), t)))
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    each = rows.select("_row", F.posexplode(tokens).alias("_pos", "term"))
+    replaced = join_sized(each, single, "term", "left")
+    rebuilt = replaced.groupBy("_row").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("replacement", "term").alias("t")))),
+        lambda s: s["t"]).alias("_new"))
+    # Empty and NULL lists have no tokens and stay as they are.
+    return (rows.join(rebuilt, "_row", "left")
+            .withColumn(tokens, F.coalesce("_new", tokens)).drop("_new", "_row"))
 
 
 def tokenize_for_lexicon(df: DataFrame, dictionary: DataFrame, text: str = "text",
-                         key: str = "id") -> DataFrame:
+                         key: str = "id", limit: int = TABLE_BYTES) -> DataFrame:
     """``key, tokens`` for lexicon matching with a slang dictionary of any size."""
     cut = df.select(key, tokenize(F.regexp_replace(text, r"\s+$", "")).alias("tokens"))
-    return replace_tokens_join(cut, dictionary, key).withColumn(
+    return replace_tokens_join(cut, dictionary, key, limit=limit).withColumn(
         "tokens", drop_noise_tokens(F.col("tokens")))
 
 
 def intersect_tokens(df: DataFrame, terms: DataFrame, key: str = "id",
-                     tokens: str = "tokens") -> DataFrame:
-    """``key, term``: the distinct tokens of each post that are in a term frame of any size."""
-    single = terms.select("term").dropna().distinct()
+                     tokens: str = "tokens", limit: int = TABLE_BYTES) -> DataFrame:
+    """``key, term``: the distinct tokens of each row that are in a term frame of any size."""
+    single = settle(terms.select("term").dropna().distinct())
+    if fits(single, limit):
+        own = Dictionary(single.withColumn("_in", F.lit(True)), "term", "_in").add(
+            df.select(key, tokens), tokens,
+            lambda look: F.filter(F.array_distinct(tokens), lambda t: look(t).isNotNull()))
+        return own.select(key, each_token(tokens).alias("term"))
     own = df.select(key, F.explode(F.array_distinct(tokens)).alias("term"))
     return join_sized(own, single, "term", "left_semi").select(key, "term")

@@ -7,7 +7,7 @@ look-behind nor back-references, so several rules take another form here.
 from __future__ import annotations
 
 from postlab.functions.stopwords import SPANISH
-from postlab.plans.views import LEXICON_SIZE, PHRASES, SLANG, TAIL
+from postlab.plans.views import LEXICON_SIZE, SLANG, TAIL
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -41,8 +41,7 @@ SELECT term, CASE rk % 8 WHEN 0 THEN 'c0' WHEN 1 THEN 'c1' WHEN 2 THEN 'c2' ELSE
 PHRASE_VIEW = f"""cut AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}|[^\\p{{L}}\\p{{N}}_]+') AS p FROM documents),
 places AS (SELECT doc_id, p, unnest(generate_series(2, len(p) - 1)) AS i FROM cut),
 pair_terms AS (SELECT DISTINCT doc_id, p[i-1] || ' ' || p[i+1] AS term FROM places WHERE p[i] = ' '),
-v_phrases AS (SELECT term FROM (SELECT term, count(*) AS df FROM pair_terms GROUP BY term)
-  ORDER BY df DESC, term LIMIT {PHRASES})"""
+v_phrases AS (SELECT DISTINCT term FROM pair_terms)"""
 
 LOGITS = """v_logits AS (
 SELECT vec_id AS id, list_slice(e, 11, 12) AS logits1, list_slice(e, 1, 6) AS logits2,

@@ -68,7 +68,7 @@ def _flagged(spark, sf, terms, prepare=lambda c: c):
         "id", L.lexicon_flag(F.col("hits")).cast("bigint").alias("flag"))
 
 
-def _counted(spark, sf, terms, prepare=lambda c: c, limit=L.INLINE_TERMS):
+def _counted(spark, sf, terms, prepare=lambda c: c, limit=L.TABLE_BYTES):
     prepared = views.posts(spark, sf).select("id", prepare(F.col("text")).alias("text"))
     counted = prepared.withColumn("n_words", K.word_count(F.col("text")).cast("bigint"))
     return L.lexicon_hits(counted, terms, limit=limit).select(

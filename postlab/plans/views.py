@@ -14,7 +14,6 @@ from postlab.session import spread
 # Marks the documents do not have but the cleaning rules are about.
 TAIL = " ñ@cd x@bar @@ab #NiUna @foo_bar 😀😀 ❤"
 LEXICON_SIZE = 200
-PHRASES = 100
 CASE = "CASE1"
 SLANG = {"the": "teh", "que": "q", "der": "d", "les": "l"}
 TASK1 = {"non-toxic": 0, "toxic": 1}
@@ -95,7 +94,7 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Two words with one space between them, the most widespread ones."""
+    """All pairs of words with one space between them, a phrase lexicon that grows with the corpus."""
     def pairs(parts):
         return F.filter(
             F.transform(parts, lambda p, i: F.when(
@@ -103,9 +102,8 @@ def phrases(spark: SparkSession, sf: str) -> DataFrame:
                 F.concat(F.get(parts, i - 1), p, F.get(parts, i + 1)))),
             lambda x: x.isNotNull())
 
-    found = documents(spark, sf).select(
-        F.explode(F.array_distinct(let(pieces(F.col("text")), pairs))).alias("term"))
-    return _frequent(found, PHRASES).select("term")
+    return documents(spark, sf).select(
+        F.explode(F.array_distinct(let(pieces(F.col("text")), pairs))).alias("term")).distinct()
 
 
 def slang(spark: SparkSession) -> DataFrame:

@@ -132,3 +132,49 @@ def test_both_routes_skip_terms_that_can_match_no_word(spark):
     for limit in (0, 100):
         hits = {r.id: r.hits for r in L.lexicon_hits(posts, terms, limit=limit).collect()}
         assert hits == {1: ["a", "a", "b-c"], 2: []}
+
+
+ODD_ROWS = [(None, "a b c a b"), (None, "b c"), ("1", "a b"), ("1", "A B c d"), ("1", "a b"), ("2", None), ("3", "")]
+
+
+def test_rows_keep_their_own_hits(spark):
+    """Null and repeated ids, the same by look-up and by join."""
+    posts = spark.createDataFrame(ODD_ROWS, "id string, text string")
+    lexicon = spark.createDataFrame([("a b",), ("b c",), ("c",), ("a b c d",), (None,)], "term string")
+    expected = sorted((i, t, by_regex(t or "", ["a b", "b c", "c", "a b c d"])) for i, t in [
+        (i or "", t or "") for i, t in ODD_ROWS])
+    for limit in (0, L.TABLE_BYTES):
+        rows = L.lexicon_hits(posts, lexicon, limit=limit).collect()
+        assert sorted((r.id or "", r.text or "", r.hits) for r in rows) == expected
+
+
+def test_every_place_by_both_routes(spark):
+    posts = spark.createDataFrame(ODD_ROWS, "id string, text string")
+    lexicon = spark.createDataFrame([("a b",), ("b c",), ("b",), ("a b c d",)], "term string")
+    found = [sorted(map(repr, L.match_lexicon(posts, lexicon, limit=limit).collect())) for limit in (0, L.TABLE_BYTES)]
+    assert found[0] == found[1]
+    texts = [t.lower() for _, t in ODD_ROWS if t]
+    wanted = sum(len(re.findall(rf"(?=\b{t}\b)", x)) for x in texts for t in ("a b", "b c", "b", "a b c d"))
+    assert len(found[0]) == wanted
+
+
+def test_look_up_needs_no_shuffle_of_texts(spark):
+    posts = spark.createDataFrame(ODD_ROWS, "id string, text string")
+    lexicon = spark.createDataFrame([("a b",), ("c",)], "term string")
+    plan = L.lexicon_hits(posts, lexicon)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Join" not in plan and "Exchange" not in plan
+    joined = L.lexicon_hits(posts, lexicon, limit=0).select("id", "hits")
+    scans = [x for x in joined._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x]
+    assert scans and not any("text:" in x for x in scans)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(1, 9)), max_size=200))
+def test_overlaps_are_dropped_across_blocks(spark, spans):
+    spans = sorted(set(spans))
+    free, kept = 0, []
+    for start, length in spans:
+        if start >= free:
+            free, _ = start + length, kept.append(f"{start}+{length}")
+    df = spark.createDataFrame([([(s, n, f"{s}+{n}") for s, n in spans],)], "x " + M.PLACE)
+    assert df.select(M.without_overlaps(F.col("x")).alias("hits")).first().hits == kept

@@ -153,3 +153,32 @@ def test_model_round_trip(spark):
     before = {r.id: r.category for r in predict(model, df).collect()}
     after = {r.id: r.category for r in predict(load_model(folder, "es"), df).collect()}
     assert before == after == {r[0]: r[3] for r in rows}
+
+
+def test_dictionary_rows_keep_their_tokens(spark):
+    """Null and repeated ids, null and empty lists; the same by look-up and by join."""
+    rows = [(None, ["q", "x"]), (None, ["x"]), ("1", ["q", "q"]), ("1", ["tq"]), ("2", []), ("3", None), ("4", ["q", None])]
+    df = spark.createDataFrame(rows, "id string, tokens array<string>")
+    terms = [("q", "que"), ("q", "quien"), ("tq", "te quiero"), (None, "no"), ("x", None)]
+    dictionary = spark.createDataFrame(terms, "term string, replacement string")
+    new = {"q": "que", "tq": "te quiero"}
+    expected = sorted(((i, None if t is None else [new.get(x, x) for x in t]) for i, t in rows), key=repr)
+    for limit in (0, P.TABLE_BYTES):
+        got = P.replace_tokens_join(df, dictionary, limit=limit)
+        assert sorted(map(tuple, got.collect()), key=repr) == expected
+    plan = P.replace_tokens_join(df, dictionary)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0]
+    shared = [sorted(map(repr, P.intersect_tokens(df, dictionary, limit=limit).collect())) for limit in (0, P.TABLE_BYTES)]
+    assert shared[0] == shared[1] and len(shared[0]) == 6
+
+
+def test_dictionary_of_many_entries(spark):
+    from postlab.functions.dictionary import Dictionary
+
+    entries = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
+    look = Dictionary(entries, "k", "v")
+    df = spark.range(0, 10000, 7).select("id", F.concat(F.lit("k"), "id").alias("k"))
+    out = look.add(df, "v", lambda at: at(F.col("k"))).collect()
+    assert all(r.v == (r.id if r.id < 5000 else None) for r in out)
+    empty = Dictionary(entries.limit(0), "k", "v")
+    assert empty.add(df, "v", lambda at: at(F.col("k"))).filter("v IS NOT NULL").count() == 0
