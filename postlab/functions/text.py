@@ -51,6 +51,7 @@ LATIN_LETTERS = {
     "ẜ": "s", "ẝ": "s", "Ỻ": "LL", "ỻ": "ll", "Ỽ": "V", "ỽ": "v", "ʼ": "'", "ʾ": "",
     "·": "",
 }
+RARE_BLOCKS = r"[\x{100}-\x{2AF}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}\x{FB00}-\x{FB06}]"
 LATIN_NAME = re.compile(
     r"LATIN (SMALL|CAPITAL) LETTER (?:(?:TURNED|REVERSED|OPEN|AFRICAN|DOTLESS|SCRIPT) )*"
     r"([A-Z]{1,2})(?: .*)?")
@@ -174,7 +175,9 @@ def strip_accents(text: Column) -> Column:
         rare = spelled
         for letter, letters in rare_letters().items():
             rare = F.replace(rare, F.lit(letter), F.lit(letters))
-        spelled = F.when(x.rlike(f"[{''.join(rare_letters())}]"), rare).otherwise(spelled)
+        # The short class holds all of the long one and tells most texts apart.
+        has_rare = x.rlike(RARE_BLOCKS) & x.rlike(f"[{''.join(rare_letters())}]")
+        spelled = F.when(has_rare, rare).otherwise(spelled)
         return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(
             F.translate(spelled, source, target))
 
@@ -218,22 +221,30 @@ def replace_emoji(text: Column) -> Column:
     letters = {chr(0x1F1E6 + i): chr(ord("a") + i) for i in range(26)}
     letters |= {chr(0xE0000 + i): chr(i) for i in range(0x20, 0x7F)}
     dropped = "\U0001F3F4\U000E007F"  # of a flag of tags: the black flag and the last tag
-    other = rf"[^0-9#*{_POINTS}]++|[0-9#*]"
+    # Plain runs hold digits too, unless they open a keycap. A class of many ranges is slow, so
+    # what lies between the first emoji points, which is most of all text, is told by a short one.
+    plain = r"[\x00-\x22\x24-\x29\x2B-\x2F\x3A-\xA8\xAA-\xAD\xAF-\x{203B}]"
+    other = rf"(?:{plain}++|[0-9#*](?!\x{{FE0F}}?\x{{20E3}})|[^0-9#*{_POINTS}])++"
 
-    def named(p: Column) -> Column:
+    def sign(p: Column) -> Column:
         flag = F.concat(F.lit(":flag_"), F.translate(
             p, "".join(letters) + dropped, "".join(letters.values())), F.lit(":"))
         signs = F.regexp_extract_all(p, F.lit(EMOJI_CLASS), F.lit(0))
         parts = F.array_join(F.transform(signs, lambda c: F.element_at(names, c)), "_")
-        return (F.when(p.rlike(f"^(?:{TAG_FLAG}|{FLAG})$"), flag)
-                .when(p.rlike(f"^{KEYCAP}$"), F.concat(F.lit(":keycap_"), F.left(p, F.lit(1)), F.lit(":")))
-                .when(p.rlike(f"^{EMOJI_CLASS}"), F.concat(F.lit(":"), parts, F.lit(":")))
+        return F.when(p.rlike(f"^(?:{TAG_FLAG}|{FLAG})$"), flag).otherwise(
+            F.concat(F.lit(":"), parts, F.lit(":")))
+
+    def named(p: Column) -> Column:
+        # A look at the first or last character tells most pieces apart.
+        keycap = p.endswith("⃣") & p.rlike(f"^{KEYCAP}$")
+        return (F.when(F.left(p, F.lit(1)).rlike(EMOJI_CLASS), sign(p))
+                .when(keycap, F.concat(F.lit(":keycap_"), F.left(p, F.lit(1)), F.lit(":")))
                 .otherwise(p))
 
     def spell(x: Column) -> Column:
         pieces = F.regexp_extract_all(
-            x, F.lit(f"{TAG_FLAG}|{FLAG}|{KEYCAP}|{JOINED}|{other}"), F.lit(0))
-        return F.when(x.rlike(rf"{EMOJI_CLASS}|{KEYCAP}"),
+            x, F.lit(f"{other}|{TAG_FLAG}|{FLAG}|{KEYCAP}|{JOINED}"), F.lit(0))
+        return F.when(x.rlike(r"[\xA9\xAE\x{203C}-\x{1FAFF}]"),
                       F.array_join(F.transform(pieces, named), "")).otherwise(x)
 
     return F.replace(let(text, spell), F.lit("::"), F.lit(" "))
