@@ -12,6 +12,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlab.functions.dictionary import TABLE_BYTES, Dictionary, fits
 from postlab.functions.tokens import each_token
 from postlab.session import cached, join_sized, numbered, settle
 
@@ -92,10 +93,12 @@ def svd_scores(df: DataFrame, k: int = 10, tokens: str = "tokens", key: str = "i
         pd.DataFrame({"term": counts.vocabulary, "direction": weighted.tolist()}),
         "term string, direction array<double>")
     sums = F.array(*[F.sum(F.col("direction")[i]) for i in range(k)])
-    found = (df.select(key, each_token(tokens).alias("term"))
-             .transform(join_sized, table, "term").groupBy(key).agg(sums.alias("scores")))
+    # Rows get a key of their own, so that repeated and null ids keep their own scores.
+    rows = settle(df.select(key, tokens).withColumn("_row", F.monotonically_increasing_id()))
+    found = (rows.select("_row", each_token(tokens).alias("term"))
+             .transform(join_sized, table, "term").groupBy("_row").agg(sums.alias("scores")))
     nothing = F.array_repeat(F.lit(0.0), k)
-    return (df.select(key).join(found, key, "left")
+    return (rows.select(key, "_row").join(found, "_row", "left")
             .select(key, F.coalesce("scores", nothing).alias("scores")))
 
 
@@ -167,22 +170,29 @@ def build_vocabulary(df: DataFrame, size: int | None = None, tokens: str = "toke
 
 
 def encode_sequence(df: DataFrame, vocabulary: DataFrame, max_length: int = 128,
-                    tokens: str = "tokens", key: str = "id",
-                    vocabulary_rows: int | None = None) -> DataFrame:
-    """``(key, input_ids, attention_mask)``, both exactly ``max_length`` wide.
+                    tokens: str = "tokens", key: str = "id", limit: int = TABLE_BYTES) -> DataFrame:
+    """``(key, input_ids, attention_mask)`` per row, both exactly ``max_length`` wide.
 
-    Start mark, ids, end mark, padding. Sequences are truncated to fit; terms
-    outside the vocabulary get the id of the unknown term.
+    Start mark, ids, end mark, padding. Sequences are truncated to fit; terms outside the
+    vocabulary get the id of the unknown term, a NULL list is empty. Rows that share an id, or have
+    none, keep their own sequences. A vocabulary that measures within ``limit`` bytes is looked
+    up row by row, without a shuffle; a larger one is joined, with the same result.
     """
     room = max_length - 2
-    head = df.select(key, F.posexplode_outer(F.slice(tokens, 1, room)).alias("_pos", "term"))
-    coded = join_sized(head, vocabulary, "term", "left", small_rows=vocabulary_rows)
-    place = F.struct("_pos", F.coalesce("term_id", F.lit(UNKNOWN)).alias("i"))
-    body = F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), place))),
-        lambda s: s["i"])
-    marked = coded.groupBy(key).agg(
-        F.concat(F.array(F.lit(START)), body, F.array(F.lit(END))).alias("_ids"))
+    known = settle(vocabulary.select("term", "term_id"))
+    heads = df.select(key, F.slice(tokens, 1, room).alias("_head"))
+    if fits(known, limit):
+        coded = Dictionary(known, "term", "term_id").add(heads, "_body", lambda look: F.transform(
+            "_head", lambda t: F.coalesce(look(t), F.lit(UNKNOWN))))
+    else:
+        rows = settle(heads.withColumn("_row", F.monotonically_increasing_id()))
+        each = rows.select("_row", F.posexplode("_head").alias("_pos", "term"))
+        place = F.struct("_pos", F.coalesce("term_id", F.lit(UNKNOWN)).alias("i"))
+        bodies = join_sized(each, known, "term", "left").groupBy("_row").agg(F.transform(
+            F.array_sort(F.collect_list(place)), lambda s: s["i"]).alias("_body"))
+        coded = rows.select(key, "_row").join(bodies, "_row", "left")
+    body = F.coalesce("_body", F.array().cast("array<int>"))
+    marked = coded.select(key, F.concat(F.array(F.lit(START)), body, F.array(F.lit(END))).alias("_ids"))
     gap = F.lit(max_length) - F.size("_ids")
     return marked.select(
         key,

@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, RandomForestClassifier)
+    LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IndexToString, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postlab.functions.scores import argmax
 from postlab.operators.evaluate import macro_scores, mean_metrics
@@ -33,6 +35,7 @@ SEED = 123
 LOGISTIC_C, LOGISTIC_TOL = 1e3, 0.01
 FOREST_TREES = 250
 SVM_C = 1.0
+CALIBRATION_FOLDS = 5
 MAX_TREE_DEPTH = 30  # the deepest tree the library grows; there is no "unlimited"
 
 # Searched settings per classifier. Settings that cannot change the
@@ -62,6 +65,18 @@ def random_forest(trees: int = FOREST_TREES, depth: int = MAX_TREE_DEPTH,
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, **{**defaults, **params})
 
 
+@dataclass
+class GridSearch:
+    """Parameter maps of a grid and the mean score of each over the folds."""
+
+    points: list[dict]
+    scores: list[float]
+
+    def best(self) -> dict:
+        """The parameters of the best score, the first of equal ones."""
+        return self.points[max(range(len(self.scores)), key=lambda i: self.scores[i])]
+
+
 def get_classifier(name: str, n: int, **params) -> Estimator:
     """A classifier by name; ``n`` is the number of training rows."""
     if name == "random_forest":
@@ -103,22 +118,51 @@ def fit_margins(rows: DataFrame, classifier: Estimator, classes: int,
     ]
 
 
-def margin_probability(scored: DataFrame, label: str = "label", raw: str = "rawPrediction",
-                       max_iter: int = 25) -> DataFrame:
-    """Class probability from an SVM margin: a logistic fit on that one number."""
-    margin = scored.withColumn("_margin", vector_to_array(raw)[1])
-    chain = VectorAssembler(inputCols=["_margin"], outputCol="_m")
+def margin_calibration(margins: DataFrame, margin: str = "margin", label: str = "label",
+                       max_iter: int = 50) -> LogisticRegressionModel:
+    """A logistic fit of a two-class label on the one number of a margin."""
+    chain = VectorAssembler(inputCols=[margin], outputCol="_m")
     calibrate = LogisticRegression(
         featuresCol="_m", labelCol=label, rawPredictionCol="_raw", predictionCol="_p",
         probabilityCol="_prob", maxIter=max_iter)
-    vectors = chain.transform(margin)
-    with cached(vectors.select("_m", label)) as rows:
-        fitted = calibrate.fit(rows)
-    return (fitted.transform(vectors)
+    with cached(chain.transform(margins).select("_m", label)) as rows:
+        return calibrate.fit(rows)
+
+
+def cross_margins(rows: DataFrame, classifier: Estimator, folds: int = CALIBRATION_FOLDS,
+                  label: str = "label", key: str = "id") -> DataFrame:
+    """``label, margin`` of every row from a model that was fitted without its fold."""
+    parts = []
+    with cached(assign_folds(rows, label, folds, key)) as folded:
+        for fold in range(folds):
+            model = classifier.fit(folded.filter(F.col("fold") != fold))
+            scored = model.transform(folded.filter(F.col("fold") == fold))
+            parts.append(scored.select(
+                label, vector_to_array(model.getRawPredictionCol())[1].alias("margin")))
+        return settle(append_rows(*parts))
+
+
+def margin_probability(scored: DataFrame, calibration: LogisticRegressionModel,
+                       raw: str = "rawPrediction") -> DataFrame:
+    """Add ``probability`` of the second class, from a margin and a calibration of margins.
+
+    The calibration is fitted on `cross_margins`: margins of a model's own training rows are
+    too large, so a fit on those gives probabilities that are too sure.
+    """
+    chain = VectorAssembler(inputCols=["_margin"], outputCol="_m")
+    vectors = chain.transform(scored.withColumn("_margin", vector_to_array(raw)[1]))
+    return (calibration.transform(vectors)
             .withColumn("probability", vector_to_array("_prob")[1])
             .drop("_margin", "_m", "_raw", "_p", "_prob"))
 
 
+def fit_with_probability(rows: DataFrame, classifier: Estimator, folds: int = CALIBRATION_FOLDS,
+                         label: str = "label", key: str = "id") -> tuple[Transformer, LogisticRegressionModel]:
+    """A two-class model of all rows and the calibration of its margins from models of ``folds``."""
+    return classifier.fit(rows), margin_calibration(
+        cross_margins(rows, classifier, folds, label, key), "margin", label)
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``weight = n / (k * n_class)`` per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
@@ -180,7 +224,7 @@ def predict_per_language(models: dict[str, PipelineModel], posts: DataFrame,
         predict(m, posts.filter(F.col("language") == x), keep) for x, m in models.items()])
 
 
-def grid_of(classifier: Estimator, settings: dict, n: int) -> list[dict]:
+def grid_of(classifier: Estimator, settings: dict, n: float) -> list[dict]:
     """Parameter maps for a ``GRIDS`` entry; ``balanced`` switches the weight column."""
     grid = ParamGridBuilder()
     for name, values in settings.items():
@@ -194,27 +238,55 @@ def grid_of(classifier: Estimator, settings: dict, n: int) -> list[dict]:
     return grid.build()
 
 
+def with_fold_weights(folded: DataFrame, folds: int, label: str = "label") -> DataFrame:
+    """``_weights`` added: the weight of the row's class per fold that is left out.
+
+    Weights of a fold come from the rows of the other folds alone, so nothing of the rows it
+    validates enters a fit.
+    """
+    counts = settle(folded.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n")))
+    left_out = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")
+    left = (counts.select("fold", label, "n", left_out).filter(F.col("fold") != F.col("held"))
+            .groupBy("held", label).agg(F.sum("n").alias("n_class")))
+    per_fold = Window.partitionBy("held")
+    weights = left.select("held", label, (
+        F.sum("n_class").over(per_fold)
+        / (F.count(F.lit(1)).over(per_fold) * F.col("n_class"))).alias("w"))
+    by_class = weights.groupBy(label).agg(
+        F.map_from_entries(F.collect_list(F.struct("held", "w"))).alias("_weights"))
+    return join_sized(folded, settle(by_class), label)
+
+
 def grid_search(df: DataFrame, classifier: Estimator, settings: dict, folds: int = 5,
-                metric: str = "accuracy", parallelism: int = 2,
-                key: str = "id") -> CrossValidatorModel:
-    """Exhaustive search over ``(key, features, label)`` with stratified, seeded folds."""
-    weighted = with_class_weights(df, "label", "balanced").withColumn("uniform", F.lit(1.0))
-    with cached(assign_folds(weighted, "label", folds, key)) as ready:
-        search = CrossValidator(
-            estimator=classifier, numFolds=folds, foldCol="fold", parallelism=parallelism,
-            # A fold is fitted on the rows of all the others.
-            estimatorParamMaps=grid_of(
-                classifier, settings, ready.count() * (folds - 1) / folds),
-            evaluator=MulticlassClassificationEvaluator(metricName=metric))
-        return search.fit(ready)
-
-
-def grid_scores(model: CrossValidatorModel) -> list[tuple[str, float]]:
+                metric: str = "accuracy", parallelism: int = 2, key: str = "id") -> GridSearch:
+    """Exhaustive search over ``(key, features, label)`` with stratified, seeded folds.
+
+    Class weights are those of the rows that train a fold; validation rows have no part in them.
+    """
+    evaluator = MulticlassClassificationEvaluator(metricName=metric)
+    with cached(with_fold_weights(assign_folds(df, "label", folds, key), folds)) as ready:
+        # A fold is fitted on the rows of all the others.
+        points = grid_of(classifier, settings, ready.count() * (folds - 1) / folds)
+        totals = [0.0] * len(points)
+        for fold in range(folds):
+            train = ready.filter(F.col("fold") != fold).withColumns({
+                "balanced": F.col("_weights")[fold], "uniform": F.lit(1.0)})
+            with cached(train.select("features", "label", "balanced", "uniform")) as rows, cached(
+                    ready.filter(F.col("fold") == fold).select("features", "label")) as held:
+                def score(i: int) -> float:
+                    return evaluator.evaluate(classifier.copy(points[i]).fit(rows).transform(held))
+
+                with ThreadPoolExecutor(parallelism) as pool:
+                    scores = list(pool.map(score, range(len(points))))
+            totals = [t + x for t, x in zip(totals, scores)]
+    return GridSearch(points, [t / folds for t in totals])
+
+
+def grid_scores(search: GridSearch) -> list[tuple[str, float]]:
     """One ``(setting, mean score)`` pair per grid point."""
-    points = model.getEstimatorParamMaps()
     return [
         (", ".join(sorted(f"{p.name}={v}" for p, v in point.items())), float(score))
-        for point, score in zip(points, model.avgMetrics)]
+        for point, score in zip(search.points, search.scores)]
 
 
 def cross_val_predict(df: DataFrame, fit: Callable[[DataFrame], object], k: int = 10,
@@ -274,16 +346,16 @@ def repeated_split_scores(df: DataFrame, classifier: Callable[..., Estimator], s
         for repetition in range(repetitions):
             chosen = split.filter(F.col("repetition") == repetition)
             tune = chosen.filter(F.col("part") == "tune")
-            tuned = grid_search(
-                tune, classifier(tune.count() * (folds - 1) / folds), settings, folds, key=key)
-            estimator = tuned.getEstimator()
-            ranked = zip(tuned.avgMetrics, tuned.getEstimatorParamMaps())
-            point = max(ranked, key=lambda r: r[0])[1]
-            held_out = with_class_weights(
-                chosen.filter(F.col("part") == "evaluate"), "label", "balanced")
+            estimator = classifier(tune.count() * (folds - 1) / folds)
+            point = grid_search(tune, estimator, settings, folds, key=key).best()
+
+            def fit(train: DataFrame) -> Transformer:
+                # Weights of the training rows alone.
+                rows = with_class_weights(train, "label", "balanced").withColumn("uniform", F.lit(1.0))
+                return estimator.copy(point).fit(rows)
+
             scores = cross_validate(cross_val_predict(
-                held_out.withColumn("uniform", F.lit(1.0)),
-                lambda train: estimator.copy(point).fit(train), folds, key=key))
+                chosen.filter(F.col("part") == "evaluate"), fit, folds, key=key))
             metrics = [c for c in scores.columns if c != "fold"]
             results.append(
                 mean_metrics(scores, metrics).withColumn("repetition", F.lit(repetition)))

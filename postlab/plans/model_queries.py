@@ -63,8 +63,9 @@ def m3_linear_svm(spark, sf):
 @query()
 def m3_svm_probability(spark, sf):
     binary = _vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
-    scored = M.linear_svm(binary.count()).fit(binary).transform(binary)
-    return M.margin_probability(scored).select(
+    with cached(binary) as rows:
+        model, calibration = M.fit_with_probability(rows, M.linear_svm(rows.count()))
+    return M.margin_probability(model.transform(binary), calibration).select(
         "id", F.col("prediction").cast("int").alias("pred"),
         F.round("probability", 6).alias("probability"))
 

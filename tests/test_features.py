@@ -125,3 +125,23 @@ def test_encode_sequence(posts):
     assert rows["2"].attention_mask == [1, 1, 1, 1, 0]
     assert rows["3"].input_ids == rows["5"].input_ids == [2, 3, 0, 0, 0]
     assert rows["4"].input_ids == [2, 4, 5, 5, 3]
+
+
+def test_rows_of_one_id_keep_their_own_sequences_and_scores(spark):
+    """Null and repeated ids, null and empty lists; sequences the same by look-up and by join."""
+    rows = [(None, ["a", "b"]), (None, ["b"]), ("1", ["c"]), ("1", ["a", "zz", "a"]), ("2", []), ("3", None)]
+    df = spark.createDataFrame(rows, "id string, tokens array<string>")
+    vocabulary = spark.createDataFrame([("a", 4), ("b", 5), ("c", 6)], "term string, term_id int")
+    number = {"a": 4, "b": 5, "c": 6}
+    wanted = []
+    for i, tokens in rows:
+        ids = [X.START, *[number.get(t, X.UNKNOWN) for t in (tokens or [])[:3]], X.END]
+        wanted.append((i, ids + [X.PAD] * (5 - len(ids)), [1] * len(ids) + [0] * (5 - len(ids))))
+    for limit in (0, X.TABLE_BYTES):
+        got = [tuple(r) for r in X.encode_sequence(df, vocabulary, 5, limit=limit).collect()]
+        assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    full = df.filter("tokens IS NOT NULL")
+    scores = X.svd_scores(full, k=1, min_df=0.0).collect()
+    assert len(scores) == 5
+    by_id = sorted(round(abs(r.scores[0]), 6) for r in scores if r.id is None)
+    assert len(by_id) == 2 and by_id[0] != by_id[1]

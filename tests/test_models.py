@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -59,14 +61,79 @@ def test_class_weights(points):
 
 
 def test_margin_probability_is_monotone(points):
-    scored = M.linear_svm(70, maxIter=5).fit(points).transform(points)
-    rows = M.margin_probability(scored.persist()).collect()
+    model, calibration = M.fit_with_probability(points, M.linear_svm(70, maxIter=5), folds=3)
+    rows = M.margin_probability(model.transform(points), calibration).collect()
     assert len(rows) == 70
     by_margin = sorted(rows, key=lambda r: r.rawPrediction[1])
     probabilities = [r.probability for r in by_margin]
     assert probabilities == sorted(probabilities)
 
 
+@pytest.fixture(scope="module")
+def noise(spark):
+    """Few rows, many columns without a meaning: margins of training rows are far too large."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 60))
+    y = (x[:, 0] + rng.normal(size=600) * 1.5 > 0).astype(float)
+    rows = [(str(i), Vectors.dense(v.tolist()), float(t)) for i, (v, t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, ["id", "features", "label"]).coalesce(2).persist()
+
+
+def test_cross_fitted_probabilities_beat_in_sample_ones(noise):
+    number = F.col("id").cast("int")
+    train, rest = noise.filter(number < 150).persist(), noise.filter(number >= 150).persist()
+    svm = M.linear_svm(150, c=100.0, maxIter=50)
+
+    def loss(model, calibration):
+        rows = M.margin_probability(model.transform(rest), calibration).collect()
+        return -np.mean([np.log(max(r.probability if r.label else 1 - r.probability, 1e-12)) for r in rows])
+
+    model, crossed = M.fit_with_probability(train, svm)
+    own = M.margin_calibration(model.transform(train).select(
+        "label", vector_to_array("rawPrediction")[1].alias("margin")))
+    assert loss(model, crossed) < loss(model, own) - 0.1
+
+
+def test_no_margin_comes_from_a_model_that_saw_its_row(noise):
+    train = noise.filter(F.col("id").cast("int") < 60)
+    svm = M.linear_svm(60, c=100.0, maxIter=30)
+    crossed = M.cross_margins(train, svm, folds=3).collect()
+    assert len(crossed) == 60
+    own = svm.fit(train).transform(train).collect()
+    right = [np.mean([(m > 0) == (y > 0) for m, y in pairs]) for pairs in (
+        [(r.margin, r.label) for r in crossed], [(r.rawPrediction[1], r.label) for r in own])]
+    assert right[0] < right[1]
+
+
+def test_fold_weights_come_from_the_training_rows(points):
+    folded = M.assign_folds(points.filter("id < 66 OR label = 1"), "label", 3, "id")
+    rows = M.with_fold_weights(folded, 3).collect()
+    for held in range(3):
+        train = [r.label for r in rows if r.fold != held]
+        for r in rows:
+            assert r._weights[held] == pytest.approx(len(train) / (2 * train.count(r.label)))
+
+
+def test_grid_search_equals_separate_fits(points):
+    grid = {"C": [1, 10], "balanced": [False, True]}
+    search = M.grid_search(points, M.logistic_regression(1, maxIter=5), grid, folds=2)
+    folded = M.assign_folds(points, "label", 2, "id").persist()
+    wanted = []
+    for c in (1, 10):
+        for balanced in (False, True):
+            right = 0.0
+            for fold in range(2):
+                train = M.with_class_weights(folded.filter(F.col("fold") != fold), "label")
+                if not balanced:
+                    train = train.withColumn("weight", F.lit(1.0))
+                model = M.logistic_regression(35, c, maxIter=5, weightCol="weight").fit(train)
+                held = model.transform(folded.filter(F.col("fold") == fold))
+                right += held.filter("prediction = label").count() / held.count() / 2
+            wanted.append(right)
+    assert sorted(search.scores) == pytest.approx(sorted(wanted))
+    assert search.scores[search.points.index(search.best())] == max(search.scores)
+
+
 def test_grid_search(points):
     grid = {"C": [1, 10], "balanced": [False, True]}
     model = M.grid_search(points, M.logistic_regression(1, maxIter=5), grid, folds=2)
