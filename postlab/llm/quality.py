@@ -7,11 +7,13 @@ that repeat the one before, are in capitals, or end in an exclamation mark.
 
 The model is fitted on at most ``TRAIN_ROWS`` graded texts per grade, those with the
 smallest id hashes, weighted back to the grades' real shares; their features go to
-one task (the bound is the parameter). Scoring is row-local over whole texts. It gives the
+one task (the bound is the parameter). Words of fewer than ``LEAST_TEXTS`` of these texts (a
+parameter as well) have no weight, as they would be learned by heart. Scoring is row-local over whole texts. It gives the
 expected grade and the probability of the top grade, by which texts are selected.
 
 Null and empty texts have no features and get what the thresholds say. Repeated
-graded rows count once per id, with the lowest grade. Without graded texts all scores
+graded rows count once per id, with the lowest grade; of differing texts of an id the first in
+byte order is learned from, so repeated documents add nothing to the task. Without graded texts all scores
 are null. Other columns are kept; the result columns are replaced.
 """
 
@@ -35,7 +37,6 @@ TRAIN_ROWS = 3_000
 STEPS = 150
 RATE = 0.1
 RIDGE = 1e-3
-# Words of fewer texts of the sample have no weight: they would be learned by heart.
 LEAST_TEXTS = 5
 MARKS = ".,;:!?\"'()[]"
 SELECT = 0.5
@@ -117,7 +118,7 @@ def cumulative_link(buckets: list[np.ndarray], shares: np.ndarray, grade: np.nda
 
 
 def train(docs: DataFrame, grades: DataFrame, id: str = "doc_id", text: str = "text",
-          rows: int = TRAIN_ROWS) -> Model | None:
+          rows: int = TRAIN_ROWS, least_texts: int = LEAST_TEXTS) -> Model | None:
     """Fit on documents with a ``grade`` (0, 1, ...) in ``grades``."""
     ship_package(docs.sparkSession)
     graded = grades.select(F.col(id).alias("id"), F.col("grade").cast("int").alias("lang")).dropna()
@@ -129,7 +130,8 @@ def train(docs: DataFrame, grades: DataFrame, id: str = "doc_id", text: str = "t
         return None
     chosen = sampled_ids(graded, rows)
     texts = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    sample = join_sized(texts, chosen, "id")
+    # One text per id before anything is gathered; copies are cut in each task already.
+    sample = join_sized(texts, chosen, "id").groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,10 +140,10 @@ def train(docs: DataFrame, grades: DataFrame, id: str = "doc_id", text: str = "t
                                 "buckets": [b for b, _ in made], "shares": [s for _, s in made]})
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id").drop_duplicates("id")
+        group = group.sort_values("id")
         grade = group["grade"].to_numpy(np.int64)
         texts = np.bincount(np.concatenate(group["buckets"].tolist()), minlength=1 << BITS)
-        buckets = [b[texts[b] >= LEAST_TEXTS] for b in group["buckets"]]
+        buckets = [b[texts[b] >= least_texts] for b in group["buckets"]]
         seen = np.bincount(grade, minlength=levels)
         weight = np.array([counts.get(g, 0) / max(seen[g], 1) for g in grade])
         weights, cuts = cumulative_link(buckets, np.stack(group["shares"]), grade,

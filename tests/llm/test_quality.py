@@ -43,3 +43,21 @@ def test_the_slope_is_that_of_the_likelihood(monkeypatch):
     buckets = [np.array([5, 9]) if i % 2 else np.array([9]) for i in range(40)]
     weights, cuts = Q.cumulative_link(buckets, np.zeros((40, Q.SHARES)), np.arange(40) % 2, np.ones(40), 2)
     assert weights[5] > 2 and abs(weights[9]) < weights[5] and cuts.shape == (1,)
+
+
+def test_repeated_documents_add_nothing_to_the_fit(spark):
+    rows = rows_of(120, 2)
+    docs = [r[:2] for r in rows] + [rows[0][:2]] * 500 + [(rows[1][0], "zz later text")] * 300
+    grades = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, grade int")
+    one, many = (Q.train(spark.createDataFrame(d, "doc_id long, text string").repartition(3), grades)
+                 for d in ([r[:2] for r in rows], docs))
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.thresholds, many.thresholds)
+
+
+def test_few_graded_texts_have_weights_if_asked(spark):
+    docs = spark.createDataFrame([(1, "bad"), (2, "good"), (3, "bad"), (4, "good")], "doc_id long, text string")
+    grades = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, grade int")
+    assert not Q.train(docs, grades).weights[:1 << Q.BITS].any()
+    model = Q.train(docs, grades, least_texts=1)
+    scored = {r.doc_id: r.expected_grade for r in Q.score(docs, model).collect()}
+    assert scored[1] < 0.5 < scored[2]
