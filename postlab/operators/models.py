@@ -132,14 +132,14 @@ def margin_calibration(margins: DataFrame, margin: str = "margin", label: str =
 def cross_margins(rows: DataFrame, classifier: Estimator, folds: int = CALIBRATION_FOLDS,
                   label: str = "label", key: str = "id") -> DataFrame:
     """``label, margin`` of every row from a model that was fitted without its fold."""
-    parts = []
     with cached(assign_folds(rows, label, folds, key)) as folded:
-        for fold in range(folds):
+        def scored(fold: int) -> DataFrame:
             model = classifier.fit(folded.filter(F.col("fold") != fold))
-            scored = model.transform(folded.filter(F.col("fold") == fold))
-            parts.append(scored.select(
-                label, vector_to_array(model.getRawPredictionCol())[1].alias("margin")))
-        return settle(append_rows(*parts))
+            return model.transform(folded.filter(F.col("fold") == fold)).select(
+                label, vector_to_array(model.getRawPredictionCol())[1].alias("margin"))
+
+        with ThreadPoolExecutor(min(folds, 4)) as pool:
+            return settle(append_rows(*pool.map(scored, range(folds))))
 
 
 def margin_probability(scored: DataFrame, calibration: LogisticRegressionModel,

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from postlab.functions.binding import let
 from postlab.functions.matching import pieces
 from postlab.functions.tokens import words
-from postlab.session import spread
+from postlab.session import join_sized, spread
 
 # Marks the documents do not have but the cleaning rules are about.
 TAIL = " ñ@cd x@bar @@ab #NiUna @foo_bar 😀😀 ❤"
@@ -29,11 +29,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).alias("d")
-    labels = table(spark, sf, "labels").alias("l")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic", F.lit(True).alias("labelled"))
+    # Labels of a checked size are broadcast, so that no text is shuffled for them.
+    d = join_sized(documents(spark, sf), labels, "doc_id", "left").alias("d")
     digits = F.col("d.doc_id").cast("string")
-    toxic = F.col("l.toxic")
-    return d.join(labels, F.col("d.doc_id") == F.col("l.doc_id"), "left").select(
+    toxic = F.col("d.toxic")
+    return d.select(
         F.lit(CASE).alias("test_case"),
         F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")).alias("id"),
         F.col("d.source").alias("source"),
@@ -45,7 +46,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(toxic == 1, "toxic").when(toxic == 0, "non-toxic").alias("task1"),
         F.when(toxic == 1, F.concat(F.lit("kind"), (F.col("d.n_chars") % 5 + 1).cast("string")))
         .when(toxic == 0, "non-toxic").alias("task2"),
-        F.when(F.col("l.doc_id").isNull(), "test").otherwise("train").alias("split"))
+        F.when(F.col("d.labelled").isNull(), "test").otherwise("train").alias("split"))
 
 
 def aux_labels(spark: SparkSession, sf: str) -> DataFrame:
