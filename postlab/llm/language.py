@@ -40,7 +40,7 @@ UNDETERMINED = "und"
 # The cutoff of a language (`least_scores`) lies MARGIN under its least held-out score, and the closer
 # to LEAST_SCORE the fewer texts tell: with FEW texts, halfway.
 LEAST_SCORE = 0.2
-MARGIN = 0.15
+MARGIN = 0.1
 FEW = 50
 
 
