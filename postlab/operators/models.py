@@ -6,10 +6,12 @@ column; tokens come from the same Column functions for training and scoring.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import (
@@ -19,14 +21,15 @@ from pyspark.ml.feature import (
     IndexToString, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postlab.functions.scores import argmax
 from postlab.operators.evaluate import macro_scores, mean_metrics
 from postlab.operators.features import fit_tfidf
-from postlab.operators.sampling import assign_folds, shuffle_splits
+from postlab.operators.linear import LinearTask, column_scale, fit_linear, linear_margins, sparse_rows
+from postlab.operators.sampling import assign_folds, rank_by_hash, shuffle_splits
 from postlab.operators.tables import append_rows
 from postlab.session import cached, join_sized, settle
 
@@ -257,12 +260,114 @@ def with_fold_weights(folded: DataFrame, folds: int, label: str = "label") -> Da
     return join_sized(folded, settle(by_class), label)
 
 
+def shares_passes(classifier: Estimator, df: DataFrame, label: str = "label") -> bool:
+    """Whether many models of ``classifier`` can be fitted in common passes: two-class linear ones,
+    whose result depends on nothing but penalty, weights, iterations and tolerance."""
+    if not isinstance(classifier, (LogisticRegression, LinearSVC)):
+        return False
+    if isinstance(classifier, LogisticRegression) and (
+            classifier.getElasticNetParam() or classifier.getThreshold() != 0.5
+            or classifier.getFamily() == "multinomial"):
+        return False
+    if isinstance(classifier, LinearSVC) and classifier.getThreshold():
+        return False
+    if classifier.getStandardization() or classifier.isSet(classifier.weightCol):
+        return False
+    return df.filter(~F.col(label).isin(0.0, 1.0) | F.col(label).isNull()).isEmpty()
+
+
 def grid_search(df: DataFrame, classifier: Estimator, settings: dict, folds: int = 5,
                 metric: str = "accuracy", parallelism: int = 2, key: str = "id") -> GridSearch:
     """Exhaustive search over ``(key, features, label)`` with stratified, seeded folds.
 
     Class weights are those of the rows that train a fold; validation rows have no part in them.
+    Two-class linear models of all settings and folds are fitted in common passes over the rows.
     """
+    if metric == "accuracy" and shares_passes(classifier, df):
+        folded = assign_folds(df, "label", folds, key).withColumn(
+            "codes", F.array(_code(F.lit(0), F.col("fold"), F.col("label"), folds)))
+        with cached(folded.select("features", "codes")) as ready:
+            shared = SharedFits(ready, classifier, 1, folds)
+            # A fold is fitted on the rows of all the others.
+            points = grid_of(classifier, settings, shared.counts[0, 0].sum() * (folds - 1) / folds)
+            return GridSearch(points, shared.accuracies(points, part=0)[0].tolist())
+    return _separate_grid_search(df, classifier, settings, folds, metric, parallelism, key)
+
+
+def _code(part: Column, fold: Column, label: Column, folds: int) -> Column:
+    return ((part * folds + fold) * 2 + label).cast("int")
+
+
+class SharedFits:
+    """Fits of many two-class linear models over ``(features, codes)``.
+
+    ``codes[r]`` packs the part, fold and class of a row in repetition ``r``, see `_code`.
+    """
+
+    def __init__(self, df: DataFrame, classifier: Estimator, repetitions: int, folds: int, parts: int = 1):
+        self.classifier, self.repetitions, self.folds, self.parts = classifier, repetitions, folds, parts
+        keep = [c for c in df.columns if c not in ("features", "codes")]
+        self.rows = sparse_rows(df, "features", "codes", *keep)
+        self.scale = column_scale(df)
+        counts = np.zeros((repetitions, parts * folds * 2))
+        for r in self.rows.select(F.posexplode("codes").alias("slot", "code")).groupBy(
+                "slot", "code").count().collect():
+            counts[r.slot, r.code] = r["count"]
+        # Rows by repetition, part, fold and class.
+        self.counts = counts.reshape(repetitions, parts, folds, 2)
+
+    def _task(self, point: dict, repetition: int, part: int, held: int) -> LinearTask:
+        values = {p.name: v for p, v in point.items()}
+        trained = self.counts[repetition, part].copy()
+        trained[held] = 0
+        weights = np.zeros((self.parts, self.folds, 2))
+        weights[part] = 1.0
+        if values.get("weightCol") == "balanced":
+            seen = trained.sum(0)
+            weights[part] = seen.sum() / (np.count_nonzero(seen) * np.maximum(seen, 1))
+        weights[part, held] = 0
+        positive = np.zeros(weights.shape, bool)
+        positive[..., 1] = True
+        return LinearTask(values.get("regParam", self.classifier.getRegParam()),
+                          weights.ravel(), positive.ravel(),
+                          float((weights * self.counts[repetition]).sum()), repetition)
+
+    def margins(self, points: list[list[dict]], part: int, *keep: str) -> DataFrame:
+        """``keep, slot, fold, gold, margins``: of the rows of ``part``, by the models of
+        ``points[repetition]`` that were fitted without the row's fold."""
+        tasks, asked = [], []
+        for repetition in range(self.repetitions):
+            lists = [np.zeros(0, np.int64)] * (self.parts * self.folds * 2)
+            for held in range(self.folds):
+                own = np.arange(len(tasks), len(tasks) + len(points[repetition]))
+                first = (part * self.folds + held) * 2
+                lists[first] = lists[first + 1] = own
+                tasks += [self._task(p, repetition, part, held) for p in points[repetition]]
+            asked.append(lists)
+        models = fit_linear(
+            self.rows, tasks, len(self.scale), self.scale,
+            "hinge" if isinstance(self.classifier, LinearSVC) else "logistic",
+            self.classifier.getMaxIter(), self.classifier.getTol(), self.classifier.getFitIntercept())
+        scored = linear_margins(self.rows, models, asked, *keep)
+        return scored.select(
+            *keep, "slot", F.floor((F.col("code") - part * self.folds * 2) / 2).cast("int").alias("fold"),
+            F.pmod("code", F.lit(2)).cast("double").alias("gold"), "margins")
+
+    def accuracies(self, points: list[dict], part: int) -> np.ndarray:
+        """``repetitions x points``: the mean over folds of the accuracy of rows left out."""
+        scored = self.margins([points] * self.repetitions, part)
+        right = scored.select("slot", "fold", F.posexplode(F.transform(
+            "margins", lambda m: ((m > 0) == (F.col("gold") > 0)).cast("long"))).alias("point", "right"))
+        sums = np.zeros((self.repetitions, len(points), self.folds))
+        for r in right.groupBy("slot", "point", "fold").agg(F.sum("right").alias("n")).collect():
+            sums[r.slot, r.point, r.fold] = r.n
+        sizes = self.counts[:, part].sum(-1)[:, None, :]
+        return (sums / np.maximum(sizes, 1)).mean(-1)
+
+
+def _separate_grid_search(df: DataFrame, classifier: Estimator, settings: dict, folds: int, metric: str,
+                          parallelism: int, key: str) -> GridSearch:
+    """Any classifier and metric: a fit of its own per setting and fold."""
     evaluator = MulticlassClassificationEvaluator(metricName=metric)
     with cached(with_fold_weights(assign_folds(df, "label", folds, key), folds)) as ready:
         # A fold is fitted on the rows of all the others.
@@ -339,8 +444,11 @@ def repeated_split_scores(df: DataFrame, classifier: Callable[..., Estimator], s
     """Per repetition: tune on one part, cross-validate the best setting on the other.
 
     ``classifier(n, **params)`` makes an estimator for ``n`` training rows. Scores
-    are averaged over folds, one row per repetition; `mean_metrics` averages those.
+    are averaged over folds, one row per repetition; `mean_metrics` averages those. Two-class
+    linear models are fitted in common passes: one set tunes all repetitions, one scores them.
     """
+    if shares_passes(classifier(1), df):
+        return _shared_split_scores(df, classifier, settings, repetitions, folds, test_size, key)
     results = []
     with cached(shuffle_splits(df, repetitions, test_size, key)) as split:
         for repetition in range(repetitions):
@@ -360,3 +468,31 @@ def repeated_split_scores(df: DataFrame, classifier: Callable[..., Estimator], s
             results.append(
                 mean_metrics(scores, metrics).withColumn("repetition", F.lit(repetition)))
         return settle(append_rows(*results))
+
+
+def _shared_split_scores(df: DataFrame, classifier: Callable[..., Estimator], settings: dict,
+                         repetitions: int, folds: int, test_size: float, key: str) -> DataFrame:
+    parts = ("tune", "evaluate")
+    rows = settle(df.select(F.col(key).alias("_key"), "label", "features")
+                  .withColumn("_row", F.monotonically_increasing_id()))
+    # Vectors stay in place: parts and folds of all repetitions are drawn on narrow rows.
+    split = shuffle_splits(rows.select("_key", "_row", "label"), repetitions, test_size, "_key")
+    ranked = rank_by_hash(split, "_key", by=("repetition", "part", "label"), name="_rank")
+    code = _code((F.col("part") == parts[1]).cast("int"), F.pmod(F.col("_rank") - 1, F.lit(folds)),
+                 F.col("label"), folds)
+    codes = ranked.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("repetition", code.alias("code")))), lambda x: x["code"]).alias("codes"))
+    with cached(rows.join(codes, "_row").select("features", "codes")) as ready:
+        tune_rows = ready.count() - math.ceil(ready.count() * test_size)
+        estimator = classifier(tune_rows * (folds - 1) / folds)
+        shared = SharedFits(ready, estimator, repetitions, folds, len(parts))
+        points = grid_of(estimator, settings, shared.counts[0, 0].sum() * (folds - 1) / folds)
+        # The first of equal scores wins.
+        best = shared.accuracies(points, part=0).argmax(1)
+        predictions = shared.margins([[points[i]] for i in best], 1).select(
+            F.col("slot").alias("repetition"), "fold", "gold",
+            (F.col("margins")[0] > 0).cast("double").alias("pred"))
+        scores = macro_scores(predictions, by=("repetition", "fold"))
+        metrics = [c for c in scores.columns if c not in ("repetition", "fold")]
+        return settle(scores.groupBy("repetition").agg(*[F.avg(m).alias(m) for m in metrics])
+                      .select(*metrics, "repetition"))
