@@ -17,6 +17,7 @@ from postlab.functions.dictionary import TABLE_BYTES, Dictionary, fits
 from postlab.functions.matching import (
     has_more, hits_of, is_whole, longest_first, pieces, places, prefixes, without_overlaps)
 from postlab.functions.tokens import each_token, word_count
+from postlab.operators.subspace import principal_directions, projected
 from postlab.session import cached, join_sized, settle
 
 # The level and the category codes of the filtered lexicon.
@@ -24,6 +25,7 @@ LEVEL = "conservative"
 CATEGORIES = ("pa", "dmc", "asm", "asf", "pr", "om", "qas", "cds")
 
 ROW = "_row"
+NARROW = 1_000  # columns whose covariance matrix is small
 WORD_START = r"^[\p{L}\p{N}_]"
 
 
@@ -179,17 +181,24 @@ def vectorise_hits(matched: DataFrame, terms: list[str], output: str = "lexicon"
 
 
 def reduce_vector(df: DataFrame, k: int, column: str = "lexicon",
-                  output: str = "reduced") -> DataFrame:
-    """Principal components of a narrow vector column; ``k = 0`` leaves it alone.
+                  output: str = "reduced", narrow: int = NARROW) -> DataFrame:
+    """Principal components of a vector column; ``k = 0`` leaves it alone.
 
-    The covariance matrix is columns x columns, so this is for up to about a
-    thousand columns.
+    Up to ``narrow`` columns the covariance matrix is solved; beyond that no matrix of columns x
+    columns is made, and the directions come from passes over the rows, equal up to their sign. There
+    NULL vectors stay NULL.
     """
     if k == 0:
         return df.withColumn(output, F.col(column))
-    mean = StandardScaler(withMean=True, withStd=False, inputCol=column, outputCol="_centred")
     with cached(df) as kept:
+        first = kept.filter(F.col(column).isNotNull()).select(column).first()
+        if first is not None and first[0].size > narrow:
+            directions, middle = principal_directions(kept, k, first[0].size, column)
+            scores = projected(F.col(column), directions, middle)
+            return df.withColumn(output, scores).withColumn(
+                output, F.when(F.col(output).isNotNull(), array_to_vector(output)))
         model = PCA(k=k, inputCol=column, outputCol="_raw").fit(kept)
+        mean = StandardScaler(withMean=True, withStd=False, inputCol=column, outputCol="_centred")
         middle = mean.fit(kept).mean.toArray()
     # The covariance is centred already; taking the mean's own scores off the result keeps
     # every vector sparse.
