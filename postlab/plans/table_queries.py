@@ -35,13 +35,34 @@ def s1_read_posts(spark, sf):
     return read_posts(spark, path)
 
 
-@query(S.with_views(
+@query(_posts(POST_LIST))
+def s1_read_posts_split(spark, sf):
+    """The same files, cut into byte ranges in spite of quoted newlines."""
+    path = write_delimited(
+        views.posts(spark, sf).select(*POST_COLUMNS), workspace(spark), "\t")
+    return read_posts(spark, path, split=True)
+
+
+AUX_ROWS = S.with_views(
     "SELECT f.status_id, f.text, l.categoria FROM v_aux_features f "
-    "JOIN v_aux_labels l ON f.status_id = l.status_id", S.AUX_LABELS, S.AUX_FEATURES))
-def s2_read_aux(spark, sf):
+    "JOIN v_aux_labels l ON f.status_id = l.status_id", S.AUX_LABELS, S.AUX_FEATURES)
+
+
+def _read_aux(spark, sf, split):
     labels = write_delimited(views.aux_labels(spark, sf), workspace(spark), ";")
     features = write_delimited(views.aux_features(spark, sf), workspace(spark), ",")
-    return P.join_labels(read_aux_features(spark, features), read_aux_labels(spark, labels))
+    return P.join_labels(read_aux_features(spark, features, split=split),
+                         read_aux_labels(spark, labels))
+
+
+@query(AUX_ROWS)
+def s2_read_aux(spark, sf):
+    return _read_aux(spark, sf, False)
+
+
+@query(AUX_ROWS)
+def s2_read_aux_split(spark, sf):
+    return _read_aux(spark, sf, True)
 
 
 @query(S.with_views(

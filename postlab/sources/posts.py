@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlab.operators.tables import filter_language, select_columns
+from postlab.sources.splittable import parse_records, read_records
 
 
 def _strings(*names: str) -> T.StructType:
@@ -25,9 +26,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str,
     """Delimited text with doubled-quote escaping, every column a string.
 
     Without a schema the header names the columns; a file without a header needs
-    one. ``multiline`` keeps quoted newlines but makes every file one split, so
-    large tables should come as many part files. Without quoted newlines, switch
-    it off and files split as usual.
+    one. ``multiline`` keeps quoted newlines but makes every file one split;
+    ``read_quoted`` cuts large files. Without quoted newlines, switch it off and files
+    split as usual.
     """
     reader = (
         spark.read.option("sep", sep).option("header", schema is None)
@@ -40,6 +41,29 @@ def read_delimited(spark: SparkSession, path: str, sep: str,
     return read.option("enforceSchema", schema is not None).csv(path)
 
 
+def read_quoted(spark: SparkSession, path: str, sep: str,
+                schema: T.StructType | None = None) -> DataFrame:
+    """The rows of ``read_delimited`` with quoted newlines, but large files are cut into ranges.
+
+    Lines end with a newline, before which one carriage return is dropped; inside of quotes
+    both stay. A file's first line is its header. Files need UTF-8. It takes three passes
+    over the text, so it pays where files are few and larger than a split.
+    """
+    plain = read_delimited(spark, path, sep, schema)
+    records = read_records(spark, path, sep)
+    if records is None:
+        return plain
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n",
+               "nullValue": NULL_MARK, "emptyValue": ""}
+    return parse_records(records, plain.columns, options, schema is None)
+
+
+def _read_table(spark: SparkSession, path: str, sep: str, multiline: bool, split: bool) -> DataFrame:
+    if split:
+        return read_quoted(spark, path, sep)
+    return read_delimited(spark, path, sep, multiline=multiline)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str, header: bool = True) -> str:
     """The writing side of ``read_delimited``: nothing is trimmed, quotes are doubled."""
     (df.write.mode("overwrite")
@@ -51,13 +75,13 @@ def write_delimited(df: DataFrame, path: str, sep: str, header: bool = True) ->
 
 
 def read_posts(spark: SparkSession, path: str, language: str | None = None,
-               multiline: bool = True) -> DataFrame:
+               multiline: bool = True, split: bool = False) -> DataFrame:
     """Tab-separated posts, optionally of one language.
 
-    Files may hold further columns, in any order that all of them share. Test files may
+    ``split`` reads few large files by ``read_quoted``. Files may hold further columns, in any order that all of them share. Test files may
     lack the labels, which are NULL then. No language means all rows.
     """
-    raw = read_delimited(spark, path, "\t", multiline=multiline)
+    raw = _read_table(spark, path, "\t", multiline, split)
     unlabelled = {c: F.lit(None).cast("string") for c in LABELS if c not in raw.columns}
     return filter_language(select_columns(raw.withColumns(unlabelled), POSTS.names), language)
 
@@ -70,5 +94,5 @@ def read_aux_labels(spark: SparkSession, path: str, multiline: bool = False) ->
 
 def read_aux_features(spark: SparkSession, path: str,
                       columns: tuple[str, ...] = ("status_id", "text"),
-                      multiline: bool = True) -> DataFrame:
-    return select_columns(read_delimited(spark, path, ",", multiline=multiline), list(columns))
+                      multiline: bool = True, split: bool = False) -> DataFrame:
+    return select_columns(_read_table(spark, path, ",", multiline, split), list(columns))
