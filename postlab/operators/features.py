@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postlab.functions.dictionary import TABLE_BYTES, Dictionary, fits
 from postlab.functions.tokens import each_token
+from postlab.operators.heavy import candidates
 from postlab.session import cached, join_sized, numbered, settle
 
 # Share of posts a term must occur in, as a percentage: the edge test then stays
@@ -38,15 +39,36 @@ def kept_terms(df: DataFrame, total: Column, tokens: str = "tokens",
             .filter(F.col("df") * 100 >= total * min_df_percent))
 
 
+def narrowed(df: DataFrame, tokens: str, min_df_percent: int, keep: tuple[str, ...],
+             limit: int = TABLE_BYTES) -> DataFrame:
+    """The columns ``keep`` and the tokens that may reach the percentage, written once.
+
+    Without a percentage, or with more candidates than may travel with the plan, all
+    tokens stay.
+    """
+    kept = df.select(*keep, F.col(tokens).alias("_tokens"))
+    if min_df_percent > 0:
+        likely = settle(candidates(df, tokens, min_df_percent))
+        if fits(likely, limit):
+            known = Dictionary(likely.withColumn("one", F.lit(1)), "term", "one")
+            return settle(known.add(kept, "_kept", lambda look: F.filter(
+                "_tokens", lambda t: look(t).isNotNull())).select(
+                    *keep, F.col("_kept").alias("_tokens")))
+    return settle(kept)
+
+
 def bag_of_words(df: DataFrame, tokens: str = "tokens", key: str = "id",
                  min_df_percent: int = MIN_DF_PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, term, tf, df)`` in long form, plus post columns to ``keep``.
 
-    The kept terms are found first; their table is broadcast if it measures small
-    enough. Other terms are gone, and the rest is counted, before posts are shuffled.
+    Bounded summaries of the tasks tell the terms that can be kept; posts are cut to those
+    row by row, so neither the shuffle of the counts nor that of the posts depends on
+    the vocabulary. The table of kept terms is broadcast if it measures small enough.
     """
-    frequency = settle(kept_terms(df, row_count(df), tokens, min_df_percent))
-    occurrences = df.select(key, *keep, each_token(tokens).alias("term"))
+    total = row_count(df)
+    rows = narrowed(df, tokens, min_df_percent, (key, *keep))
+    frequency = settle(kept_terms(rows, total, "_tokens", min_df_percent))
+    occurrences = rows.select(key, *keep, each_token("_tokens").alias("term"))
     return (join_sized(occurrences, frequency, "term")
             .groupBy(key, *keep, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
             .select(key, *keep, "term", "tf", "df"))
