@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
+RANGE_ROWS = 2_000_000  # that one task sorts
 
 
 def workspace(spark: SparkSession) -> str:
@@ -152,16 +153,29 @@ def removed(df: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_ranges(source: DataFrame, *order: Column | str, name: str) -> DataFrame:
+    """A settled frame in range partitions, numbered in ``name``, as many as its rows need.
+
+    Written again, so that whatever is counted and ranked speaks of the same partitions.
+    Windows over ``name`` then run in as many tasks.
+    """
+    usual = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(usual, -(-source.count() // RANGE_ROWS))
+    placed = settle(source.repartitionByRange(parts, *order)
+                    .withColumn(name, F.spark_partition_id()))
+    return placed if parts == usual else placed.repartition(parts, name)
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """Rows numbered from 0 in a total order, without one task that sees them all.
 
     Range partitions number their own rows; the numbers in front of each come from
     the partitions' sizes, one row per partition.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Written once, so that sizes and numbers speak of the same partitions.
-    placed = settle(df.repartitionByRange(parts, *order)
-                    .withColumn("_part", F.spark_partition_id()))
+    # Counted and sampled for its ranges from files, so the frame is computed once.
+    source = settle(df)
+    placed = in_ranges(source, *order, name="_part")
+    removed(source)
     along = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select(
         "_part", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"))
