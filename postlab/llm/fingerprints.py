@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postlab.functions.binding import let
+from postlab.session import join_sized, numbered, settle
 
 SHINGLE_WORDS = 5
 K = 128
 NEIGHBOURS = 6  # ids that agree above these bits share a bucket
-SINGLE_TASK_ROWS = 4096
-FANOUT_BITS = 10
+CROWD = 4096  # rows of a bucket, beyond which it is split by hash
+HASH_BITS = 20
 
 
 def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
@@ -89,58 +90,53 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 def merge_groups(df: DataFrame, key: str, sketch: str, k: int = K) -> DataFrame:
     """``key, fingerprint`` of all rows of a key; a hot key is cut to k hashes before the shuffle."""
-    hashes = df.select(key, F.explode(sketch).alias("hash"))
-    ranked = hashes.withColumn("rank", F.dense_rank().over(
+    hashes = df.select(key, F.explode(sketch).alias("hash")).distinct()
+    ranked = hashes.withColumn("rank", F.row_number().over(
         Window.partitionBy(key).orderBy("hash"))).filter(F.col("rank") <= k)
     kept = ranked.groupBy(key).agg(F.sort_array(F.collect_set("hash")).alias("fingerprint"))
     return df.select(key).distinct().join(kept, key, "left").withColumn(
         "fingerprint", F.coalesce("fingerprint", F.array().cast("array<bigint>")))
 
 
-def successors(keys: DataFrame) -> DataFrame:
-    """``key, following``: the next larger key; null for the largest.
-
-    Keys below a common prefix are at most 2^10, whatever their distribution, so
-    every window holds few rows; the prefixes are ordered the same way, until so
-    few are left that one task may order them.
-    """
-    if keys.count() <= SINGLE_TASK_ROWS:
-        return keys.withColumn("following", F.lead("key").over(Window.orderBy("key")))
-    above = F.shiftright("key", FANOUT_BITS)
-    near = keys.withColumn("above", above).withColumn(
-        "following", F.lead("key").over(Window.partitionBy("above").orderBy("key")))
-    first = near.groupBy("above").agg(F.min("key").alias("first"))
-    steps = successors(first.select(F.col("above").alias("key")))
-    entry = steps.join(first, steps.following == first.above).select(
-        F.col("key").alias("above"), "first")
-    return near.join(entry, "above", "left").select(
-        "key", F.coalesce("following", "first").alias("following"))
-
-
 def with_following(df: DataFrame, id: str, payload: list[str]) -> DataFrame:
     """Each row with the payload of the next row by ascending id (``next_*``), the last with the first's.
 
     ``id`` must be an integer; nulls come first, equal ids follow one another in the
     order of the payload's hash. Rows are moved once, by a bucket of neighbouring ids;
-    just the last row of a bucket looks up the first of the next bucket.
+    just the last row of a bucket looks up the first of the next bucket. A bucket that
+    repeated or null ids crowd is split by id and leading bits of the hash.
     """
     # Null ids share the bucket in front of all others.
     bucket = F.coalesce(F.shiftright(F.col(id).cast("bigint"), NEIGHBOURS),
                         F.lit(-(1 << (63 - NEIGHBOURS)) - 1))
+    hashed = F.xxhash64(*payload)
+    crowds = settle(df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+                    .filter(F.col("n") > CROWD).select("_bucket", F.lit(True).alias("_crowd")))
     rows = df.select(id, *payload).withColumn("_bucket", bucket)
-    order = Window.partitionBy("_bucket").orderBy(
-        F.asc_nulls_first(id), F.xxhash64(*payload), *payload)
+    if crowds.isEmpty():
+        rows = rows.withColumn("_slice", F.lit(0).cast("bigint"))
+    else:
+        inside = F.coalesce(F.col(id).cast("bigint").bitwiseAND(F.lit((1 << NEIGHBOURS) - 1)), F.lit(0))
+        leading = F.shiftright(hashed, 64 - HASH_BITS) + (1 << (HASH_BITS - 1))
+        # In the order of ids and hashes.
+        part = F.shiftleft(inside, HASH_BITS) + leading
+        rows = join_sized(rows, crowds, "_bucket", "left").withColumn(
+            "_slice", F.when(F.col("_crowd"), part).otherwise(F.lit(0))).drop("_crowd")
+    cell = ["_bucket", "_slice"]
+    order = Window.partitionBy(*cell).orderBy(F.asc_nulls_first(id), hashed, *payload)
     follow = {f"next_{c}": F.lead(c).over(order) for c in payload}
     # Not by row number: a rank limit would keep the three branches from sharing one exchange.
     near = rows.withColumns(follow | {"_less": F.lag(F.lit(True)).over(order),
                                       "_more": F.lead(F.lit(True)).over(order)})
     inner = near.filter("_more")
     ends = near.filter("_more IS NULL").drop(*follow)
-    heads = near.filter("_less IS NULL").select("_bucket", *payload).toDF(
-        "_following", *follow)
-    steps = successors(df.select(bucket.alias("key")).distinct())
-    lowest = df.agg(F.min(bucket)).first()[0]
-    ring = steps.select(F.col("key").alias("_bucket"),
-                        F.coalesce("following", F.lit(lowest)).alias("_following"))
+    heads = near.filter("_less IS NULL").select(*cell, *payload).toDF(
+        "_next_bucket", "_next_slice", *follow)
+    ring = numbered(rows.select(*cell).distinct(), *map(F.col, cell))
+    size = ring.count()
+    following = ring.select(
+        F.col("_bucket").alias("_next_bucket"), F.col("_slice").alias("_next_slice"),
+        F.pmod(F.col("position") - 1, F.lit(max(size, 1))).alias("position"))
     return inner.select(id, *payload, *follow).unionByName(
-        ends.join(ring, "_bucket").join(heads, "_following").select(id, *payload, *follow))
+        ends.join(ring.join(following, "position").drop("position"), cell)
+        .join(heads, ["_next_bucket", "_next_slice"]).select(id, *payload, *follow))

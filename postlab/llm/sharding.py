@@ -3,7 +3,8 @@
 Rows are range-partitioned by id. Each partition sums its bytes; the prefix sum
 over those totals (one row per partition) tells every row how many bytes come
 before it in the whole table, and equal targets cut that line. Only ids and sizes
-are shuffled, never texts, and no shard or key gathers in one task.
+are shuffled, never texts, and no shard or key gathers in one task: ranges are as many as
+the rows need, and rows equal in everything are cut between by their place in the input.
 
 Null text has no bytes (size 1). Null ids come first. Equal ids follow one another
 in the order of size and checksum; rows equal in all of these are interchangeable.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postlab.session import settle
+from postlab.session import in_ranges, removed, settle
 
 
 def sizes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,12 +30,11 @@ def sizes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
 def prefix_sums(sized: DataFrame) -> DataFrame:
     """Add ``before`` (bytes), ``position`` (rows) in front of each row, and ``total`` bytes."""
-    spark = sized.sparkSession
     order = ["doc_id", "size", "text_crc32"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Written once: the partition of a row must be the same in the totals and in the sums.
-    placed = settle(sized.repartitionByRange(parts, *order)
-                    .withColumn("part", F.spark_partition_id()))
+    # Written first, so texts are read once and places do not change.
+    source = settle(sized.withColumn("place", F.monotonically_increasing_id()))
+    placed = in_ranges(source, *order, "place", name="part")
+    removed(source)
     along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"),
                                         F.count(F.lit(1)).alias("rows"))
@@ -43,12 +43,12 @@ def prefix_sums(sized: DataFrame) -> DataFrame:
         "part", F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("rows").over(along), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("part").orderBy(*order)
+    inside = Window.partitionBy("part").orderBy(*order, "place")
     local = placed.withColumns({
         "local": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         "number": F.row_number().over(inside)})
     return local.join(F.broadcast(offsets), "part").select(
-        *order, (F.col("bytes_before") + F.col("local") - F.col("size")).alias("before"),
+        *order, "part", (F.col("bytes_before") + F.col("local") - F.col("size")).alias("before"),
         (F.col("rows_before") + F.col("number") - 1).alias("position"), "total")
 
 

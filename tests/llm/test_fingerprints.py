@@ -33,19 +33,32 @@ def test_parts_merge_to_the_whole(spark):
 
 
 def test_following_row(spark, monkeypatch):
-    ids = [0, 1, 63, 64, 5000, -3, 2**40, 7_000_000, None, 5000]
+    ids = [0, 1, 63, 64, 5000, -3, 2**40, 7_000_000, *[None] * 9, *[5000] * 9, 5001, -3, -1]
     rows = [(i, f"t{i}{k}") for k, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for most in (P.SINGLE_TASK_ROWS, 4):
-        monkeypatch.setattr(P, "SINGLE_TASK_ROWS", most)
+    hashes = dict(df.select("text", F.xxhash64("text")).collect())
+    for most in (P.CROWD, 4, 1):
+        monkeypatch.setattr(P, "CROWD", most)
         got = {r.text: r.next_text for r in P.with_following(df, "doc_id", ["text"]).collect()}
         assert len(got) == len(rows)
-        at, seen, ids_of = "tNone8", [], {t: i for i, t in rows}
-        for _ in rows:
-            seen.append(at)
-            at = got[at]
-        assert at == "tNone8" and len(set(seen)) == len(rows)
-        assert [ids_of[t] for t in seen] == [None, *sorted(i for i in ids if i is not None)]
+        ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+        texts = [t for _, t in ordered]
+        assert got == dict(zip(texts, [*texts[1:], texts[0]]))
+
+
+def test_a_crowd_of_one_id_spreads_over_tasks(spark, monkeypatch):
+    """Most rows have no id: no window task holds more than a few of them."""
+    monkeypatch.setattr(P, "CROWD", 100)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    got = P.with_following(df, "doc_id", ["text"])
+    assert got.count() == 3000 and got.select("next_text").distinct().count() == 3000
+    assert got.select(F.shiftright(F.xxhash64("text"), 44)).distinct().count() > 2900
+
+
+def test_copies_are_merged_before_they_are_ranked(spark):
+    df = spark.range(5000).select(F.lit("k").alias("key"), F.array(F.col("id") % 3, F.lit(9)).alias("sketch"))
+    assert P.merge_groups(df, "key", "sketch", k=3).first().fingerprint == [0, 1, 2]
 
 
 def test_one_row_follows_itself_and_none_follow_in_an_empty_table(spark):

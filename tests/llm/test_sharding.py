@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from postlab.llm import sharding
 
 
@@ -27,3 +29,16 @@ def test_equals_a_plain_walk(spark):
 def test_a_row_longer_than_a_shard(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b" * 100_000), (3, "c")], "doc_id long, text string")
     assert [r.shard for r in sharding.shard_by_bytes(df, 16).orderBy("doc_id").collect()] == [0, 0, 15]
+
+
+def test_equal_rows_fall_into_many_ranges(spark, monkeypatch):
+    """One row repeated thousands of times: ranges cut between the copies."""
+    monkeypatch.setattr("postlab.session.RANGE_ROWS", 500)
+    rows = [(None, "same")] * 4000 + [(1, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    summed = sharding.prefix_sums(sharding.sizes(df))
+    positions = sorted(r.position for r in summed.collect())
+    assert positions == list(range(4001))
+    assert summed.groupBy("part").count().agg(F.max("count")).first()[0] < 1500
+    got = sorted((tuple(r) for r in sharding.shard_by_bytes(df, 8).collect()), key=repr)
+    assert got == expected(rows, 8)
