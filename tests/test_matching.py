@@ -178,3 +178,23 @@ def test_overlaps_are_dropped_across_blocks(spark, spans):
             free, _ = start + length, kept.append(f"{start}+{length}")
     df = spark.createDataFrame([([(s, n, f"{s}+{n}") for s, n in spans],)], "x " + M.PLACE)
     assert df.select(M.without_overlaps(F.col("x")).alias("hits")).first().hits == kept
+
+
+def test_chunks_find_what_the_look_up_finds(spark, monkeypatch):
+    """Terms of up to five words, chunks of a few rows, long words; nothing broadcast but by its size."""
+    from postlab.operators import chunks
+
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 400)
+    word = "ä" * 20
+    texts = [f"a b c d e {word} x" * (i % 3 + 1) + f" w{i} w{i + 1}, a b" for i in range(60)] + [None, "", "!!"]
+    posts = spark.createDataFrame([(str(i % 50), t) for i, t in enumerate(texts)], "id string, text string")
+    terms = ["a b c d e", "b c", f"e {word} x", word, "a b c", "w7 w8, a", "d", "nowhere at all"]
+    lexicon = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = sorted((r.id, r.text or "", r.hits) for r in L.lexicon_hits(posts, lexicon, limit=0).collect())
+    assert got == sorted((str(i % 50), t or "", by_regex(t or "", terms)) for i, t in enumerate(texts))
+    plans = []
+    kept = L.settle
+    monkeypatch.setattr(L, "settle", lambda df: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    L.lexicon_hits(posts, lexicon, limit=0)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
