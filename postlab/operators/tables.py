@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from postlab.functions.dictionary import TABLE_BYTES, Dictionary, fits
 from postlab.functions.tokens import drop_noise_tokens, each_token, tokenize
-from postlab.session import join_sized, settle
+from postlab.operators.chunks import mapped
+from postlab.session import settle
 
 # Label names and their codes.
 TASK1_CODES = {"non-sexist": 0, "sexist": 1}
@@ -147,23 +148,16 @@ def replace_tokens_join(df: DataFrame, dictionary: DataFrame, key: str = "id",
     Of several entries for a term the smallest replacement counts; tokens without one stay, and
     a NULL list stays NULL. Every row keeps its own tokens, with null and repeated ids as
     well; ``key`` is not used to find them. A dictionary that measures within ``limit``
-    bytes is looked up row by row, without a shuffle. For a larger one the tokens travel with
-    their position under a row number and come back in order, with the same result.
+    bytes is looked up row by row, without a shuffle. For a larger one rows and the entries
+    they use meet in chunks, with the same result.
     """
     single = settle(dictionary.filter(F.col("term").isNotNull()).groupBy("term").agg(
         F.min("replacement").alias("replacement")).filter("replacement IS NOT NULL"))
     if fits(single, limit):
         return Dictionary(single, "term", "replacement").add(
             df, tokens, lambda look: F.transform(tokens, lambda t: F.coalesce(look(t), t)))
-    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
-    each = rows.select("_row", F.posexplode(tokens).alias("_pos", "term"))
-    replaced = join_sized(each, single, "term", "left")
-    rebuilt = replaced.groupBy("_row").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("replacement", "term").alias("t")))),
-        lambda s: s["t"]).alias("_new"))
-    # Empty and NULL lists have no tokens and stay as they are.
-    return (rows.join(rebuilt, "_row", "left")
-            .withColumn(tokens, F.coalesce("_new", tokens)).drop("_new", "_row"))
+    found = mapped(df, F.col(tokens), single, F.col("replacement"), "_new")
+    return found.withColumn(tokens, F.zip_with("_new", tokens, lambda new, t: F.coalesce(new, t))).drop("_new")
 
 
 def tokenize_for_lexicon(df: DataFrame, dictionary: DataFrame, text: str = "text",
@@ -183,5 +177,7 @@ def intersect_tokens(df: DataFrame, terms: DataFrame, key: str = "id",
             df.select(key, tokens), tokens,
             lambda look: F.filter(F.array_distinct(tokens), lambda t: look(t).isNotNull()))
         return own.select(key, each_token(tokens).alias("term"))
-    own = df.select(key, F.explode(F.array_distinct(tokens)).alias("term"))
-    return join_sized(own, single, "term", "left_semi").select(key, "term")
+    own = mapped(df.select(key, F.array_distinct(tokens).alias(tokens)), F.col(tokens),
+                 single, F.lit(True), "_in")
+    kept = F.filter(tokens, lambda t, i: F.get("_in", i).isNotNull())
+    return own.select(key, F.explode(kept).alias("term"))

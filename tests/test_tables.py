@@ -182,3 +182,22 @@ def test_dictionary_of_many_entries(spark):
     assert all(r.v == (r.id if r.id < 5000 else None) for r in out)
     empty = Dictionary(entries.limit(0), "k", "v")
     assert empty.add(df, "v", lambda at: at(F.col("k"))).filter("v IS NOT NULL").count() == 0
+
+
+def test_large_dictionaries_are_asked_by_chunk(spark, monkeypatch):
+    """A common token reaches the join once per chunk, and the dictionary is not copied."""
+    from postlab.operators import chunks
+
+    rows = [(i % 90, ["hot", f"t{i}", "hot"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    dictionary = spark.createDataFrame([("hot", "cold")] + [(f"t{i}", f"s{i}") for i in range(0, 900, 2)],
+                                       "term string, replacement string")
+    asked = []
+    kept = chunks.answers
+    monkeypatch.setattr(chunks, "answers", lambda a, t: asked.append((a, t)) or kept(a, t))
+    got = P.replace_tokens_join(df, dictionary, limit=0).collect()
+    assert sorted(map(repr, got)) == sorted(repr((i % 90, ["cold", f"s{i}" if i % 2 == 0 else f"t{i}", "cold"])).replace(
+        "(", "Row(id=", 1).replace(", [", ", tokens=[", 1) for i in range(300))
+    (keys, table), = asked
+    hot = keys.distinct().filter(F.col(chunks.TERM) == "hot").count()
+    assert hot == keys.select(chunks.CHUNK).distinct().count() < 300 and table.count() == 451
