@@ -145,3 +145,17 @@ def test_rows_of_one_id_keep_their_own_sequences_and_scores(spark):
     assert len(scores) == 5
     by_id = sorted(round(abs(r.scores[0]), 6) for r in scores if r.id is None)
     assert len(by_id) == 2 and by_id[0] != by_id[1]
+
+
+def test_svd_cleans_its_texts_once(spark):
+    rows = [(str(i), ["a", "b"] if i % 2 else ["b", "c", f"w{i}"]) for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(tokens):
+        seen.add(1)
+        return tokens
+
+    df = spark.createDataFrame(rows, "id string, tokens array<string>").withColumn("tokens", cut("tokens"))
+    assert len(X.svd_scores(df, 2).collect()) == len(rows)
+    assert seen.value == len(rows)
