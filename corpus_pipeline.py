@@ -20,16 +20,17 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter or far from every language go.
 
-    The cutoffs come from the labelled texts; a text that is recognised as the language of its
+    Profiles and cutoffs come from all labelled texts; a text that is recognised as the language of its
     own label passes a lower one.
     """
     rows = docs.select(F.struct("*").alias("row"), "text", "lang")
-    sample = settle(language.sampled_texts(docs))
-    profiles = language.learn(sample)
+    labelled = language.labelled_texts(docs)
+    totals = settle(language.gram_totals(labelled))
+    profiles = language.profiles_of(totals)
     if not profiles.names:  # nothing to be far from
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     least = F.lit(language.LEAST_SCORE)
-    for name, score in language.least_scores(sample).items():
+    for name, score in language.least_scores(labelled, totals).items():
         least = F.when(F.col("lang_pred") == name, score).otherwise(least)
     least = F.when(F.col("lang_pred") == F.col("lang"), language.LEAST_SCORE).otherwise(least)
     known = language.predict(rows, profiles)

@@ -181,40 +181,64 @@ def sampled_texts(df: DataFrame, text: str = "text", lang: str = "lang", id: str
                       "left_semi")
 
 
-def learn(sample: DataFrame) -> Profiles:
-    """Profiles of all languages of ``sampled_texts``."""
+def labelled_texts(df: DataFrame, text: str = "text", lang: str = "lang",
+                   id: str = "doc_id") -> DataFrame:
+    """``id, lang, text``: every text with a language in ``lang``."""
+    return df.select(F.col(id).alias("id"), F.col(lang).alias("lang"),
+                     F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+
+
+def halves() -> Column:
+    """0 or 1 by the id, the half in which a text is counted."""
+    return F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")
+
+
+def gram_totals(sample: DataFrame) -> DataFrame:
+    """``lang, half, gram, n``: n-grams counted over all rows of ``id, lang, text``."""
     ship_package(sample.sparkSession)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, group in batch.groupby("lang"):
+            for (name, half), group in batch.groupby(["lang", "half"]):
                 for some in chunks(group["text"].tolist()):
                     _, gram, count = gram_counts(some)
                     total = pd.Series(count).groupby(gram).sum()
-                    yield pd.DataFrame({"lang": name, "gram": total.index.to_numpy(np.int64),
+                    yield pd.DataFrame({"lang": name, "half": np.int32(half), "gram": total.index.to_numpy(np.int64),
                                         "n": total.to_numpy(np.int64)})
 
-    counts = (sample.select("lang", "text").mapInPandas(counted, "lang string, gram long, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    return (sample.select("lang", halves().alias("half"), "text")
+            .mapInPandas(counted, "lang string, half int, gram long, n long")
+            .groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")))
+
+
+def profiles_of(totals: DataFrame) -> Profiles:
+    """Profiles of all languages of ``gram_totals``."""
+    counts = totals.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= PROFILE)
     return Profiles([(r.lang, r.gram, r["rank"] - 1) for r in ranked.collect()])
 
 
+def learn(sample: DataFrame) -> Profiles:
+    """Profiles of all languages of ``sampled_texts`` or ``labelled_texts``."""
+    return profiles_of(gram_totals(sample))
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id",
           rows: int = TRAIN_ROWS) -> Profiles:
     """Profiles of all languages in ``lang``, from at most ``rows`` texts of each."""
     return learn(sampled_texts(df, text, lang, id, rows))
 
 
-def least_scores(sample: DataFrame) -> dict[str, float]:
-    """Cutoff per language from ``sampled_texts``; below it a text is in none of the languages.
+def least_scores(sample: DataFrame, totals: DataFrame | None = None) -> dict[str, float]:
+    """Cutoff per language from labelled texts; below it a text is in none of the languages.
 
     Either half of the texts is scored by profiles of the other half; texts that are not
-    recognised there do not count, and a language without any has no cutoff here.
+    recognised there do not count, and a language without any has no cutoff here. ``totals``
+    are the texts' `gram_totals`, where they are known.
     """
-    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))
-    scored = [predict(sample.filter(half == own), learn(sample.filter(half != own)))
+    totals = gram_totals(sample) if totals is None else totals
+    scored = [predict(sample.filter(halves() == own), profiles_of(totals.filter(F.col("half") != own)))
               for own in (0, 1)]
     least = scored[0].unionByName(scored[1]).filter("lang_pred = lang").groupBy("lang").agg(
         F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))

@@ -77,3 +77,18 @@ def test_texts_of_other_languages_go(spark):
     kept = corpus_pipeline.language_id(spark, docs.unionByName(foreign), "")
     assert kept.filter("doc_id < 0").count() == 0
     assert kept.filter("doc_id >= 0").count() == docs.count()
+
+
+def test_pipeline_learns_from_every_labelled_text(spark, monkeypatch):
+    """More texts than a sample held; null and repeated ids count as well."""
+    import corpus_pipeline
+
+    rows = [(None if i % 10 == 0 else i // 2, f"the cat and the dog went home {i}", "en") for i in range(L.TRAIN_ROWS + 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    read = []
+    kept = L.gram_totals
+    monkeypatch.setattr(L, "gram_totals", lambda sample: read.append(sample.count()) or kept(sample))
+    corpus_pipeline.language_id(spark, docs, "")
+    assert read == [len(rows)]
+    totals = kept(L.labelled_texts(docs)).groupBy("gram").agg(F.sum("n").alias("n"))
+    assert totals.agg(F.max("n")).first()[0] >= 3 * len(rows)
