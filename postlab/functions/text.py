@@ -167,19 +167,29 @@ def strip_accents(text: Column) -> Column:
 
     Texts that are ASCII already have as many bytes as characters and pass as is.
     """
-    def fold(x: Column) -> Column:
-        source, target = latin_fold()
-        spelled = x
+    source, target = latin_fold()
+
+    def spelled(x: Column) -> Column:
         for letter, letters in MULTI_LETTER.items():
-            spelled = F.replace(spelled, F.lit(letter), F.lit(letters))
-        rare = spelled
+            x = F.replace(x, F.lit(letter), F.lit(letters))
+        rare = x
         for letter, letters in rare_letters().items():
             rare = F.replace(rare, F.lit(letter), F.lit(letters))
         # The short class holds all of the long one and tells most texts apart.
         has_rare = x.rlike(RARE_BLOCKS) & x.rlike(f"[{''.join(rare_letters())}]")
-        spelled = F.when(has_rare, rare).otherwise(spelled)
-        return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(
-            F.translate(spelled, source, target))
+        return F.translate(F.when(has_rare, rare).otherwise(x), source, target)
+
+    def by_pieces(x: Column) -> Column:
+        # Each letter has its own spelling, so a run without ASCII is folded by itself.
+        runs = F.regexp_extract_all(x, F.lit(r"[\x00-\x7F]++|[^\x00-\x7F]++"), F.lit(0))
+        return F.array_join(F.transform(
+            runs, lambda p: F.when(p < F.lit("\x80"), p).otherwise(spelled(p))), "")
+
+    def fold(x: Column) -> Column:
+        # One look tells the texts that hold no letter of several ASCII letters.
+        long = x.rlike(f"[{''.join(MULTI_LETTER)}{RARE_BLOCKS[1:]}")
+        return (F.when(F.octet_length(x) == F.char_length(x), x)
+                .when(long, by_pieces(x)).otherwise(F.translate(x, source, target)))
 
     return let(text, fold)
 
@@ -222,8 +232,9 @@ def replace_emoji(text: Column) -> Column:
     letters |= {chr(0xE0000 + i): chr(i) for i in range(0x20, 0x7F)}
     dropped = "\U0001F3F4\U000E007F"  # of a flag of tags: the black flag and the last tag
     # Plain runs hold digits too, unless they open a keycap. A class of many ranges is slow, so
-    # what lies between the first emoji points, which is most of all text, is told by a short one.
-    plain = r"[\x00-\x22\x24-\x29\x2B-\x2F\x3A-\xA8\xAA-\xAD\xAF-\x{203B}]"
+    # what lies between the first emoji points, which is most of all text, is told by a short one:
+    # single characters below U+0100 are looked up at once, each range is a test of its own.
+    plain = r"[^0123456789#*\xA9\xAE\x{203C}-\x{10FFFF}]"
     other = rf"(?:{plain}++|[0-9#*](?!\x{{FE0F}}?\x{{20E3}})|[^0-9#*{_POINTS}])++"
 
     def sign(p: Column) -> Column:

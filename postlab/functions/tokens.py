@@ -70,8 +70,12 @@ def replace_tokens(tokens: Column, dictionary: dict[str, str]) -> Column:
 
 def drop_noise_tokens(tokens: Column) -> Column:
     """Remove tokens that contain ``u00``, have length one or are all digits."""
+    def digits(t: Column) -> Column:
+        # Most tokens start with an ASCII letter and need no pattern.
+        return ~(((t >= "a") & (t < "{")) | ((t >= "A") & (t < "["))) & t.rlike(r"^\p{Nd}+$")
+
     return F.filter(tokens, lambda t: ~(
-        F.contains(t, F.lit("u00")) | (F.char_length(t) == 1) | t.rlike(r"^\p{Nd}+$")))
+        F.contains(t, F.lit("u00")) | (F.char_length(t) == 1) | digits(t)))
 
 
 def tokenize_for_lexicon(text: Column, dictionary: dict[str, str],

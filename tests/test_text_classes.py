@@ -3,8 +3,10 @@
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from postlab.functions import text as T
+from postlab.functions import tokens as K
 
 
 @pytest.mark.parametrize("raw, expected", [
@@ -33,3 +35,20 @@ def test_all_latin_letters(apply):
     letters = [chr(c) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]
                if unicodedata.category(chr(c))[0] == "L"]
     assert [x for x in apply(T.strip_accents, letters) if not x.isascii()] == []
+
+
+def test_long_letters_are_folded_without_the_plain_text_around_them(spark):
+    """Texts are not searched for every letter of several letters one after the other."""
+    mixed = "plain ascii, ñandú Straße «œuvre» ĳ Ŋ… x̂ 日本 😀 end"
+    rows = spark.createDataFrame([(mixed,), ("ñ" * 3,), (None,), ("",)], "t string")
+    folded = rows.select(T.strip_accents(F.col("t")).alias("x"))
+    assert [r.x for r in folded.collect()] == [
+        "plain ascii, nandu Strasse <<oeuvre>> ij NG... x 日本 😀 end", "nnn", None, ""]
+    # Pieces are cut first; before, the whole text was searched.
+    assert "regexp_extract_all" in folded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digits_of_any_script_are_noise_and_words_with_digits_are_not(apply):
+    tokens = ["12", "a1", "A1", "٣٤", "{1", "Z9", "x", "u00ab", "[2", "99x", "é1"]
+    kept = apply(lambda c: K.drop_noise_tokens(F.split(c, " ")), [" ".join(tokens)])
+    assert kept == [["a1", "A1", "{1", "Z9", "[2", "99x", "é1"]]
