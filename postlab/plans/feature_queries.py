@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +13,7 @@ from postlab.operators.tables import presence_flags
 from postlab.plans import checksql as S
 from postlab.plans import views
 from postlab.plans.registry import query
+from postlab.session import settle
 
 TOKENS = S.tokens("lower(text)")
 
@@ -47,9 +47,10 @@ def _sum(values):
     "GROUP BY p.id", S.POSTS, COUNTED))
 def f1_tfidf_vector(spark, sf):
     """The vector form; per post the sum of its weights, comparable with the long form."""
-    posts = _tokens(spark, sf)
-    weighed = X.fit_tfidf(posts).transform(posts)
-    return weighed.select("id", F.round(_sum(vector_to_array("features")), 4).alias("total_weight"))
+    # Texts are cut once, for this file; the fit and the scores read the tokens.
+    posts = settle(_tokens(spark, sf))
+    weighed = X.fit_tfidf(posts, keep=False).transform(posts)
+    return weighed.select("id", F.round(_sum(F.unwrap_udt("features")["values"]), 4).alias("total_weight"))
 
 
 @query(S.with_views("SELECT id, term, tf, df FROM tf JOIN df USING (term)", S.POSTS, COUNTED))
@@ -128,17 +129,19 @@ def f7_feature_union(spark, sf):
     scaled = X.standard_scale(plain, ["favorite_count", "followers_count"])
     lexicon = views.lexicon(spark, sf)
     matched = L.lexicon_hits(scaled, lexicon, key="status_id")
-    ready = L.vectorise_hits(matched, L.term_list(lexicon)).withColumn(
-        "tokens", K.tokenize(F.lower("text")))
-    text = X.fit_tfidf(ready, output="tfidf").transform(ready)
+    # Matched and cut once, for this file; the fits and the vectors read it.
+    ready = settle(L.vectorise_hits(matched, L.term_list(lexicon)).withColumn(
+        "tokens", K.tokenize(F.lower("text"))).drop("text", "hits"))
+    text = X.fit_tfidf(ready, output="tfidf", keep=False).transform(ready)
     union = X.feature_union(
         numbers=["favorite_count", "followers_count"], categories=["media_type", "reply"],
         vectors=["tfidf", "lexicon"])
     joined = union.fit(text).transform(text)
-    parts = vector_to_array("features")
+    # Of a sparse vector the values that are not zero.
+    vector = F.unwrap_udt("features")
     return joined.select(
-        "status_id", F.size(parts).cast("bigint").alias("width"),
-        F.round(_sum(parts), 4).alias("total"))
+        "status_id", F.coalesce(vector["size"], F.size(vector["values"])).cast("bigint").alias("width"),
+        F.round(_sum(vector["values"]), 4).alias("total"))
 
 
 LIST = "SELECT id, {0} AS tokens FROM v_posts".format(TOKENS)

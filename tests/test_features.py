@@ -159,3 +159,31 @@ def test_svd_cleans_its_texts_once(spark):
     df = spark.createDataFrame(rows, "id string, tokens array<string>").withColumn("tokens", cut("tokens"))
     assert len(X.svd_scores(df, 2).collect()) == len(rows)
     assert seen.value == len(rows)
+
+
+def test_the_fit_counts_no_term_that_cannot_be_kept(spark, monkeypatch):
+    """The library's count of the whole vocabulary is used only without a share."""
+    rows = [(["a", "b", "b", f"own{i}"] if i % 2 else ["a", f"own{i}"],) for i in range(200)]
+    posts = spark.createDataFrame(rows, "tokens array<string>")
+    wanted = X.CountVectorizer(inputCol="tokens", outputCol="_tf", minDF=0.01, vocabSize=X.NO_LIMIT).fit(posts)
+    idf = X.IDF(inputCol="_tf", outputCol="_idf").fit(wanted.transform(posts)).idf.toArray() + 1
+
+    def never(*args):
+        raise AssertionError("all terms counted")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(X, "_all_terms", never)
+        counts, scale = X.fit_tfidf(posts).stages
+    got = dict(zip(counts.vocabulary, scale.getScalingVec().toArray()))
+    assert set(got) == {"a", "b"}
+    assert got == pytest.approx(dict(zip(wanted.vocabulary, idf)))
+    # A number of posts instead of a share.
+    assert set(X.fit_tfidf(posts, min_df=101).stages[0].vocabulary) == {"a"}
+
+
+def test_repeated_and_null_ids_share_counts_of_cut_posts(spark):
+    posts = spark.createDataFrame(
+        [("1", ["a", "a", "b"]), ("1", ["a"]), (None, ["b"]), (None, ["b", None]), ("2", None)],
+        "id string, tokens array<string>")
+    got = {(r.id, r.term): (r.tf, r.df) for r in X.bag_of_words(posts).collect()}
+    assert got == {("1", "a"): (3, 2), ("1", "b"): (1, 3), (None, "b"): (2, 3)}
