@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -165,3 +165,41 @@ def test_two_heads(points):
     assert scored.filter("gold1 = pred1").count() == 70
     assert scored.filter("gold2 >= 0 and gold2 <> pred2").count() == 0
     assert len(scored.first().logits2) == 3
+
+
+def noise(spark, rows, parts):
+    return spark.range(0, rows, 1, parts).select(
+        "id", array_to_vector(F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(97)).cast("double")
+                                        for i in range(4)])).alias("features"),
+        F.pmod(F.xxhash64("id"), F.lit(2)).cast("double").alias("label"))
+
+
+def test_forests_of_a_search_are_fitted_in_few_tasks(spark, monkeypatch):
+    seen = []
+
+    def fit(self, rows, *_):
+        seen.append((rows.rdd.getNumPartitions(), self.getCacheNodeIds()))
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", fit)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        with pytest.raises(RuntimeError, match="seen"):
+            M.grid_search(noise(spark, 200, 40), M.random_forest(2), {"numTrees": [2, 3]}, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert set(seen) == {(1, True)}
+
+
+def test_frames_of_few_tasks_keep_them(spark):
+    rows = noise(spark, 200, 8)
+    assert M.few_tasks(rows, 200) is rows
+    assert M.few_tasks(noise(spark, 200, 40), 3 * M.FOREST_ROWS).rdd.getNumPartitions() == 3
+
+
+def test_kept_nodes_give_the_same_trees(spark):
+    rows = noise(spark, 300, 4).cache()
+    plain = M.random_forest(5, bootstrap=True)
+    kept = M.with_kept_nodes(plain, rows)
+    assert kept.fit(rows).toDebugString.split("\n", 1)[1] == plain.fit(rows).toDebugString.split("\n", 1)[1]
+    rows.unpersist()
