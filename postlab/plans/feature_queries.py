@@ -156,7 +156,8 @@ vocab AS (SELECT term, 3 + row_number() OVER (ORDER BY n DESC, term) AS term_id
 head AS (SELECT id, unnest(tokens[1:126]) AS term, unnest(generate_series(1, least(126, len(tokens)))) AS pos FROM toks),
 body AS (SELECT id, list(coalesce(term_id, 1) ORDER BY pos) AS body FROM head LEFT JOIN vocab USING (term) GROUP BY id)"""))
 def f8_encode_sequence(spark, sf):
-    posts = _tokens(spark, sf)
+    # Cut once, for this file; the vocabulary and the sequences read it.
+    posts = settle(_tokens(spark, sf))
     encoded = X.encode_sequence(posts, X.build_vocabulary(posts))
     return encoded.select("id", *[
         F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)

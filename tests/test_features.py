@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postlab import session
 from postlab.operators import features as X
+from postlab.plans import feature_queries
 
 DOCS = {"1": ["a", "b", "a"], "2": ["b", "c"], "3": [], "4": ["a", "d", "d", "d"], "5": None}
 
@@ -187,3 +188,25 @@ def test_repeated_and_null_ids_share_counts_of_cut_posts(spark):
         "id string, tokens array<string>")
     got = {(r.id, r.term): (r.tf, r.df) for r in X.bag_of_words(posts).collect()}
     assert got == {("1", "a"): (3, 2), ("1", "b"): (1, 3), (None, "b"): (2, 3)}
+
+
+def test_encoding_cuts_its_texts_once(spark, sf, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        seen.add(1)
+        return text.split()
+
+    monkeypatch.setattr(feature_queries.K, "tokenize", cut)
+    assert len(feature_queries.f8_encode_sequence(spark, sf).collect()) == seen.value
+
+
+def test_large_vocabularies_are_not_copied_for_sequences(posts, monkeypatch):
+    def copied(*args, **kwargs):
+        raise AssertionError("joined with copies")
+
+    vocabulary = X.build_vocabulary(posts)
+    monkeypatch.setattr(X, "join_sized", copied)
+    rows = {r.id: r.input_ids for r in X.encode_sequence(posts, vocabulary, 5, limit=0).collect()}
+    assert rows == {r.id: r.input_ids for r in X.encode_sequence(posts, vocabulary, 5).collect()}
