@@ -50,8 +50,8 @@ BLOCK_ITEMS = 4
 PART_ITEMS = 20_000
 PART_BYTES = 1 << 25
 K1, B = 1.2, 0.75
-CHUNK_WORDS = 1 << 18
-CELLS = 1 << 22  # cells of passages by blocks, and postings, that are held at once
+CHUNK_WORDS = 1 << 16
+CELLS = 1 << 19  # cells of passages by blocks, and postings, that are held at once
 WORDS = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
 

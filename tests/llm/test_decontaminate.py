@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -56,3 +57,16 @@ def test_documents(spark, monkeypatch):
     assert got == {(1, 1), (2, 2), (None, 2), (2 ** 60 + 1, 2)}
     assert D.find_leaks(docs, items).count() == 4
     assert D.find_leaks(docs, items.limit(0)).count() == D.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_a_search_over_many_words_takes_bounded_memory():
+    rng = np.random.default_rng(4)
+    words = [f"w{int(x)}" for x in np.sqrt(rng.integers(0, 90_000, 200 * 16))]
+    made, longest = index([(i, " ".join(words[i * 16:i * 16 + 16])) for i in range(200)])
+    texts = [[f"w{int(x)}" for x in rng.integers(0, 300, 256)] for _ in range(1024)]
+    tracemalloc.start()
+    try:
+        list(made.leaks(texts, longest, 0.35))
+        assert tracemalloc.get_traced_memory()[1] < 128 << 20
+    finally:
+        tracemalloc.stop()
