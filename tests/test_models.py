@@ -167,7 +167,7 @@ def test_two_heads(points):
     assert len(scored.first().logits2) == 3
 
 
-def noise(spark, rows, parts):
+def random_rows(spark, rows, parts):
     return spark.range(0, rows, 1, parts).select(
         "id", array_to_vector(F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(97)).cast("double")
                                         for i in range(4)])).alias("features"),
@@ -185,20 +185,20 @@ def test_forests_of_a_search_are_fitted_in_few_tasks(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:
         with pytest.raises(RuntimeError, match="seen"):
-            M.grid_search(noise(spark, 200, 40), M.random_forest(2), {"numTrees": [2, 3]}, 2)
+            M.grid_search(random_rows(spark, 200, 40), M.random_forest(2), {"numTrees": [2, 3]}, 2)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert set(seen) == {(1, True)}
 
 
 def test_frames_of_few_tasks_keep_them(spark):
-    rows = noise(spark, 200, 8)
+    rows = random_rows(spark, 200, 8)
     assert M.few_tasks(rows, 200) is rows
-    assert M.few_tasks(noise(spark, 200, 40), 3 * M.FOREST_ROWS).rdd.getNumPartitions() == 3
+    assert M.few_tasks(random_rows(spark, 200, 40), 3 * M.FOREST_ROWS).rdd.getNumPartitions() == 3
 
 
 def test_kept_nodes_give_the_same_trees(spark):
-    rows = noise(spark, 300, 4).cache()
+    rows = random_rows(spark, 300, 4).cache()
     plain = M.random_forest(5, bootstrap=True)
     kept = M.with_kept_nodes(plain, rows)
     assert kept.fit(rows).toDebugString.split("\n", 1)[1] == plain.fit(rows).toDebugString.split("\n", 1)[1]
