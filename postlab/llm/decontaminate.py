@@ -152,12 +152,12 @@ class Index:
         # Blocks that the essential terms open, with all that the others could add.
         who, cell = self._cells(np.flatnonzero(essential), term)
         at = number[who] * self.blocks + self.cell_block[cell]
-        bound = np.bincount(at, self.cell_most[cell], table)
+        bound = sums(at, self.cell_most[cell], table)
         opened = (bound > 0) & (bound + np.repeat(others, self.blocks) >= least - self.SLACK)
         # What the others do add in the open blocks.
         who_2, cell_2 = self._cells(np.flatnonzero(~essential), term)
         at_2 = number[who_2] * self.blocks + self.cell_block[cell_2]
-        bound += np.bincount(at_2, self.cell_most[cell_2], table)
+        bound += sums(at_2, self.cell_most[cell_2], table)
         opened &= bound >= least - self.SLACK
         pair = np.cumsum(opened) - 1  # number of an open block among the open ones
         at, cell = np.concatenate([at, at_2]), np.concatenate([cell, cell_2])
@@ -165,7 +165,7 @@ class Index:
         which, posting = expand(pair[at[inside]], self.cell_first[cell[inside]],
                                 self.cell_last[cell[inside]])
         slot = which * BLOCK_ITEMS + self.item[posting] % BLOCK_ITEMS
-        score = np.bincount(slot, self.impact[posting], int(opened.sum()) * BLOCK_ITEMS)
+        score = sums(slot, self.impact[posting], int(opened.sum()) * BLOCK_ITEMS)
         good = np.flatnonzero(score >= least)
         place = np.flatnonzero(opened)[good // BLOCK_ITEMS]
         return (passage[first[place // self.blocks]],
@@ -219,6 +219,11 @@ def cuts(bins: np.ndarray) -> tuple[list[int], list[int]]:
     return ([0, *inner], [*inner, len(bins)]) if len(bins) else ([], [])
 
 
+def sums(place: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """Weights summed by place, in doubles; ``np.bincount`` of no places gives integers."""
+    return np.bincount(place, weights, size).astype(np.float64, copy=False)
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values; sorting integers beats the hashing that ``np.unique`` does."""
     values = np.sort(values)

@@ -38,6 +38,22 @@ def test_search_finds_all_above_the_threshold():
     assert all(abs(sum(x.values()) - 1) < 1e-9 for x in impact.values())
 
 
+def test_search_of_a_slice_without_essential_terms(monkeypatch):
+    made, longest = index([(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(12)])
+    alone = np.array([made.terms[f"alpha{i}"] for i in range(12)])
+    who = np.arange(12)
+    assert made.term_most[alone].max() < 0.35
+    found = made.search(who, alone, 0.35)  # no passage can reach the threshold
+    assert [len(column) for column in found] == [0, 0, 0]
+    monkeypatch.setattr(D, "CELLS", 1)  # each passage is a slice; one holds an item
+    whole = sorted(made.terms[f"{w}5"] for w in ("alpha", "beta", "gamma", "delta"))
+    who = np.concatenate([who, np.full(4, 12), who + 13])
+    passage, item, score = made.search(who, np.concatenate([alone, whole, alone]), 0.35)
+    assert (passage.tolist(), item.tolist()) == ([12], [5]) and abs(score[0] - 1) < 1e-9
+    texts = [["alpha1", "none"], "alpha5 beta5 gamma5 delta5".split(), ["none"], [], ["delta2"]]
+    assert [(text, i) for text, i, *_ in made.leaks(texts, longest, 0.35)] == [(1, 5)]
+
+
 def test_parts():
     assert D.question_and_answer("Who? Me and you.") == (["who"], ["me", "and", "you"])
     assert D.question_and_answer("no end") == (["no", "end"], ["no", "end"])
