@@ -75,6 +75,14 @@ def test_documents(spark, monkeypatch):
     assert D.find_leaks(docs, items.limit(0)).count() == D.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_documents_that_share_a_few_words_with_items(spark):
+    docs = spark.createDataFrame([(i, "a mountain and a river") for i in range(3)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert D.find_leaks(docs, items).count() == 0
+    leaky = docs.union(spark.createDataFrame([(7, ITEMS[1][1])], docs.schema)).coalesce(1)
+    assert [(r.doc_id, r.item_id) for r in D.find_leaks(leaky, items).collect()] == [(7, 2)]
+
+
 def test_a_search_over_many_words_takes_bounded_memory():
     rng = np.random.default_rng(4)
     words = [f"w{int(x)}" for x in np.sqrt(rng.integers(0, 90_000, 200 * 16))]
