@@ -67,6 +67,24 @@ def test_salted_join_gives_the_same_rows(spark, monkeypatch):
         assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
 
 
+def test_tables_too_large_to_broadcast_are_merged(spark, monkeypatch):
+    """Files are small beside their rows, so Spark would send them, and copies of them, by the driver."""
+    big = spark.range(300).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.col("id").cast("string"))
+        .alias("term"))
+    small = session.settle(spark.createDataFrame(
+        [("hot", 1), ("hot", 4), ("7", 2), ("zz", 3), (None, 5)], "term string, v int"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        wanted = sorted(map(tuple, big.join(small, "term", how).collect()), key=str)
+        for most, copied in ((10_000, False), (50, True)):
+            monkeypatch.setattr(session, "HOT_ROWS", most)
+            joined = session.join_sized(big, small, "term", how, limit=0)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and ("Generate" in plan) == ("BroadcastHashJoin" in plan) == copied
+            assert joined.columns == big.join(small, "term", how).columns
+            assert sorted(map(tuple, joined.collect()), key=str) == wanted
+
+
 def test_one_exchange_of_tokens(posts):
     """Grouping by post and term adds no exchange after the posts are spread."""
     plan = X.tfidf(posts)._jdf.queryExecution().executedPlan().toString()
