@@ -148,7 +148,7 @@ def depths(calls: DataFrame) -> DataFrame:
     ids = calls.select("conv_id", F.col("call_id").alias("up"))
     valid = join_sized(calls.select(*KEY, F.col("parent_id").alias("up")).filter("up IS NOT NULL"),
                        ids, ["conv_id", "up"])
-    now = settle(calls.select(*KEY).join(valid, KEY, "left").withColumn(
+    now = settle(calls.select(*KEY).join(valid.hint("shuffle_merge"), KEY, "left").withColumn(
         "depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
     # After k rounds a pointer spans 2^k parents, so what is left after log2 n is a cycle.
     for _ in range(max(now.count(), 1).bit_length()):
@@ -186,7 +186,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     # Both sides hold a key once, so no hash table grows with a hot one.
     both = single.join(
         answers.withColumnRenamed("copies", "result_copies").hint("shuffle_hash"), KEY, "full")
-    placed = both.join(depths(single), KEY, "left")
+    # A few MB of files hold many times that in rows, so no size of files may decide to broadcast.
+    placed = both.join(depths(single).hint("shuffle_merge"), KEY, "left")
 
     @F.pandas_udf("errors string, arguments_json string")
     def validated(names: pd.Series, arguments: pd.Series) -> pd.DataFrame:

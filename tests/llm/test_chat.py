@@ -113,3 +113,22 @@ def test_link(spark):
     for r in rows:
         assert r.json == chat.canonical(json.loads(r.json))
     assert chat.link(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
+
+
+def test_no_size_of_files_decides_what_is_broadcast(spark, monkeypatch):
+    """Files of calls are small beside their rows: beyond the limit nothing goes through the driver."""
+    calls = spark.range(60).selectExpr(
+        "id % 3 AS conv_id", "concat('k', id) AS call_id", "id AS turn", "'f' AS name", "'{}' AS arguments",
+        "if(id < 3, null, concat('k', id - 3)) AS parent_id")
+    results = calls.limit(0).selectExpr("conv_id", "call_id", "turn", "name AS content")
+    plain = sorted(chat.link(calls, results, SCHEMAS).select("call_id", "depth").collect())
+    sized = chat.join_sized
+    monkeypatch.setattr(chat, "join_sized", lambda *a: sized(*a, limit=0))
+    written, settle = [], chat.settle
+    monkeypatch.setattr(chat, "settle", lambda df: written.append(
+        df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    out = chat.link(calls, results, SCHEMAS)
+    written.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(written) > 4 and not any("BroadcastHashJoin" in plan for plan in written)
+    assert sorted(out.select("call_id", "depth").collect()) == plain == sorted(
+        (f"k{i}", i // 3) for i in range(60))
