@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -46,6 +48,36 @@ def test_per_language(texts):
     assert M.predict_per_language(models, texts).count() == 36
 
 
+def test_languages_are_fitted_side_by_side(texts, monkeypatch):
+    """Two fits wait for each other; the model of a language stays with it."""
+    both, fit = threading.Barrier(2), M.fit_text_model
+
+    def met(*args, **kwargs):
+        both.wait(timeout=60)
+        return fit(*args, **kwargs)
+
+    monkeypatch.setattr(M, "fit_text_model", met)
+    models = M.fit_per_language(texts, "y", iter(["es", "en"]), "logistic_regression", maxIter=5)
+    for x, model in models.items():
+        alone = fit(texts.filter(F.col("language") == x), "y", "logistic_regression", maxIter=5)
+        assert model.stages[0].vocabulary == alone.stages[0].vocabulary
+
+
+def test_linear_fits_take_as_few_tasks_as_their_rows_need(texts, monkeypatch):
+    tasks, margins = {}, M.fit_margins
+
+    def counted(rows, classifier, classes):
+        tasks[type(classifier).__name__] = rows.rdd.getNumPartitions()
+        return margins(rows, classifier, classes)
+
+    monkeypatch.setattr(M, "fit_margins", counted)
+    monkeypatch.setattr(M, "LINEAR_ROWS", texts.count() // 2)
+    spread = texts.repartition(4)
+    M.fit_text_model(spread, "y", "svm", maxIter=2)
+    M.fit_text_model(spread, "y", "random_forest", trees=2, depth=2)
+    assert tasks == {"LinearSVC": 2, "RandomForestClassifier": 4}
+
+
 def test_regularisation_scale():
     assert M.logistic_regression(100).getRegParam() == pytest.approx(1e-5)
     assert M.linear_svm(50).getRegParam() == pytest.approx(0.02)
